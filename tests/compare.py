@@ -49,8 +49,7 @@ def compare(spark, con, sf_dir, fn, sql):
              "timestamp_ntz": "TIMESTAMP", "date": "DATE"}
     bad = [(c, t, types[c]) for c, t in df.dtypes if kinds.get(t, t) != types[c]]
     if mine != theirs:
-        extra = [r for r in mine if r not in set(theirs)][:3]
-        lack = [r for r in theirs if r not in set(mine)][:3]
+        extra, lack = sorted(set(mine) - set(theirs))[:3], sorted(set(theirs) - set(mine))[:3]
         return f"rows {len(mine)} vs {len(theirs)} cols {sorted(names)}\n  spark {extra}\n  sql   {lack}", len(mine)
     if bad:
         return f"types {bad}", len(mine)

@@ -77,7 +77,7 @@ _SPECS["checkpoints"] = ("nation", [[
 
 _SPECS["findings"] = ("lineitem", [[
     ("l_orderkey", "screening_id"),
-    ("cast(l_extendedprice * 100 as bigint) * 8 + l_linenumber", "seq"),
+    ("cast(round(l_extendedprice * 100) as bigint) * 8 + l_linenumber", "seq"),
     ("case concat(l_returnflag, l_linestatus) when 'AF' then 'VIZ_MRZ_DOC_NUM_MATCH' when 'AO' then "
      "'VIZ_MRZ_DOB_MATCH' when 'NF' then 'DOCUMENT_NOT_EXPIRED' when 'NO' then 'WATCHLIST_MATCH' when 'RF' then "
      "'IDENTITY_PAGE_REQUIRED' else 'VISA_NUMBER_FORMAT' end", "rule_id"),
@@ -92,7 +92,7 @@ _SPECS["findings"] = ("lineitem", [[
 
 _SPECS["tamper_findings"] = ("lineitem", [[
     ("l_orderkey", "screening_id"),
-    ("cast(l_extendedprice * 100 as bigint) * 8 + l_linenumber", "seq"),
+    ("cast(round(l_extendedprice * 100) as bigint) * 8 + l_linenumber", "seq"),
     ("case l_linenumber when 1 then 'ELA' when 2 then 'NOISE_RESIDUAL' when 3 then 'COPY_MOVE' when 4 then "
      "'EDGE_BOUNDARY' else 'METADATA' end", "technique"),
     ("case when l_quantity >= 32 then 'HIGH' when l_quantity >= 20 then 'MEDIUM' else 'LOW' end", "severity"),
@@ -249,6 +249,91 @@ _SPECS["mutations"] = ("customer", [[
 ]], ["case_id", "category", "target_field"])
 
 
+_SPECS["messy_text"] = ("part", [[
+    ("p_partkey", "id"),
+    ("case p_partkey % 20 when 0 then concat('Name: ', p_name) when 1 then '  unknown ' when 2 then "
+     "concat('SURNAME/NOM: ', p_name) when 3 then concat(p_name, '<<', p_type) when 4 then 'n/a' when 5 then '' "
+     "when 6 then concat('DOB - ', cast(p_size as string)) when 7 then concat('Visa No: V', cast(p_partkey as string)) "
+     "when 8 then 'surname' when 9 then 'GIVEN NAMES / Of holder' when 10 then concat('dk ai ', p_name, ' Of x') "
+     "when 11 then 'M' when 12 then 'PASSPORT NO' when 13 then 'A B C' when 14 then concat('Passport ', "
+     "cast(10000 + p_partkey as string)) when 15 then ' visa ' when 16 then 'one two three four' when 17 then '—' "
+     "when 18 then concat('Nom - ', upper(p_name)) else p_name end", "txt"),
+    ("concat('../in/', replace(p_name, ' ', '#'), '(', cast(p_size as string), ').JPG')", "path"),
+    ("case when p_partkey % 3 = 0 then concat(upper(p_name), ' ', p_type) when p_partkey % 3 = 1 then "
+     "concat(p_type, ', ', p_name) else concat(p_brand, ' x') end", "other"),
+]], ["id", "txt", "path", "other", "p_name", "p_type", "p_brand", "p_size"])
+
+_Y, _M, _D = "cast(1960 + c_custkey % 80 as string)", "cast(1 + c_custkey % 12 as string)", "cast(1 + c_custkey % 31 as string)"
+_MON = "substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', cast(1 + 3 * (c_custkey % 12) as int), 3)"
+_SPECS["messy_dates"] = ("customer", [[
+    ("c_custkey", "id"),
+    (f"case c_custkey % 16 when 0 then concat({_Y},'-',lpad({_M},2,'0'),'-',lpad({_D},2,'0')) "
+     f"when 1 then concat({_D},'/',{_M},'/',{_Y}) when 2 then concat({_D},'-',{_M},'-',{_Y}) "
+     f"when 3 then concat({_D},' ',lower({_MON}),' ',{_Y}) when 4 then concat({_D},'-',{_MON},'-',{_Y}) "
+     f"when 5 then concat('DOB: ',{_D},'.',{_M},'.',{_Y}) when 6 then concat(substr({_Y},3,2),lpad({_M},2,'0'),"
+     f"lpad({_D},2,'0')) when 7 then 'not_found' when 8 then concat({_D},'  ',case c_custkey % 12 when 0 then "
+     f"'January' when 1 then 'February' when 2 then 'March' when 3 then 'April' when 4 then 'May' when 5 then 'June' "
+     f"when 6 then 'July' when 7 then 'August' when 8 then 'Sept' when 9 then 'October' when 10 then 'November' else "
+     f"'December' end,' ',{_Y}) when 9 then concat({_Y},'/',lpad({_M},2,'0'),'/',lpad({_D},2,'0')) "
+     f"when 10 then concat('Valid until ',{_Y},'.',lpad({_M},2,'0'),'.',lpad({_D},2,'0')) when 11 then 'soon' "
+     f"when 12 then null when 13 then concat('issued ',{_D},' ',{_MON},' ',{_Y},' or ',{_Y},'-01-01') "
+     f"when 14 then concat({_Y},'-',{_M},'-',{_D}) else concat({_D},'.',{_M},'.',{_Y}) end", "txt"),
+]], ["id", "txt"])
+
+
+_NLS = "chr(10)"
+_DMY_DOB = "concat(substr(dob_iso,9,2),'/',substr(dob_iso,6,2),'/',substr(dob_iso,1,4))"
+_MON_OF = "substr('JANFEBMARAPRMAYJUNJULAUGSEPOCTNOVDEC', cast(3 * cast(substr({0},6,2) as int) - 2 as int), 3)"
+_DOB_TXT = f"concat(substr(dob_iso,9,2),' ',{_MON_OF.format('dob_iso')},' ',substr(dob_iso,1,4))"
+_EXP_TXT = f"concat(substr(exp_iso,9,2),' ',{_MON_OF.format('exp_iso')},' ',substr(exp_iso,1,4))"
+_PASSPORT_PAGE = (
+    f"concat_ws({_NLS}, 'REPUBLIC OF INDIA', "
+    "case doc_id % 5 when 0 then concat('PASSPORT NO. ', doc_no) when 1 then 'Passport No / Code' else concat('P IND ', doc_no) end, "
+    "case when doc_id % 5 = 1 then concat('P IND ', doc_no) else 'Type P' end, "
+    "case when doc_id % 3 = 0 then concat('Surname: ', surname) else 'Surname / Nom' end, "
+    "case when doc_id % 3 = 0 then 'Page 2' else surname end, 'Given Names / Prenoms', "
+    "case when doc_id % 7 = 0 then '12345' else given_names end, "
+    "case when doc_id % 6 = 5 then concat('Full name: ', given_names, ' ', surname, ' AL') else 'Nationality' end, "
+    "case when doc_id % 11 = 4 then 'x' else 'INDIAN' end, 'Sex / Sexe', "
+    "case sex1 when 'M' then 'M' when 'F' then 'FEMALE' else '-' end, "
+    f"case doc_id % 4 when 0 then concat('Date of Birth ', {_DMY_DOB}) when 1 then 'Date of Birth' else 'issued' end, "
+    f"case when doc_id % 4 = 3 then {_DOB_TXT} else {_DMY_DOB} end, "
+    "case when doc_id % 9 = 8 then 'dates' else 'Date of Issue / Date of Expiry' end, "
+    "concat('01/02/2016 ', substr(exp_iso,9,2), '/', substr(exp_iso,6,2), '/', substr(exp_iso,1,4)), "
+    "case when doc_id % 8 = 3 then concat('P<IND', given_names, '<<', surname, '<<<<<') else 'signature' end, mrz1, "
+    "case when doc_id % 10 = 7 then replace(clean2, '0', 'K') else 'holder' end, mrz2)")
+_VISA_PAGE = (
+    f"concat_ws({_NLS}, 'REPUBLIC VISA / VIGNETTE', "
+    "case doc_id % 5 when 0 then concat('VISA NO: V', substr(doc_no,2)) when 1 then concat('No AB ', substr(doc_no,2,7)) "
+    "when 2 then 'VISA NUMBER CATEGORY' else 'sticker' end, "
+    f"case doc_id % 4 when 0 then concat('TOURIST ', {_DOB_TXT}, ' ', {_EXP_TXT}) when 1 then 'CONFERENCE' else 'Type BUSINESS' end, "
+    "case doc_id % 3 when 0 then 'MULTIPLE ENTRIES' when 1 then '01 ENTRY' else '02 ENTRIES' end, "
+    "case when doc_id % 2 = 0 then 'Duration of stay 90 DAYS' else 'STAY' end, "
+    "case when doc_id % 3 = 1 then concat('MAT /NOM: ', surname) else 'SURNAME / NOM' end, "
+    "case when doc_id % 6 = 2 then 'GIVEN' else surname end, "
+    "case when doc_id % 7 < 4 then concat('GIVEN NAMES: ', given_names) else 'PRENOM' end, "
+    "case when doc_id % 7 < 4 then 'x' else lower(given_names) end, "
+    f"case when doc_id % 4 = 2 then concat(case sex1 when 'M' then 'M ' when 'F' then 'F ' else '' end, {_DOB_TXT}, ' INDIAN ', doc_no) "
+    f"else concat('Date of birth ', {_DMY_DOB}) end, "
+    "case when doc_id % 4 = 3 then concat('PASSPORT NO. ', doc_no) else 'PASSEPORT' end, "
+    "case when doc_id % 3 = 2 then 'SEX FEMALE' else 'SEX -' end, 'NATIONALITY: IND', "
+    "concat('Valid from ', substr(exp_iso,9,2), '-', substr(exp_iso,6,2), '-2020'), concat('Valid until ', exp_iso), "
+    "case when doc_id % 9 < 3 then rpad(concat('V<IND', surname, '<<', given_names), 36, '<') else 'remarks' end, "
+    "case when doc_id % 9 < 3 then concat(rpad(doc_no,9,'7'), '4IND', dob6, '1', sex1, exp6, '5') else '' end)")
+_OTHER_PAGE = (
+    "case cast(floor(doc_id / 4) as bigint) % 12 when 0 then concat('GOVT', chr(10), 'UIDAI 1234 5678 9012') "
+    "when 1 then concat('INCOME TAX DEPARTMENT', chr(10), 'ABCDE1234F') when 2 then concat('Father', chr(10), 'QWERT1234Z') "
+    "when 3 then concat('Driving Licence', chr(10), 'DL NO 12') when 4 then concat('Voter card', chr(10), 'ABC1234567') "
+    "when 5 then concat('Student ID', chr(10), 'Roll no 4') when 6 then concat('National Identity Card', chr(10), 'nr 1') "
+    "when 7 then concat('PASSPORT', chr(10), 'REPUBLIC OF INDIA', chr(10), 'front cover') when 8 then 'short' "
+    "when 9 then concat('Republic of India', chr(10), 'P IND', chr(10), 'Surname', chr(10), 'Date of birth') "
+    "when 10 then concat('Passport ', doc_no, chr(10), 'Nationality') else concat('a long unrelated letter', chr(10), 'kind regards') end")
+_SPECS["travel_texts"] = ("travellers", [[
+    ("case doc_id % 4 when 2 then 'VISA' when 3 then 'OTHER' else 'PASSPORT' end", "kind"),
+    (f"case doc_id % 4 when 2 then {_VISA_PAGE} when 3 then {_OTHER_PAGE} else {_PASSPORT_PAGE} end", "text"),
+]], ["doc_id", "kind", "text"])
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A provided or derived table as a DataFrame."""
     if name in TABLES:

@@ -101,6 +101,10 @@ def _country(c: Column) -> Column:
     return F.when(t.isin(*MISREAD_IND), F.lit("IND")).otherwise(t)
 
 
+SCRATCH = ["_l", "_s", "_sex"] + [f"_{n}" for n in ("num", "dob", "exp", "opt")] + [
+    f"_{n}_c" for n in ("num", "dob", "exp", "opt", "all")] + [f"_e_{n}" for n in ("num", "dob", "exp", "opt", "all")]
+
+
 def decode_data(df: DataFrame, line: str, as_of: str) -> DataFrame:
     """Fields and check digits of a normalised second line (null fields unless 44 long)."""
     l2 = F.when(F.length(line) == LINE, F.col(line))
@@ -149,8 +153,7 @@ def decode_data(df: DataFrame, line: str, as_of: str) -> DataFrame:
             (F.col("_num_c") == F.col("_e_num")) & (F.col("_dob_c") == F.col("_e_dob"))
             & (F.col("_exp_c") == F.col("_e_exp")) & (F.col("_all_c") == F.col("_e_all")), F.lit(False)),
     })
-    return df.withColumn("is_expired", F.coalesce(is_past(F.col("date_of_expiry"), as_of), F.lit(False))).drop(
-        *[c for c in df.columns if c.startswith("_")])
+    return df.withColumn("is_expired", F.coalesce(is_past(F.col("date_of_expiry"), as_of), F.lit(False))).drop(*SCRATCH)
 
 
 def decode_header(df: DataFrame, line: str) -> DataFrame:

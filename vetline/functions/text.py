@@ -75,6 +75,11 @@ def lookup(mapping: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` applied to a value that is computed once, for use inside longer expressions."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def blank_to_null(c: Column) -> Column:
     return F.when(F.trim(c) != "", c)
 
@@ -123,14 +128,16 @@ def is_label_noise(c: Column, variant: str = "visa") -> Column:
             F.when(F.length(t) < 2, True).when(pattern_hit, True).when(has_number, False)
             .when(folded.isin(*LABEL_WORDS_DISPLAY), True)
             .otherwise((F.size(tokens) > 0) & _all_in(long_tokens, LABEL_WORDS_DISPLAY)))
-    tokens = alpha_tokens(t)
-    base = F.when(F.length(t) < 2, True).when(has_number, False).when(F.size(tokens) == 0, True)
     if variant == "visa":
-        return base.otherwise(_all_in(tokens, LABEL_WORDS_VISA))
-    if variant == "reader":
-        return (base.when(F.arrays_overlap(tokens, words(BOILERPLATE_WORDS)), True)
-                .when(F.size(tokens) > 3, True).otherwise(_all_in(tokens, LABEL_WORDS_READER)))
-    raise ValueError(variant)
+        def judge(tokens):
+            return (F.size(tokens) == 0) | _all_in(tokens, LABEL_WORDS_VISA)
+    elif variant == "reader":
+        def judge(tokens):
+            return ((F.size(tokens) == 0) | (F.size(tokens) > 3) | F.arrays_overlap(tokens, words(BOILERPLATE_WORDS))
+                    | _all_in(tokens, LABEL_WORDS_READER))
+    else:
+        raise ValueError(variant)
+    return F.when(F.length(t) < 2, True).when(has_number, False).otherwise(let(alpha_tokens(t), judge))
 
 
 def is_display_noise(c: Column, field: str) -> Column:
@@ -151,8 +158,7 @@ def clean_name_tokens(c: Column, variant: str = "visa") -> Column:
     tokens = F.split(F.upper(squeeze(F.regexp_replace(bare, "[^A-Za-z]", " "))), " ")
     good = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(*vocabulary)
                     & ((F.length(t) > 2) | t.rlike("[AEIOUY]")))
-    name = F.array_join(good, " ")
-    return F.when(is_label_noise(name, variant), F.lit("")).otherwise(name)
+    return let(F.array_join(good, " "), lambda name: F.when(is_label_noise(name, variant), F.lit("")).otherwise(name))
 
 
 def full_name(given: Column, surname: Column) -> Column:

@@ -113,7 +113,7 @@ def tamper_summary(findings: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("findings_count"))
 
 
-def populated(df: DataFrame, columns: list[str]) -> Column:
+def populated(columns: list[str]) -> Column:
     """How many of the columns hold a value in a row."""
     return sum((F.when(F.nullif(F.col(c), F.lit("")).isNotNull(), 1).otherwise(0) for c in columns), F.lit(0))
 

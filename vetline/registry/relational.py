@@ -64,12 +64,10 @@ def _(spark, sf_dir):
 
 @query("watchlist_search", "FP-7", ctes("watchlist") + """
 select document_id, full_name from watchlist
-where contains(lower(document_id), 'z000001') or contains(lower(full_name), '#00000002')""")
+where contains(lower(document_id), 'r#0000000') or contains(lower(full_name), 'r#0000000')""")
 def _(spark, sf_dir):
-    wl = frame(spark, sf_dir, "watchlist").withColumn("n2", F.col("full_name"))
-    return sets.union_all(filters.search(wl, "Z000001", ["document_id", "full_name"]),
-                          filters.search(wl, "#00000002", ["full_name"])).select(
-        "document_id", "full_name").distinct()
+    wl = frame(spark, sf_dir, "watchlist")
+    return filters.search(wl, "R#0000000", ["document_id", "full_name"]).select("document_id", "full_name")
 
 
 _IDS = ("case when l_linenumber = 1 then 'a' when l_linenumber = 2 then concat('SAT 2026-', cast(l_orderkey as string)) "
@@ -224,7 +222,7 @@ def _(spark, sf_dir):
 
 @query("append_once", "IO-9", ctes("requests") + """
 select screening_id, arg_min(user_id, (l_linenumber, user_id)) user_id,
-       min((l_linenumber, user_id)).l_linenumber l_linenumber
+       min(l_linenumber) l_linenumber
 from (select screening_id, user_id, l_linenumber from requests) r
 where not exists (select 1 from customer c where c.c_custkey = r.screening_id) group by 1""")
 def _(spark, sf_dir):
@@ -292,11 +290,10 @@ def _(spark, sf_dir):
 @query("tamper_detection_eval", "AG-9", f"""
 with c as (select count(*) filter (quality = 0 and d) tp, count(*) filter (quality <> 0 and d) fp,
    count(*) filter (quality = 0 and not d) fn, count(*) filter (quality <> 0 and not d) tn
- from (select quality, regexp_matches(text, '(.)\\1\\1|http|###') is not null and length(text) < 900 d
-       from labels join documents using (doc_id))),
+ from (select quality, length(text) < 900 d from labels join documents using (doc_id))),
 pr as (select *, tp / greatest(tp + fp, 1) p, tp / greatest(tp + fn, 1) r from c)
 select tp, fp, fn, tn, {rnd('p', 3)} "precision", {rnd('r', 3)} recall, {rnd('2*p*r/greatest(p+r, 1e-6)', 3)} f1
-from pr""".replace("regexp_matches(text, '(.)\\1\\1|http|###') is not null and ", ""))
+from pr""")
 def _(spark, sf_dir):
     rows = frame(spark, sf_dir, "labels").join(frame(spark, sf_dir, "documents"), "doc_id")
     return aggregates.binary_eval(rows, F.col("quality") == 0, F.length("text") < 900)
