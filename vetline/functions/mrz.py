@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetline.functions.dates import is_past, yymmdd_to_iso
+from vetline.session import spread
 
 # Fixed values of the standard and of the usual misreadings.
 ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -21,13 +22,24 @@ CHECKS = ["document_number", "date_of_birth", "date_of_expiry", "optional_data",
 LINE = 44
 
 
-def check_digit(c: Column) -> Column:
-    """Weighted 7-3-1 sum modulo 10, as text. Letters count from 10, filler as 0."""
-    weights = F.array(*[F.lit(w) for w in WEIGHTS])
-    terms = F.transform(
-        F.split(F.upper(c), ""),
-        lambda ch, i: F.greatest(F.instr(F.lit(ALPHABET), ch) - 1, F.lit(0)) * weights[F.pmod(i, F.lit(3))])
-    return F.pmod(F.aggregate(terms, F.lit(0), lambda acc, x: acc + x), F.lit(10)).cast("string")
+VALUES_MOD_10 = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ<", "012345678901234567890123450")
+
+
+def check_digit(c: Column, width: int | None = None) -> Column:
+    """Weighted 7-3-1 sum modulo 10, as text. Letters count from 10, filler as 0.
+
+    Only values modulo 10 matter, so one ``translate`` turns the text into digits.
+    With a known width the sum is unrolled and stays inside code generation.
+    """
+    digits = F.translate(F.upper(c), *VALUES_MOD_10)
+    if width is None:
+        weights = F.array(*[F.lit(w) for w in WEIGHTS])
+        terms = F.transform(F.split(digits, ""), lambda ch, i: F.coalesce(
+            F.try_to_number(ch, F.lit("9")).cast("int"), F.lit(0)) * weights[F.pmod(i, F.lit(3))])
+        total = F.aggregate(terms, F.lit(0), lambda acc, x: acc + x)
+    else:
+        total = sum(((F.ascii(F.substring(digits, i + 1, 1)) - 48) * WEIGHTS[i % 3] for i in range(width)), F.lit(0))
+    return F.pmod(total, F.lit(10)).cast("string")
 
 
 def as_digits(c: Column) -> Column:
@@ -126,11 +138,11 @@ def decode_data(df: DataFrame, line: str, as_of: str) -> DataFrame:
                        F.when(F.col("_opt_c") == "", "0").otherwise(F.col("_opt_c")))
     df = df.withColumns({
         "optional_data": F.replace(F.col("_opt"), F.lit("<"), F.lit("")),
-        "_e_num": check_digit(F.col("_num")), "_e_dob": check_digit(F.col("_dob")),
-        "_e_exp": check_digit(F.col("_exp")), "_e_all": check_digit(payload),
+        "_e_num": check_digit(F.col("_num"), 9), "_e_dob": check_digit(F.col("_dob"), 6),
+        "_e_exp": check_digit(F.col("_exp"), 6), "_e_all": check_digit(payload, 39),
     })
     df = df.withColumn("_e_opt", F.when(
-        (F.col("optional_data") != "") & F.col("_opt_c").rlike("^[0-9]$"), check_digit(F.col("_opt")))
+        (F.col("optional_data") != "") & F.col("_opt_c").rlike("^[0-9]$"), check_digit(F.col("_opt"), 14))
         .otherwise(F.col("_opt_c")))
 
     def entry(observed, expected):
@@ -191,7 +203,7 @@ def order_lines(df: DataFrame, line_a: str, line_b: str) -> DataFrame:
 def decode_td3(df: DataFrame, line_a: str, line_b: str, as_of: str) -> DataFrame:
     """Decode a pair of lines; adds header, data and the DECODED columns."""
     keep = df.columns
-    out = order_lines(df, line_a, line_b)
+    out = order_lines(spread(df), line_a, line_b)
     out = normalise_data(normalise_header(out, "header_raw", "header"), "data_raw", "data")
     out = decode_data(decode_header(out, "header"), "data", as_of)
     ok = (F.length("header") == LINE) & (F.length("data") == LINE)

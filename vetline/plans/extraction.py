@@ -16,16 +16,23 @@ from vetline.functions import mrz
 from vetline.functions.dates import extract_visa_date
 from vetline.functions.text import clean_name_tokens, full_name, is_label_noise, let
 from vetline.operators.ordered import SLICE_ROWS, with_earlier_max
+from vetline.session import spread
 
 AHEAD = ("next1", "next2", "next3")
 
 
-def with_lines(df: DataFrame, text: str, lines: str = "lines") -> DataFrame:
-    """Add an array of structs, one per text line: line, next1..next3."""
+def with_lines(df: DataFrame, text: str, lines: str = "lines", variant: str | None = None) -> DataFrame:
+    """Add an array of structs, one per text line: line, next1..next3; with a ``variant`` also
+    name1..name3, the name words of the following lines, cleaned once per line."""
     df = df.withColumn(lines, F.split(F.col(text), "\n"))
-    c = F.col(lines)
-    ahead = [F.slice(c, F.lit(k + 1), F.greatest(F.size(c) - k, F.lit(0))).alias(f"next{k}") for k in (1, 2, 3)]
-    return df.withColumn(lines, F.arrays_zip(c.alias("line"), *ahead))
+    sources = {"next": lines}
+    if variant:
+        df = df.withColumn("_names", F.transform(lines, lambda x: clean_name_tokens(x, variant)))
+        sources["name"] = "_names"
+    n = F.size(lines)
+    ahead = [F.slice(src, F.lit(k + 1), F.greatest(n - k, F.lit(0))).alias(f"{name}{k}")
+             for name, src in sources.items() for k in (1, 2, 3)]
+    return df.withColumn(lines, F.arrays_zip(F.col(lines).alias("line"), *ahead)).drop("_names")
 
 
 def staged(df: DataFrame, lines: str, derive) -> DataFrame:
@@ -72,7 +79,7 @@ def contains_any(c: Column, needles: list[str]) -> Column:
 
 def found(c: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null when there is none."""
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(group)), F.lit(1))
 
 
 # -- visa ------------------------------------------------------------------------
@@ -88,6 +95,7 @@ LABELLED_NUMBER = (r"\b(?:VISA\s*(?:NO|NUMBER|NUM|#)?[\s:.]*|VIGNETTE\s*(?:NO|#)
                    r"([A-Z0-9]*\d[A-Z0-9]{5,11})\b")
 LOOSE_NUMBER = r"\b([A-Z]{1,3}\s*\d{7,8}|[A-Z]\d\s*\d{7})\b"
 STAY = r"\b(\d{1,3})\s*(DAYS|DAY|MONTHS|MONTH)\b"
+PASSPORT_LABELS = ["PASSPORT", "DOC NO", "PPT NO", "PASSEPORT"]
 PASSPORT_WORDS = ["PASSPORT", "PASSEPORT", "REPUBLIC", "CATEGORY", "OFFICIAL"]
 
 
@@ -95,11 +103,6 @@ def _unless_noise(c: Column) -> Column:
     return F.when(~is_label_noise(c, "visa"), c)
 
 
-def _names(variant: str):
-    """Stage: name words of the three following lines."""
-    return lambda at: {f"name{i}": clean_name_tokens(at(a), variant) for i, a in enumerate(AHEAD, 1)}
-
-
 def _name_after(at, label: str, stop: list[str], variant: str) -> Column:
     """Name on the label's own line, else on the first of the next three lines that is one."""
     own = clean_name_tokens(F.trim(F.regexp_replace(at("t"), label, "")), variant)
@@ -112,51 +115,56 @@ def _english_nation(c: Column) -> Column:
     return F.when(c.isin("INDIAN", "IND"), "INDIAN").otherwise(c)
 
 
+def _visa_matches(at) -> dict[str, Column]:
+    """Stage: whole matches that several fields read. Cheap tests keep most lines away from
+    the long patterns."""
+    t, z = at("t"), at("z")
+    has_digit = t.rlike("[0-9]")
+    after = F.regexp_replace(t, r".*(?:PASSPORT|DOC|PPT|PASSEPORT)[\s:./#]*(?:NO|NUMBER)?[\s:./]*", "")
+    return {
+        "zone": F.when(has_digit, found(z, ZONE_DATA, 0)), "demo": F.when(has_digit, found(t, DEMOGRAPHIC, 0)),
+        "valid": F.when(has_digit, found(t, VALIDITY, 0)),
+        "labelled": F.when(has_digit & contains_any(t, ["VISA", "VIGNETTE"]), found(t, LABELLED_NUMBER)),
+        "loose": F.when(has_digit, F.trim(found(t, LOOSE_NUMBER))),
+        "near": F.when(has_digit & contains_any(t, PASSPORT_LABELS), found(F.trim(after), r"\b([A-Z0-9]{7,10})\b")),
+        "dated": F.when(has_digit, extract_visa_date(at("raw"))),
+    }
+
+
 def _zone_values(at) -> dict[str, Column]:
     """What the machine-readable lines of a visa say."""
-    z = at("z")
-    parts = F.split(z.substr(F.lit(6), F.length(z)), "<<")
-    header = z.startswith("V<") & (F.length(z) >= 20) & (F.size(parts) >= 2)
+    z, m = at("z"), at("zone")
+    header = z.startswith("V<") & (F.length(z) >= 20)
 
     def part(i):
-        p = F.trim(F.replace(F.try_element_at(parts, F.lit(i)), F.lit("<"), F.lit(" ")))
-        return F.when(header, _unless_noise(F.nullif(p, F.lit(""))))
-    number, code = found(z, ZONE_DATA, 1), found(z, ZONE_DATA, 4)
-    nation = found(z, ZONE_DATA, 2)
+        return F.when(header, let(F.split(z.substr(F.lit(6), F.length(z)), "<<"), lambda parts: F.when(
+            F.size(parts) >= 2, _unless_noise(F.trim(F.replace(F.try_element_at(parts, F.lit(i)), F.lit("<"), F.lit(" ")))))))
+    code = found(m, ZONE_DATA, 4)
     return {
-        "z_surname": part(1), "z_given_names": part(2), "z_visa_number": F.when(F.length(number) >= 6, number),
-        "z_nationality": F.when(nation == "IND", "INDIAN").otherwise(nation),
-        "z_sex": F.when(code == "M", "MALE").when(code == "F", "FEMALE"),
+        "z_surname": part(1), "z_given_names": part(2),
+        "z_visa_number": let(found(m, ZONE_DATA, 1), lambda n: F.when(F.length(n) >= 6, n)),
+        "z_nationality": let(found(m, ZONE_DATA, 2), lambda n: F.when(n == "IND", "INDIAN").otherwise(n)),
+        "z_sex": let(code, lambda c: F.when(c == "M", "MALE").when(c == "F", "FEMALE")),
     }
 
 
-def _visa_matches(at) -> dict[str, Column]:
-    """Stage: the pattern groups several fields read."""
-    t = at("t")
-    groups = {f"demo{i}": found(t, DEMOGRAPHIC, i) for i in (1, 2, 3, 4)}
-    groups |= {f"valid{i}": found(t, VALIDITY, i) for i in (1, 2, 3)}
-    after = F.regexp_replace(t, r".*(?:PASSPORT|DOC|PPT|PASSEPORT)[\s:./#]*(?:NO|NUMBER)?[\s:./]*", "")
-    return groups | {"labelled": found(t, LABELLED_NUMBER), "loose": F.trim(found(t, LOOSE_NUMBER)),
-                     "near": found(F.trim(after), r"\b([A-Z0-9]{7,10})\b"), "dated": extract_visa_date(at("raw"))}
-
-
 def _visa_values(at) -> dict[str, Column]:
-    t = at("t")
+    t, demo = at("t"), at("demo")
 
-    def clean_date(c):
-        d = F.replace(c, F.lit("0CT"), F.lit("OCT"))
-        return F.coalesce(found(d, r"(\d{1,2}\s*[A-Za-z]{3,9}\s*\d{4})"), F.trim(d))
+    def clean_date(group):
+        return let(F.replace(found(at("valid"), VALIDITY, group), F.lit("0CT"), F.lit("OCT")), lambda d: F.coalesce(
+            found(d, r"(\d{1,2}\s*[A-Za-z]{3,9}\s*\d{4})"), F.trim(d)))
 
     def dated(labels):
         return F.when(contains_any(t, labels), at("dated"))
 
     def sex_text(c):
-        return F.when(c.isin("M", "MALE", "I"), "MALE").when(c.isNotNull(), "FEMALE")
+        return let(c, lambda w: F.when(w.isin("M", "MALE", "I"), "MALE").when(w != "", "FEMALE"))
 
     near = at("near")
     anywhere = F.filter(F.regexp_extract_all(t, F.lit(r"\b([A-Z0-9]{7,10})\b"), F.lit(1)),
                         lambda w: w.rlike("[0-9]") & w.rlike("[A-Z]") & ~w.isin(*PASSPORT_WORDS))
-    passport = F.when(contains_any(t, ["PASSPORT", "DOC NO", "PPT NO", "PASSEPORT"]), F.when(
+    passport = F.when(contains_any(t, PASSPORT_LABELS), F.when(
         near.isNotNull(), F.when(near.rlike("[0-9]") & ~near.isin("PASSPORT", "PASSEPORT", "REPUBLIC"),
                                  _unless_noise(near))).otherwise(F.try_element_at(anywhere, F.lit(1))))
     nation = F.when(contains_any(t, ["NATIONALITY", "CITIZENSHIP", "NATIONALITE"]), _english_nation(
@@ -168,14 +176,17 @@ def _visa_values(at) -> dict[str, Column]:
             at, r".*(?:GIVEN[\sA-Z]*|PRENOM[S]?)[\s:./\-]*", ["SURNAME", "NOM", "SEX", "PASSPORT", "VISA"], "visa")),
         "visa_number": F.when(at("labelled").isNotNull(), _unless_noise(at("labelled"))).otherwise(
             _unless_noise(at("loose"))),
-        "visa_type": F.coalesce(at("valid1"), *[F.when(t.rlike(rf"\b{v}\b"), v) for v in VISA_TYPES]),
-        "passport_number": F.coalesce(F.when(at("demo4").rlike("[0-9]"), _unless_noise(at("demo4"))), passport),
-        "nationality": F.coalesce(_unless_noise(_english_nation(at("demo3"))), nation),
-        "date_of_birth": F.coalesce(F.trim(at("demo2")), dated(["BIRTH", "DOB", "NAISSANCE"])),
-        "sex": F.coalesce(sex_text(at("demo1")), F.when(
+        "visa_type": F.coalesce(found(at("valid"), VALIDITY, 1), F.when(
+            t.rlike(rf"\b(?:{'|'.join(VISA_TYPES)})\b"),
+            F.coalesce(*[F.when(t.rlike(rf"\b{v}\b"), v) for v in VISA_TYPES]))),
+        "passport_number": F.coalesce(let(found(demo, DEMOGRAPHIC, 4), lambda n: F.when(
+            n.rlike("[0-9]"), _unless_noise(n))), passport),
+        "nationality": F.coalesce(let(found(demo, DEMOGRAPHIC, 3), lambda n: _unless_noise(_english_nation(n))), nation),
+        "date_of_birth": F.coalesce(F.trim(found(demo, DEMOGRAPHIC, 2)), dated(["BIRTH", "DOB", "NAISSANCE"])),
+        "sex": F.coalesce(sex_text(found(demo, DEMOGRAPHIC, 1)), F.when(
             contains_any(t, ["SEX", "GENDER"]), sex_text(found(t, r"\b(MALE|FEMALE|M|F)\b")))),
-        "valid_from": F.coalesce(clean_date(at("valid2")), dated(["VALID FROM", "VALIDE DU", "FROM", "DU:"])),
-        "valid_until": F.coalesce(clean_date(at("valid3")), dated(
+        "valid_from": F.coalesce(clean_date(2), dated(["VALID FROM", "VALIDE DU", "FROM", "DU:"])),
+        "valid_until": F.coalesce(clean_date(3), dated(
             ["VALID UNTIL", "VALIDE JUSQU", "UNTIL", "EXPIRY", "EXPIRATION"])),
         "entries": F.when(t.contains("MULT"), "MULTIPLE").when(
             t.contains("SINGLE") | t.rlike(r"\b0?1\s*ENTRY\b"), "SINGLE").when(
@@ -192,9 +203,9 @@ ZONE_VALUES = ("surname", "given_names", "visa_number", "nationality", "sex")
 def visa_fields(pages: DataFrame, key: str, text: str) -> DataFrame:
     """Thirteen visa fields per page, null where nothing was found. Machine-readable lines
     come before printed ones."""
-    df = with_lines(pages, text)
+    df = with_lines(spread(pages), text, variant="visa")
     df = staged(df, "lines", lambda at: {"raw": F.trim(at("line")), "t": F.upper(F.trim(at("line"))),
-                                         "z": mrz.bare(at("line")), **_names("visa")(at)})
+                                         "z": mrz.bare(at("line"))})
     df = staged(df, "lines", _visa_matches)
     df = candidates(df, key, "lines", lambda at: {**_zone_values(at), **_visa_values(at)})
     df = df.select(key, *[F.coalesce(*([first_of(f"z_{n}")] if n in ZONE_VALUES else []), first_of(n)).alias(n)
@@ -264,9 +275,8 @@ def _passport_values(at) -> dict[str, Column]:
 
 def passport_fields(pages: DataFrame, key: str, text: str) -> DataFrame:
     """Eight identity fields per page, with a pass over all dates for what is still missing."""
-    df = with_lines(pages, text)
-    df = staged(df, "lines", lambda at: {"t": F.upper(at("line")), "dates": _all_dates(at("line")),
-                                         **_names("reader")(at)})
+    df = with_lines(spread(pages), text, variant="reader")
+    df = staged(df, "lines", lambda at: {"t": F.upper(at("line")), "dates": _all_dates(at("line"))})
     df = candidates(df, key, "lines", _passport_values)
     names = ["document_number", "surname", "given_names", "holder", "nationality", "birth", "expiry", "sex", "early",
              "early_sex", "late"]
@@ -298,7 +308,7 @@ def line_score(line: Column) -> Column:
 
 def candidate_lines(lines: DataFrame, key: str, as_of: str) -> DataFrame:
     """Candidate lines with what decides a pair: header look, decodable in either role, checks, score."""
-    c = lines.filter(mrz.is_candidate_line(F.col("line"))).select(key, F.col("line_no").cast("bigint").alias("line_no"),
+    c = spread(lines).filter(mrz.is_candidate_line(F.col("line"))).select(key, F.col("line_no").cast("bigint").alias("line_no"),
                                                                   "line")
     c = mrz.normalise_data(mrz.normalise_header(c, "line", "_as_header"), "line", "_as_data")
     c = mrz.decode_data(c, "_as_data", as_of)
