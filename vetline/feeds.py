@@ -334,6 +334,54 @@ _SPECS["travel_texts"] = ("travellers", [[
 ]], ["doc_id", "kind", "text"])
 
 
+_SPECS["capture_metrics"] = ("part", [[
+    ("p_partkey", "id"), ("p_size * 9.0", "blur"), ("(p_partkey % 45) / 100.0", "glare"),
+    ("(p_retailprice - 870) / 10.0", "contrast"), ("p_size * 5.2", "brightness"),
+    ("100 + (p_partkey * 37) % 900", "width"), ("90 + (p_partkey * 53) % 700", "height"),
+    ("cast(p_partkey % 4 as int)", "face_count"), ("p_partkey % 3 = 0", "is_document"),
+]], ["id", "blur", "glare", "contrast", "brightness", "width", "height", "face_count", "is_document"])
+
+_SPECS["forensic_scores"] = ("orders", [[
+    ("o_orderkey", "id"), ("o_totalprice / 5000", "ela"), ("(o_orderkey * 7) % 101 * 1.0", "noise"),
+    ("(o_custkey * 13) % 97 * 1.0", "copy_move"), ("(o_orderkey * 3) % 89 * 1.0", "edge"),
+    ("case when o_orderkey % 6 = 0 then 'Adobe Photoshop 2' when o_orderkey % 6 = 1 then 'Paint.NET' when "
+     "o_orderkey % 6 = 2 then null else 'Scanner' end", "software"),
+]], ["id", "ela", "noise", "copy_move", "edge", "software"])
+
+_SPECS["risk_cases"] = ("orders", [[
+    ("o_orderkey", "id"),
+    ("case when o_orderpriority = '3-MEDIUM' then 'VISA' else 'PASSPORT' end", "document_type"),
+    ("o_orderkey % 4 > 0", "parsed"),
+    ("cast(case when o_orderkey % 4 > 0 then (o_orderkey % 7) % 4 else 0 end as int)", "failed_checks"),
+    ("o_orderkey % 2 = 0", "composite_failed"),
+    ("case when o_orderkey % 3 = 0 then null else o_totalprice / 6000 end", "tamper_score"),
+    ("case o_orderkey % 6 when 0 then 'MATCH' when 1 then 'mismatch' when 2 then 'INCONCLUSIVE' when 3 then "
+     "'INPUT_FAILURE' when 4 then null else 'VERIFIED_MATCH' end", "face_state"),
+    ("case when o_orderkey % 9 = 5 then 'SIGNIFICANT' else 'MINIMAL' end", "appearance_level"),
+    ("o_orderkey % 37 = 0", "duplicate"),
+    ("case when o_orderkey % 10 = 3 then 'NEEDS_BETTER_IMAGE' when o_orderkey % 10 = 4 then 'REJECTED' else 'GOOD' end",
+     "quality_verdict"),
+]], ["id", "document_type", "parsed", "failed_checks", "composite_failed", "tamper_score", "face_state",
+     "appearance_level", "duplicate", "quality_verdict"])
+
+_SPECS["zone_findings_feed"] = ("findings", [[("rule_id like 'VIZ%'", "is_zone")]], None)
+
+_SPECS["grid_cells"] = ("lineitem", [[("l_suppkey", "item"), ("l_extendedprice / 100", "variance")]],
+                        ["item", "variance", "l_orderkey", "l_partkey", "l_linenumber"])
+
+_SPECS["displacements"] = ("lineitem", [[
+    ("l_orderkey", "item"), ("l_quantity * 2 - 50", "dx"), ("l_linenumber * 4.0 - 14", "dy")]], ["item", "dx", "dy"])
+
+_SPECS["tokens"] = ("lineitem", [[
+    ("l_orderkey", "page"), ("cast(l_linenumber / 4 as int)", "line_num_"),
+    ("cast(floor(l_linenumber / 4.0) as int)", "line_num"), ("1", "block_num"), ("1", "par_num"),
+    ("cast(l_partkey as int)", "x"), ("cast(l_suppkey + 40 * l_linenumber as int)", "y"),
+    ("cast(10 + l_quantity as int)", "w"), ("12 + l_linenumber", "h"),
+    ("l_quantity * 2", "conf"), ("concat(l_returnflag, cast(l_partkey as string))", "text"),
+    ("cast(round(l_extendedprice * 100) as bigint)", "tie"),
+]], ["page", "block_num", "par_num", "line_num", "x", "y", "w", "h", "conf", "text", "tie"])
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A provided or derived table as a DataFrame."""
     if name in TABLES:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vetline.functions.text import MISSING_DATE, denull, lookup, squeeze
+from vetline.functions.text import MISSING_DATE, denull, let, lookup, squeeze
 
 MONTHS_SHORT = {m: f"{i:02d}" for i, m in enumerate(
     "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split(), 1)}
@@ -32,45 +32,63 @@ def _pad(c: Column) -> Column:
     return F.lpad(c, 2, "0")
 
 
-def _calendar(y: Column, m: Column, d: Column) -> Column:
-    """ISO text when the three texts name a real day, else null."""
-    text = F.concat(F.lpad(y, 4, "0"), F.lit("-"), _pad(m), F.lit("-"), _pad(d))
-    return F.when(F.try_to_date(text, "yyyy-MM-dd").isNotNull(), text)
+def _joined(y: Column, m: Column, d: Column) -> Column:
+    return F.concat(F.lpad(y, 4, "0"), F.lit("-"), _pad(m), F.lit("-"), _pad(d))
 
 
-def _part(c: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+def _real_day(text: Column) -> Column:
+    """The ISO text when it names a day of the calendar, else null."""
+    return let(text, lambda t: F.when(F.try_to_date(t, "yyyy-MM-dd").isNotNull(), t))
+
+
+def _part(c: Column, pattern: str) -> Column:
+    """First group of the first match, null when there is none."""
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.lit(1))
+
+
+def _month(word: Column, names: dict[str, str]) -> Column:
+    return lookup(names, F.upper(word))
+
+
+def _shaped(t: Column, pattern: str, separator: str, build) -> Column:
+    """``build`` on the parts of a text of a given shape, null for other shapes."""
+    return let(F.when(t.rlike(pattern), F.split(t, separator)), build)
+
+
+MONTHS_ANY = {**MONTHS_SHORT, **MONTHS_FULL}
+NAMED_SHAPE = r"^\d{1,2}\s+[A-Za-z]+\s+\d{4}$"
 
 
 def normalize_date(c: Column) -> Column:
     """Lenient reader: finds a date anywhere in the text, never checks the calendar,
     returns unreadable text as it is."""
-    raw = F.trim(F.regexp_replace(F.upper(denull(c, MISSING_DATE)), DATE_LABEL_PREFIX, ""))
-    iso = F.split(_part(raw, r"\b(\d{4}[-/.]\d{2}[-/.]\d{2})\b", 1), "[-/.]")
-    named = F.split(_part(raw, r"\b(\d{1,2}[\s\-/.][A-Z]{3,9}[\s\-/.]\d{4})\b", 1), r"[\s\-/.]")
-    month = lookup(MONTHS_SHORT, F.left(named[1], F.lit(3)))
-    numeric = F.split(_part(raw, r"\b(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})\b", 1), "[-/.]")
-    six = F.when(raw.rlike(r"^\d{6}$"), raw)
-    century = F.when(F.left(six, F.lit(2)).cast("int") > 45, "19").otherwise("20")
-    dash = F.lit("-")
-    return F.coalesce(
-        F.concat(iso[0], dash, iso[1], dash, iso[2]),
-        F.concat(named[2], dash, month, dash, _pad(named[0])),
-        F.concat(numeric[2], dash, _pad(numeric[1]), dash, _pad(numeric[0])),
-        F.when(six.isNotNull(), F.concat(century, F.left(six, F.lit(2)), dash, F.substring(six, 3, 2), dash,
-                                         F.substring(six, 5, 2))),
-        raw)
+    def read(raw):
+        iso = let(F.split(_part(raw, r"\b(\d{4}[-/.]\d{2}[-/.]\d{2})\b"), "[-/.]"), lambda p: _joined(p[0], p[1], p[2]))
+        named = let(F.split(_part(raw, r"\b(\d{1,2}[\s\-/.][A-Z]{3,9}[\s\-/.]\d{4})\b"), r"[\s\-/.]"),
+                    lambda p: _joined(p[2], _month(F.left(p[1], F.lit(3)), MONTHS_SHORT), p[0]))
+        numeric = let(F.split(_part(raw, r"\b(\d{1,2}[-/.]\d{1,2}[-/.]\d{4})\b"), "[-/.]"),
+                      lambda p: _joined(p[2], p[1], p[0]))
+        six = F.when(raw.rlike(r"^\d{6}$"), F.concat(
+            F.when(F.left(raw, F.lit(2)) > "45", "19").otherwise("20"), F.left(raw, F.lit(2)), F.lit("-"),
+            F.substring(raw, 3, 2), F.lit("-"), F.substring(raw, 5, 2)))
+        return F.coalesce(iso, named, numeric, six, raw)
+    return let(F.trim(F.regexp_replace(F.upper(denull(c, MISSING_DATE)), DATE_LABEL_PREFIX, "")), read)
+
+
+def _named_day(t: Column) -> Column:
+    return let(F.when(t.rlike(NAMED_SHAPE), F.split(squeeze(t), " ")),
+               lambda p: _real_day(_joined(p[2], _month(p[1], MONTHS_ANY), p[0])))
 
 
 def strict_date(c: Column) -> Column:
     """Whole-text reader with a calendar check; five formats; null otherwise."""
-    t = F.trim(c)
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.split(t, "-"))
-    slash = F.when(t.rlike(r"^(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})$"), F.split(t, "[/-]"))
-    named = F.when(t.rlike(r"^\d{1,2}\s+[A-Za-z]+\s+\d{4}$"), F.split(F.upper(squeeze(t)), " "))
-    month = F.coalesce(lookup(MONTHS_SHORT, named[1]), lookup(MONTHS_FULL, named[1]))
-    return F.coalesce(_calendar(iso[0], iso[1], iso[2]), _calendar(slash[2], slash[1], slash[0]),
-                      _calendar(named[2], month, named[0]))
+    def read(t):
+        return F.coalesce(
+            _shaped(t, r"^\d{4}-\d{2}-\d{2}$", "-", lambda p: _real_day(_joined(p[0], p[1], p[2]))),
+            _shaped(t, r"^(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})$", "[/-]",
+                    lambda p: _real_day(_joined(p[2], p[1], p[0]))),
+            _named_day(t))
+    return let(F.trim(c), read)
 
 
 VISA_DATE_PATTERNS = [
@@ -82,35 +100,35 @@ VISA_DATE_PATTERNS = [
 
 def extract_visa_date(c: Column) -> Column:
     """First date-like text, named month before numeric before year-first."""
-    return F.coalesce(*[_part(c, p, 1) for p in VISA_DATE_PATTERNS])
+    return F.coalesce(*[_part(c, p) for p in VISA_DATE_PATTERNS])
 
 
 def visa_date(c: Column) -> Column:
     """Reader for visa fields: four numeric formats, then day, month word, year."""
-    t = F.trim(c)
-    iso = F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.split(t, "-"))
-    day_first = F.when(t.rlike(r"^(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4})$"),
-                       F.split(t, "[-/.]"))
-    parts = F.split(t, r"[\s/\-.]+")
-    named = F.when((F.size(parts) == 3) & parts.getItem(0).rlike(r"^\d+$")
-                   & F.try_element_at(parts, F.lit(3)).rlike(r"^\d{4}$"), parts)
-    month = lookup(MONTHS_SHORT, F.left(F.upper(named[1]), F.lit(3)))
-    return F.coalesce(_calendar(iso[0], iso[1], iso[2]), _calendar(day_first[2], day_first[1], day_first[0]),
-                      F.when(F.length(named[0]) <= 2, _calendar(named[2], month, named[0])))
+    def word(p):
+        fits = (F.size(p) == 3) & p[0].rlike(r"^\d{1,2}$") & F.try_element_at(p, F.lit(3)).rlike(r"^\d{4}$")
+        month = _month(F.left(F.try_element_at(p, F.lit(2)), F.lit(3)), MONTHS_SHORT)
+        return F.when(fits, _real_day(_joined(F.try_element_at(p, F.lit(3)), month, p[0])))
+
+    def read(t):
+        return F.coalesce(
+            _shaped(t, r"^\d{4}-\d{1,2}-\d{1,2}$", "-", lambda p: _real_day(_joined(p[0], p[1], p[2]))),
+            _shaped(t, r"^(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4}|\d{1,2}\.\d{1,2}\.\d{4})$", "[-/.]",
+                    lambda p: _real_day(_joined(p[2], p[1], p[0]))),
+            let(F.split(t, r"[\s/\-.]+"), word))
+    return let(F.trim(c), read)
 
 
 def display_date(c: Column) -> Column:
     """Reader of the report view: year first, day first, month word, six digits; calendar-checked."""
-    t = F.trim(c)
-    ymd = F.when(t.rlike(r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$"), F.split(t, "[-/.]"))
-    dmy = F.when(t.rlike(r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}$"), F.split(t, "[-/.]"))
-    named = F.when(t.rlike(r"^\d{1,2}\s+[A-Za-z]+\s+\d{4}$"), F.split(F.upper(squeeze(t)), " "))
-    month = F.coalesce(lookup(MONTHS_SHORT, named[1]), lookup(MONTHS_FULL, named[1]))
-    six = F.when(t.rlike(r"^\d{6}$"), t)
-    year = pivot_year(F.left(six, F.lit(2)).cast("int"), 50).cast("string")
-    return F.coalesce(_calendar(ymd[0], ymd[1], ymd[2]), _calendar(dmy[2], dmy[1], dmy[0]),
-                      _calendar(named[2], month, named[0]),
-                      _calendar(year, F.substring(six, 3, 2), F.substring(six, 5, 2)))
+    def read(t):
+        year = pivot_year(F.substring(t, 1, 2).try_cast("int"), 50).cast("string")
+        return F.coalesce(
+            _shaped(t, r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}$", "[-/.]", lambda p: _real_day(_joined(p[0], p[1], p[2]))),
+            _shaped(t, r"^\d{1,2}[-/.]\d{1,2}[-/.]\d{4}$", "[-/.]", lambda p: _real_day(_joined(p[2], p[1], p[0]))),
+            _named_day(t),
+            F.when(t.rlike(r"^\d{6}$"), _real_day(_joined(year, F.substring(t, 3, 2), F.substring(t, 5, 2)))))
+    return let(F.trim(c), read)
 
 
 def is_past(iso: Column, as_of: str) -> Column:

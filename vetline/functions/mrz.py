@@ -210,7 +210,9 @@ def decode_td3(df: DataFrame, line_a: str, line_b: str, as_of: str) -> DataFrame
     blank = {c: F.when(ok, F.col(c)) for c in DECODED[1:-1] if c != "is_expired"}
     out = out.withColumn("parsed", ok).withColumns(blank).withColumns({
         "all_checks_passed": ok & F.col("all_checks_passed"), "is_expired": ok & F.col("is_expired")})
-    return out.select(*keep, "header", "data", *DECODED)
+    # a generator fences the chain off: a filter on a decoded column is not rewritten
+    # in terms of the raw lines, which would repeat the whole repair chain
+    return out.select(*keep, F.inline(F.array(F.struct("header", "data", *DECODED))))
 
 
 def mrz_state(doc_type: Column, page_type: Column, is_identity_page: Column, n_candidates: Column,

@@ -90,14 +90,12 @@ def squeeze(c: Column) -> Column:
 
 def denull(c: Column, missing=tuple(MISSING_SERVER)) -> Column:
     """Null for placeholders, whatever their case; otherwise the trimmed text."""
-    t = F.trim(c)
-    return F.when((t != "") & ~F.upper(t).isin(*missing), t)
+    return let(F.trim(c), lambda t: F.when((t != "") & ~F.upper(t).isin(*missing), t))
 
 
 def denull_display(c: Column) -> Column:
     """Null for the placeholders a display shows, case-sensitive."""
-    t = F.trim(c)
-    return F.when(~t.isin(*MISSING_DISPLAY), t)
+    return let(F.trim(c), lambda t: F.when(~t.isin(*MISSING_DISPLAY), t))
 
 
 def normalize_text(c: Column) -> Column:
@@ -115,29 +113,29 @@ def _all_in(tokens: Column, vocabulary) -> Column:
     return F.size(F.array_except(tokens, words(vocabulary))) == 0
 
 
+def _display_noise(t: Column) -> Column:
+    pattern_hit = reduce(lambda a, b: a | b, [t.rlike(p) for p in LABEL_PATTERNS_DISPLAY])
+    folded = F.upper(F.regexp_replace(t, "[^A-Za-z]", ""))
+
+    def only_labels(tokens):
+        return (F.size(tokens) > 0) & _all_in(F.filter(tokens, lambda x: F.length(x) > 1), LABEL_WORDS_DISPLAY)
+    return (F.when(F.length(t) < 2, True).when(pattern_hit, True).when(t.rlike(r"\d{3,}"), False)
+            .when(folded.isin(*LABEL_WORDS_DISPLAY), True).otherwise(let(alpha_tokens(t), only_labels)))
+
+
 def is_label_noise(c: Column, variant: str = "visa") -> Column:
     """Whether a candidate value is only printed labels. Variants: visa, reader, display."""
-    t = F.trim(F.coalesce(c, F.lit("")))
-    has_number = t.rlike(r"\d{3,}")
-    if variant == "display":
-        folded = F.upper(F.regexp_replace(t, "[^A-Za-z]", ""))
-        tokens = F.filter(F.split(F.upper(t), "[^A-Z]+"), lambda x: x != "")
-        long_tokens = F.filter(tokens, lambda x: F.length(x) > 1)
-        pattern_hit = reduce(lambda a, b: a | b, [t.rlike(p) for p in LABEL_PATTERNS_DISPLAY])
-        return (
-            F.when(F.length(t) < 2, True).when(pattern_hit, True).when(has_number, False)
-            .when(folded.isin(*LABEL_WORDS_DISPLAY), True)
-            .otherwise((F.size(tokens) > 0) & _all_in(long_tokens, LABEL_WORDS_DISPLAY)))
-    if variant == "visa":
-        def judge(tokens):
+    def judge(tokens):
+        if variant == "visa":
             return (F.size(tokens) == 0) | _all_in(tokens, LABEL_WORDS_VISA)
-    elif variant == "reader":
-        def judge(tokens):
-            return ((F.size(tokens) == 0) | (F.size(tokens) > 3) | F.arrays_overlap(tokens, words(BOILERPLATE_WORDS))
-                    | _all_in(tokens, LABEL_WORDS_READER))
-    else:
-        raise ValueError(variant)
-    return F.when(F.length(t) < 2, True).when(has_number, False).otherwise(let(alpha_tokens(t), judge))
+        return ((F.size(tokens) == 0) | (F.size(tokens) > 3) | F.arrays_overlap(tokens, words(BOILERPLATE_WORDS))
+                | _all_in(tokens, LABEL_WORDS_READER))
+
+    def noise(t):
+        if variant == "display":
+            return _display_noise(t)
+        return F.when(F.length(t) < 2, True).when(t.rlike(r"\d{3,}"), False).otherwise(let(alpha_tokens(t), judge))
+    return let(F.trim(F.coalesce(c, F.lit(""))), noise)
 
 
 def is_display_noise(c: Column, field: str) -> Column:
