@@ -381,6 +381,26 @@ _SPECS["tokens"] = ("lineitem", [[
     ("cast(round(l_extendedprice * 100) as bigint)", "tie"),
 ]], ["page", "block_num", "par_num", "line_num", "x", "y", "w", "h", "conf", "text", "tie"])
 
+_SPECS["eval_cases"] = ("orders", [[
+    ("o_custkey", "parent"), ("concat('P', cast(o_custkey % 400 as string))", "person_id"),
+    ("case when o_orderpriority < '3' then 'PASSPORT' else 'VISA' end", "document_type"),
+    ("case o_orderkey % 4 when 0 then 'REFERENCE' when 1 then 'VARIANT' when 2 then 'MUTATION' else 'DUPLICATE' end", "role"),
+    ("case o_orderkey % 3 when 0 then 'SAME' when 1 then 'CROSS' else null end", "pair_kind"),
+    ("case when o_totalprice > 300000 then 'MATCH' when o_totalprice > 150000 then 'BORDERLINE' else 'MISMATCH' end", "pair_result"),
+    ("o_orderkey % 5", "mismatched_fields"), ("o_orderkey % 6 = 1", "zone_failed"), ("o_orderkey % 2", "zone_discrepancies"),
+    ("o_totalprice / 5000", "tamper_score"),
+    ("case o_orderstatus when 'F' then 'COMPLETED' when 'O' then 'UNABLE_TO_VERIFY' else null end", "status"),
+    ("o_orderkey % 8 < 3", "anchored"), ("o_orderkey % 8 > 1", "verified"),
+]], ["parent", "person_id", "document_type", "role", "pair_kind", "pair_result", "mismatched_fields", "zone_failed",
+     "zone_discrepancies", "tamper_score", "status", "anchored", "verified"])
+
+_SPECS["regions"] = ("part", [[
+    ("p_partkey", "id"),
+    ("concat(case when p_partkey % 5 = 0 then 'media_' else '' end, replace(p_name, ' ', '_'), case when p_partkey % 3 = 0 "
+     "then concat(' (', cast(p_partkey % 4 as string), ')') else '' end, '.jpg')", "filename"),
+    ("case when p_partkey % 7 = 0 then 'VISA_VARIANT' else 'IDENTITY_PAGE' end", "role"),
+]], ["id", "filename", "role"])
+
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A provided or derived table as a DataFrame."""

@@ -121,3 +121,30 @@ def populated(columns: list[str]) -> Column:
 def verified_counts(rows: DataFrame, case: str = "case_id") -> DataFrame:
     ok = F.col("status").isin("MATCH", "VIZ_ONLY", "MRZ_ONLY")
     return rows.groupBy(case).agg(F.count_if(ok).alias("verified"), F.count(F.lit(1)).alias("checked"))
+
+
+def eval_summary(cases: DataFrame) -> DataFrame:
+    """Evaluation roll-up in one pass; plain counts, nothing is floored.
+
+    Needs parent, person_id, document_type, role, pair_kind, pair_result, mismatched_fields,
+    zone_failed, zone_discrepancies, tamper_score, status, anchored, verified.
+    """
+    c = F.col
+    same, cross = c("pair_kind") == "SAME", c("pair_kind") == "CROSS"
+    reference = c("role") == "REFERENCE"
+    return cases.agg(
+        F.count_distinct("parent").alias("parent_images"), F.count(F.lit(1)).alias("document_regions"),
+        F.count_if(c("document_type") == "PASSPORT").alias("passports"),
+        F.count_if((c("document_type") == "VISA") & reference).alias("visas"),
+        F.count_if(c("role") == "VARIANT").alias("variants"), F.count_distinct("person_id").alias("people"),
+        F.count_if(same).alias("same_person_pairs"), F.count_if(cross).alias("cross_person_pairs"),
+        F.coalesce(F.sum("mismatched_fields"), F.lit(0)).alias("field_mismatches"),
+        F.count_if("zone_failed").alias("zone_failures"),
+        F.coalesce(F.sum("zone_discrepancies"), F.lit(0)).alias("zone_discrepancies"),
+        F.count_if(same & (c("pair_result") == "MATCH")).alias("face_matches"),
+        F.count_if(same & (c("pair_result") == "MISMATCH")).alias("face_mismatches"),
+        F.count_if(c("tamper_score") > 30).alias("forensic_anomalies"),
+        F.count_if(c("role") == "MUTATION").alias("tampering_cases"),
+        F.count_if(c("status") == "UNABLE_TO_VERIFY").alias("unable_to_verify_cases"),
+        F.count_if("anchored").alias("anchors"), F.count_if("verified").alias("audit_verifications"),
+        F.count(c("status")).alias("evaluated_cases"))
