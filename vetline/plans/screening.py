@@ -156,6 +156,14 @@ def max_points(findings: DataFrame, case: str, points: Column, name: str) -> Dat
     return findings.groupBy(case).agg(F.max(points).alias(name))
 
 
+def severe_categories(findings: DataFrame, case: str) -> DataFrame:
+    """How many categories of a case hold a HIGH or CRITICAL finding, and what that adds. Rows are
+    first cut to one per case and category."""
+    severe = findings.groupBy(case, "category").agg(F.max(_is_severe(F.col("severity"))).alias("_s"))
+    out = severe.groupBy(case).agg(F.count_if("_s").alias("severe_categories"))
+    return out.withColumn("escalation", escalation(F.col("severe_categories")))
+
+
 def escalation(severe_categories: Column) -> Column:
     return F.when(severe_categories >= 3, 25.0).when(severe_categories >= 2, 15.0).otherwise(0.0)
 

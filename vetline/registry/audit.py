@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from vetline.feeds import ctes, frame
 from vetline.functions import digest
 from vetline.operators import audit, folds
+from vetline.operators.topk import best_row
 from vetline.registry.core import query
 
 GENESIS = digest.GENESIS
@@ -109,3 +110,9 @@ def _(spark, sf_dir):
 @query("utc_second_text", "SD-10", "select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') at_text from events")
 def _(spark, sf_dir):
     return frame(spark, sf_dir, "events").select("event_id", digest.utc_seconds(F.col("ts")).alias("at_text"))
+
+
+@query("latest_event_per_chain", "WN-1", """
+select user_id chain_id, max(event_id) id, arg_max(event_type, event_id) event_type, arg_max(ts, event_id) ts from events group by 1""")
+def _(spark, sf_dir):
+    return best_row(_source(spark, sf_dir), ["chain_id"], F.col("id")).select("chain_id", "id", "event_type", "ts")

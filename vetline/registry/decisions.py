@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from vetline.feeds import ctes, frame
 from vetline.functions import fields as fl
-from vetline.functions.numeric import fixed_round
 from vetline.functions import mrz
 from vetline.operators import aggregates, joins, topk
 from vetline.plans import classify, crosscheck as cc, screening as sc
@@ -502,3 +501,16 @@ def _(spark, sf_dir):
     core = aggregates.populated(["visa_number", "_holder", "_valid"])
     return v.select("doc_id", sc.visa_status(core, total).alias("visa_status"),
                     sc.reread_status(total, F.col("doc_id") % 7 != 0).alias("reread_status"))
+
+
+@query("max_severity_points", "AG-12", ctes("findings") + """
+select screening_id, cast(max(case severity when 'CRITICAL' then 85 when 'HIGH' then 55 else 25 end) as double) points from findings group by 1""")
+def _(spark, sf_dir):
+    return sc.max_points(frame(spark, sf_dir, "findings"), "screening_id", sc.rule_points(F.col("severity")), "points")
+
+
+@query("severe_category_escalation", "AG-13", ctes("findings") + """
+, n as (select screening_id, count(distinct category) filter (severity in ('CRITICAL','HIGH')) severe_categories from findings group by 1)
+select *, cast(case when severe_categories >= 3 then 25 when severe_categories >= 2 then 15 else 0 end as double) escalation from n""")
+def _(spark, sf_dir):
+    return sc.severe_categories(frame(spark, sf_dir, "findings"), "screening_id")
