@@ -25,21 +25,23 @@ LINE = 44
 VALUES_MOD_10 = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ<", "012345678901234567890123450")
 
 
-def check_digit(c: Column, width: int | None = None) -> Column:
-    """Weighted 7-3-1 sum modulo 10, as text. Letters count from 10, filler as 0.
-
-    Only values modulo 10 matter, so one ``translate`` turns the text into digits.
-    With a known width the sum is unrolled and stays inside code generation.
-    """
-    digits = F.translate(F.upper(c), *VALUES_MOD_10)
-    if width is None:
-        weights = F.array(*[F.lit(w) for w in WEIGHTS])
-        terms = F.transform(F.split(digits, ""), lambda ch, i: F.coalesce(
-            F.try_to_number(ch, F.lit("9")).cast("int"), F.lit(0)) * weights[F.pmod(i, F.lit(3))])
-        total = F.aggregate(terms, F.lit(0), lambda acc, x: acc + x)
-    else:
-        total = sum(((F.ascii(F.substring(digits, i + 1, 1)) - 48) * WEIGHTS[i % 3] for i in range(width)), F.lit(0))
-    return F.pmod(total, F.lit(10)).cast("string")
+def digit_values(c: Column) -> Column:
+    """Each character's value modulo 10, as a digit; only that matters for the sum."""
+    return F.translate(F.upper(c), *VALUES_MOD_10)
+
+
+def check_digit(c: Column) -> Column:
+    """Weighted 7-3-1 sum modulo 10, as text. Letters count from 10, filler as 0."""
+    weights = F.array(*[F.lit(w) for w in WEIGHTS])
+    terms = F.transform(F.split(digit_values(c), ""), lambda ch, i: F.coalesce(
+        ch.try_cast("int"), F.lit(0)) * weights[F.pmod(i, F.lit(3))])
+    return F.pmod(F.aggregate(terms, F.lit(0), lambda acc, x: acc + x), F.lit(10)).cast("string")
+
+
+def check_digit_of(values: str, width: int) -> Column:
+    """The same for a column of digit values of a known width: unrolled, inside code generation."""
+    terms = [f"{WEIGHTS[i % 3]} * (ascii(substr({values}, {i + 1}, 1)) - 48)" for i in range(width)]
+    return F.expr(f"cast(pmod({' + '.join(terms)}, 10) as string)")
 
 
 def as_digits(c: Column) -> Column:
@@ -114,7 +116,8 @@ def _country(c: Column) -> Column:
 
 
 SCRATCH = ["_l", "_s", "_sex"] + [f"_{n}" for n in ("num", "dob", "exp", "opt")] + [
-    f"_{n}_c" for n in ("num", "dob", "exp", "opt", "all")] + [f"_e_{n}" for n in ("num", "dob", "exp", "opt", "all")]
+    f"_{n}_c" for n in ("num", "dob", "exp", "opt", "all")] + [
+    f"_{k}_{n}" for k in "ev" for n in ("num", "dob", "exp", "opt", "all")]
 
 
 def decode_data(df: DataFrame, line: str, as_of: str) -> DataFrame:
@@ -138,11 +141,15 @@ def decode_data(df: DataFrame, line: str, as_of: str) -> DataFrame:
                        F.when(F.col("_opt_c") == "", "0").otherwise(F.col("_opt_c")))
     df = df.withColumns({
         "optional_data": F.replace(F.col("_opt"), F.lit("<"), F.lit("")),
-        "_e_num": check_digit(F.col("_num"), 9), "_e_dob": check_digit(F.col("_dob"), 6),
-        "_e_exp": check_digit(F.col("_exp"), 6), "_e_all": check_digit(payload, 39),
+        "_v_num": digit_values(F.col("_num")), "_v_dob": digit_values(F.col("_dob")),
+        "_v_exp": digit_values(F.col("_exp")), "_v_opt": digit_values(F.col("_opt")), "_v_all": digit_values(payload),
+    })
+    df = df.withColumns({
+        "_e_num": check_digit_of("_v_num", 9), "_e_dob": check_digit_of("_v_dob", 6),
+        "_e_exp": check_digit_of("_v_exp", 6), "_e_all": check_digit_of("_v_all", 39),
     })
     df = df.withColumn("_e_opt", F.when(
-        (F.col("optional_data") != "") & F.col("_opt_c").rlike("^[0-9]$"), check_digit(F.col("_opt"), 14))
+        (F.col("optional_data") != "") & F.col("_opt_c").rlike("^[0-9]$"), check_digit_of("_v_opt", 14))
         .otherwise(F.col("_opt_c")))
 
     def entry(observed, expected):

@@ -66,13 +66,18 @@ DEMONYMS = {
 SEX_CODES = {"M": "M", "MALE": "M", "F": "F", "FEMALE": "F"}
 
 
+def _quoted(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def words(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+    """A constant array, parsed in one go instead of built literal by literal."""
+    return F.expr("array(" + ", ".join(map(_quoted, values)) + ")")
 
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:
     """Value of a small constant dictionary, null when the key is not in it."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv]), key)
+    return F.try_element_at(F.expr("map(" + ", ".join(_quoted(x) for kv in mapping.items() for x in kv) + ")"), key)
 
 
 def let(value: Column, body) -> Column:
@@ -114,13 +119,13 @@ def _all_in(tokens: Column, vocabulary) -> Column:
 
 
 def _display_noise(t: Column) -> Column:
-    pattern_hit = reduce(lambda a, b: a | b, [t.rlike(p) for p in LABEL_PATTERNS_DISPLAY])
+    pattern_hit = t.rlike("(?i)" + "|".join(p.removeprefix("(?i)") for p in LABEL_PATTERNS_DISPLAY))
     folded = F.upper(F.regexp_replace(t, "[^A-Za-z]", ""))
 
     def only_labels(tokens):
         return (F.size(tokens) > 0) & _all_in(F.filter(tokens, lambda x: F.length(x) > 1), LABEL_WORDS_DISPLAY)
     return (F.when(F.length(t) < 2, True).when(pattern_hit, True).when(t.rlike(r"\d{3,}"), False)
-            .when(folded.isin(*LABEL_WORDS_DISPLAY), True).otherwise(let(alpha_tokens(t), only_labels)))
+            .when(F.array_contains(words(LABEL_WORDS_DISPLAY), folded), True).otherwise(let(alpha_tokens(t), only_labels)))
 
 
 def is_label_noise(c: Column, variant: str = "visa") -> Column:
@@ -154,7 +159,7 @@ def clean_name_tokens(c: Column, variant: str = "visa") -> Column:
     vocabulary = LABEL_WORDS_VISA if variant == "visa" else LABEL_WORDS_READER
     bare = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), NAME_LABEL_PREFIX, "")
     tokens = F.split(F.upper(squeeze(F.regexp_replace(bare, "[^A-Za-z]", " "))), " ")
-    good = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~t.isin(*vocabulary)
+    good = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~F.array_contains(words(vocabulary), t)
                     & ((F.length(t) > 2) | t.rlike("[AEIOUY]")))
     return let(F.array_join(good, " "), lambda name: F.when(is_label_noise(name, variant), F.lit("")).otherwise(name))
 

@@ -23,17 +23,6 @@ def with_slice(df: DataFrame, position: str, slice_rows: int = SLICE_ROWS) -> Da
     return df.withColumn(SLICE, F.floor(F.col(position) / F.lit(slice_rows)).cast("bigint"))
 
 
-def _carried(df: DataFrame, keys: Sequence[str], summary: Column, over: Column | None, name: str) -> DataFrame:
-    """One row per (key, slice) with what all earlier slices hand over."""
-    by_slice = W.partitionBy(*keys).orderBy(SLICE)
-    tails = df.groupBy(*keys, SLICE).agg(summary.alias("_tail"))
-    if over is None:
-        handed = F.last("_tail", ignorenulls=True).over(by_slice.rowsBetween(W.unboundedPreceding, -1))
-    else:
-        handed = over.over(by_slice.rowsBetween(W.unboundedPreceding, -1))
-    return tails.select(*keys, SLICE, handed.alias(name))
-
-
 def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, SLICE]]
     left = [F.col(f"l.{c}") for c in df.columns]
@@ -46,20 +35,25 @@ def with_lag(df: DataFrame, keys: Sequence[str], position: str, cols: Sequence[s
     """The previous row's ``cols`` within a key, in order of ``position``."""
     sliced = with_slice(df, position, slice_rows)
     row = F.struct(*[F.col(c) for c in cols])
-    carry = _carried(sliced, keys, F.max_by(row, F.col(position)), None, "_carry")
+    earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    tails = sliced.groupBy(*keys, SLICE).agg(F.max_by(row, F.col(position)).alias("_tail"))
+    carry = tails.select(*keys, SLICE, F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
     inside = W.partitionBy(*keys, SLICE).orderBy(position)
     out = _attach(sliced.withColumn("_lag", F.lag(row).over(inside)), carry, keys)
     out = out.withColumn("_prev", F.coalesce("_lag", "_carry"))
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(prefix + c) for c in cols])
 
 
-def with_rank(df: DataFrame, keys: Sequence[str], position: str,
-              slice_rows: int = SLICE_ROWS, name: str = "rank") -> DataFrame:
-    """1-based rank of a row within its key, in order of ``position``."""
+def with_rank(df: DataFrame, keys: Sequence[str], position: str, slice_rows: int = SLICE_ROWS,
+              name: str = "rank", ahead: Sequence[str] = ()) -> DataFrame:
+    """1-based rank of a row within its key, in order of the ``ahead`` columns and then ``position``."""
+    group = [*keys, *ahead]
     sliced = with_slice(df, position, slice_rows)
-    carry = _carried(sliced, keys, F.count(F.lit(1)), F.sum("_tail"), "_before")
-    inside = W.partitionBy(*keys, SLICE).orderBy(position)
-    out = _attach(sliced.withColumn("_in", F.row_number().over(inside)), carry, keys)
+    earlier = W.partitionBy(*keys).orderBy(*ahead, SLICE).rowsBetween(W.unboundedPreceding, -1)
+    tails = sliced.groupBy(*group, SLICE).agg(F.count(F.lit(1)).alias("_n"))
+    carry = tails.select(*group, SLICE, F.sum("_n").over(earlier).alias("_before"))
+    inside = W.partitionBy(*group, SLICE).orderBy(position)
+    out = _attach(sliced.withColumn("_in", F.row_number().over(inside)), carry, group)
     return out.select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_in")).cast("bigint").alias(name))
 
 

@@ -176,18 +176,19 @@ def risk(cases: DataFrame, viz: DataFrame, rules: DataFrame, tamper: DataFrame)
     """Fused risk per case.
 
     ``cases`` has id, document_type, parsed, failed_checks, composite_failed, tamper_score, face_state, duplicate,
-    quality_verdict; the finding tables have screening_id and severity. Each finding table is
-    reduced to one row per case before it is joined, all on the same key.
+    quality_verdict; the finding tables have screening_id and severity.
     """
-    def per_case(findings, points, name):
-        return findings.groupBy("screening_id").agg(
-            F.max(points).alias(name), F.max(_is_severe(F.col("severity"))).alias(f"{name}_severe"))
-    v = per_case(viz, viz_points(F.col("severity")), "viz")
-    r = per_case(rules, rule_points(F.col("severity")), "rules")
-    t = tamper.groupBy("screening_id").agg(F.max(_is_severe(F.col("severity"))).alias("tamper_severe"))
-    df = cases
-    for side in (v, r, t):
-        df = df.join(side.withColumnRenamed("screening_id", "id"), "id", "left")
+    def tagged(findings, kind):
+        return findings.select(F.col("screening_id").alias("id"), F.lit(kind).alias("_kind"), "severity")
+
+    def most(kind, value):
+        return F.max(F.when(F.col("_kind") == kind, value))
+    severity = F.col("severity")
+    # all findings are cut to one row per case in one aggregate, so one narrow shuffle and one join
+    marks = tagged(viz, "viz").unionByName(tagged(rules, "rules")).unionByName(tagged(tamper, "tamper")).groupBy("id").agg(
+        most("viz", viz_points(severity)).alias("viz"), most("rules", rule_points(severity)).alias("rules"),
+        *[most(k, _is_severe(severity)).alias(f"{k}_severe") for k in ("viz", "rules", "tamper")])
+    df = cases.join(marks, "id", "left")
     no, zero = F.lit(False), F.lit(0.0)
     df = df.withColumns({
         "mrz": mrz_points(F.col("parsed"), F.col("failed_checks"), F.col("document_type")),
@@ -250,17 +251,11 @@ def risk_reasons(cases: DataFrame, viz: DataFrame, rules: DataFrame, tamper: Dat
 def order_reasons(reasons: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Place of each reason in its case: by severity, then in order of insertion.
 
-    The place is the number of reasons of graver severity plus the rank inside the
-    severity and signal, so no window has to hold a whole case.
+    Counts per severity, signal and slice give what comes before, so no window has to hold
+    a whole case.
     """
     graded = reasons.withColumn("_sev", severity_rank(F.col("severity")))
-    groups = graded.groupBy("case_id", "_sev", "step").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window as W
-    before = F.sum("_n").over(W.partitionBy("case_id").orderBy("_sev", "step").rowsBetween(W.unboundedPreceding, -1))
-    groups = groups.select("case_id", "_sev", "step", F.coalesce(before, F.lit(0)).alias("_before"))
-    ranked = with_rank(graded, ["case_id", "_sev", "step"], "seq", slice_rows, "_in")
-    return ranked.join(groups, ["case_id", "_sev", "step"]).withColumn(
-        "place", F.col("_before") + F.col("_in")).drop("_sev", "_before", "_in")
+    return with_rank(graded, ["case_id"], "seq", slice_rows, "place", ahead=["_sev", "step"]).drop("_sev")
 
 
 def top_reasons(reasons: DataFrame, k: int = 4) -> DataFrame:
