@@ -51,8 +51,9 @@ def test_global_sequence(spark):
 def test_exact_median(spark):
     df = hot(spark).withColumn("x", F.col("v") * F.when(F.col("v") % 7 == 0, 1e6).otherwise(1.0))
     want = {r["k"]: r["m"] for r in df.groupBy("k").agg(F.median("x").alias("m")).collect()}
-    got = {r["k"]: r["median"] for r in exact_median(df, "k", "x", bins=4).collect()}
-    assert got == want
+    for accuracy in (10, 50, 10000):
+        got = {r["k"]: r["median"] for r in exact_median(df, "k", "x", accuracy).collect()}
+        assert got == want
     same = spark.range(10).select(F.lit(1).alias("k"), F.lit(2.5).alias("x"))
     assert exact_median(same, "k", "x").first()["median"] == 2.5
 

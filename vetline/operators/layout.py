@@ -9,7 +9,7 @@ from vetline.functions.numeric import clone_anomaly, fixed_round, noise_anomaly
 
 LINE_KEY = ["page", "block_num", "par_num", "line_num"]
 TEXT_SLICE = 4096
-MEDIAN_BINS = 1024
+MEDIAN_ACCURACY = 10000
 
 
 def lines_from_tokens(tokens: DataFrame, key: list[str] = LINE_KEY, slice_width: int = TEXT_SLICE) -> DataFrame:
@@ -58,30 +58,31 @@ def primary_region(regions: DataFrame, group: str, frame_width: int, tie: str, l
     return best.select(group, "r.*")
 
 
-def exact_median(df: DataFrame, key: str, value: str, bins: int = MEDIAN_BINS) -> DataFrame:
-    """(key, median, max_value, std) without gathering a group.
+def exact_median(df: DataFrame, key: str, value: str, accuracy: int = MEDIAN_ACCURACY) -> DataFrame:
+    """(key, median, max_value, std) without gathering a group, exact for any distribution.
 
-    A histogram between a key's extremes finds the bin of the middle ranks; only values of
-    that bin are counted one by one.
+    A mergeable quantile summary brackets the middle ranks of a key within a few in
+    ``accuracy`` of its rows; only the distinct values inside the bracket are ranked one by one,
+    everything below is a single count. Keys of up to ``accuracy`` rows need no bracket.
     """
     v = F.col(value)
-    ends = df.groupBy(key).agg(F.count(v).alias("n"), F.min(v).alias("lo"), F.max(v).alias("hi"),
-                               F.stddev_pop(v).alias("std"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    bin_no = F.when(width > 0, F.least(F.floor((v - F.col("lo")) / width), F.lit(bins - 1))).otherwise(F.lit(0))
-    placed = df.join(ends.select(key, "n", "lo", "hi"), key).filter(v.isNotNull()).withColumn("_b", bin_no)
-    hist = placed.groupBy(key, "n", "_b").agg(F.count(F.lit(1)).alias("c"))
-    cum = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    margin = 2.0 / accuracy
+    ends = df.groupBy(key).agg(
+        F.count(v).alias("n"), F.min(v).alias("min_value"), F.max(v).alias("max_value"), F.stddev_pop(v).alias("std"),
+        F.percentile_approx(v, [max(0.0, 0.5 - margin), min(1.0, 0.5 + margin)], accuracy).alias("_q"))
+    few = F.col("n") <= accuracy
+    bounds = ends.select(key, "n", F.when(few, F.col("min_value")).otherwise(F.col("_q")[0]).alias("_lo"),
+                         F.when(few, F.col("max_value")).otherwise(F.col("_q")[1]).alias("_hi"))
+    near = df.join(bounds, key).filter(v <= F.col("_hi"))
+    counts = near.groupBy(key, "n", F.when(v >= F.col("_lo"), v).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    cum = W.partitionBy(key).orderBy(F.asc_nulls_first("_v")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    counts = counts.withColumn("_upto", F.sum("_c").over(cum))
+
+    def at(rank):
+        return F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
     lower, upper = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)
-    hist = hist.withColumn("upto", F.sum("c").over(cum)).withColumn("before", F.col("upto") - F.col("c"))
-    wanted = hist.filter((F.col("upto") >= lower) & (F.col("before") < upper)).select(key, "_b", "before")
-    exact = placed.join(wanted, [key, "_b"]).groupBy(key, "n", "_b", "before", value).agg(F.count(F.lit(1)).alias("c"))
-    inner = W.partitionBy(key, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    exact = exact.withColumn("upto", F.col("before") + F.sum("c").over(inner)).withColumn("from_", F.col("upto") - F.col("c"))
-    hit_low = (F.col("from_") < lower) & (F.col("upto") >= lower)
-    hit_high = (F.col("from_") < upper) & (F.col("upto") >= upper)
-    mid = exact.groupBy(key).agg(((F.max(F.when(hit_low, v)) + F.max(F.when(hit_high, v))) / 2).alias("median"))
-    return mid.join(ends.select(key, F.col("hi").alias("max_value"), "std"), key)
+    mid = counts.groupBy(key).agg(((at(lower) + at(upper)) / 2).alias("median"))
+    return mid.join(ends.select(key, "max_value", "std"), key)
 
 
 def grid_outliers(cells: DataFrame, key: str, value: str) -> DataFrame:
