@@ -80,6 +80,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def spread(df: DataFrame) -> DataFrame:
     """Widen a scan of fewer splits than cores before per-row work that costs far more than
-    a shuffle of the rows. A table of many splits passes unchanged."""
+    a shuffle of the rows. Streams, plans that shuffle anyway and tables of many splits pass
+    unchanged; only the number of splits is looked up, nothing is run."""
+    if df.isStreaming or not hasattr(df, "_jdf"):
+        return df
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
