@@ -5,7 +5,7 @@ from compare import compare, connect
 
 import __spark_entry__ as entry
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from vetline.registry.core import ORACLES, QUERIES  # noqa: E402  the optional subpackage has tests of its own
 
 
 @pytest.fixture(scope="module")
