@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.llm import language_id, packing, simhash, token_counts
+from vetline.llm import language_id, line_dedup, mixing, packing, simhash, token_counts
 from vetline.llm.common import table
 from vetline.session import configure
 
@@ -39,3 +39,16 @@ def op8_best_fit_packing(spark, sf_dir):
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op9_mix_to_targets(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("shards")
+
+
+ORACLES["op9_mix_to_targets"] = mixing.ORACLE
+
+
+@query
+def op7_line_dedup(spark, sf_dir):
+    return line_dedup.judged_lines(table(spark, sf_dir, "documents")).drop("row_id")
