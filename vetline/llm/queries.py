@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.llm import language_id, line_dedup, mixing, packing, simhash, token_counts
+from vetline.llm import language_id, line_dedup, mixing, packing, simhash, suffix_dedup, token_counts
 from vetline.llm.common import table
 from vetline.session import configure
 
@@ -52,3 +52,8 @@ ORACLES["op9_mix_to_targets"] = mixing.ORACLE
 @query
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.judged_lines(table(spark, sf_dir, "documents")).drop("row_id")
+
+
+@query
+def op4_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
