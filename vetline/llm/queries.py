@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.llm import language_id, line_dedup, mixing, packing, simhash, suffix_dedup, token_counts
+from vetline.llm import embedding_dedup, language_id, line_dedup, mixing, packing, simhash, suffix_dedup, token_counts
 from vetline.llm.common import table
 from vetline.session import configure
 
@@ -57,3 +57,11 @@ def op7_line_dedup(spark, sf_dir):
 @query
 def op4_suffix_dedup(spark, sf_dir):
     return suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
+
+
+ORACLES["op1_embedding_dedup"] = embedding_dedup.ORACLE
