@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vetline.llm import embedding_dedup, language_id, line_dedup, mixing, packing, simhash, suffix_dedup, token_counts
+import corpus_pipeline
+from vetline.llm import (embedding_dedup, forest_search, language_id, line_dedup, mixing, packing, simhash, suffix_dedup, token_counts,
+                         toxicity)
 from vetline.llm.common import table
 from vetline.session import configure
 
@@ -65,3 +67,18 @@ def op1_embedding_dedup(spark, sf_dir):
 
 
 ORACLES["op1_embedding_dedup"] = embedding_dedup.ORACLE
+
+
+@query
+def op2_forest_search(spark, sf_dir):
+    return forest_search.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op3_toxicity(spark, sf_dir):
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
