@@ -12,10 +12,11 @@ then by place. Lines of blanks alone take no part and stay.
    segments for its own length and probes with two substrings for length n - 1. Keys hold length,
    segment and hash; keys of one line only are dropped by a partial aggregate before anything joins.
 3. Keys of up to ``HOT`` lines give candidate pairs, verified by the banded bit-parallel edit distance
-   below. A key of more lines gives no pairs: its lines are cut into ``PIECES`` pieces and keyed by all
-   but one character of one piece (prefix, rest of the piece, suffix), for their own length and as the
-   shorter line for length n + 1. Lines share such a key exactly when they are one edit apart, so each
-   key's lines are linked to its smallest one: nothing is lost, and no pairs within a group are made.
+   below. A key of more lines gives no pairs: its lines are keyed anew by all but one of ``PIECES`` pieces
+   (prefix and suffix), for their own length and as the shorter line for length n + 1. What is crowded
+   even then is keyed by that and the piece less one character. Lines share such a key exactly when they
+   are one edit apart, so each key's lines are linked to its smallest one: nothing is lost, and no
+   pairs within a group are made.
 4. Links join to components.
 
 Lines are told apart by a 64-bit hash; two different lines with the same hash would count as equal.
@@ -107,42 +108,58 @@ def segment_keys(lines: DataFrame) -> DataFrame:
 
 
 def piece_keys(lines: DataFrame) -> DataFrame:
-    """(key, h): all of a line but one character of one of its pieces; equal keys mean one edit at most."""
-    cut = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
-    both = []
-    for longer in (0, 1):      # for its own length without each character; for one more as it is
-        size = F.length("line") + longer
-        start, stop = (F.floor(F.col("i") * size / PIECES).cast("int"), F.floor((F.col("i") + 1) * size / PIECES).cast("int"))
-        part = cut.select("h", "i", size.alias("size"), F.xxhash64(F.substring("line", F.lit(1), start)).alias("ahead"),
-                          F.xxhash64(F.substring("line", stop + 1 - longer, size - stop)).alias("behind"),
-                          F.substring("line", start + 1, stop - start - longer).alias("piece"))
-        if not longer:
-            part = part.withColumn("at", F.explode(F.sequence(F.lit(1), F.length("piece")))).withColumn(
-                "piece", F.concat(F.expr("substring(piece, 1, at - 1)"), F.expr("substring(piece, at + 1, length(piece))"))).drop("at")
-        both.append(part.select(F.xxhash64("size", "i", "ahead", "behind", "piece").alias("key"), "h"))
-    return both[0].unionByName(both[1]).distinct()
+    """(key, h, i, longer): all of a line but one of its pieces, for its own length (longer = 0) and as the
+    shorter line for one character more (longer = 1)."""
+    cut = lines.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1)))).withColumn(
+        "longer", F.explode(F.array(F.lit(0), F.lit(1))))
+    size, start, stop = _piece_bounds()
+    return cut.select(F.xxhash64(size, "i", F.substring("line", F.lit(1), start),
+                                 F.substring("line", stop + 1 - F.col("longer"), size - stop)).alias("key"), "h", "i", "longer")
+
+
+def _piece_bounds():
+    size = F.length("line") + F.col("longer")
+    return size, F.floor(F.col("i") * size / PIECES).cast("int"), F.floor((F.col("i") + 1) * size / PIECES).cast("int")
+
+
+def character_keys(lines: DataFrame) -> DataFrame:
+    """(key, h) of rows (key, h, i, longer, line): the piece key with the piece less one character, or whole
+    where the line is the shorter one. Equal keys mean one edit at most."""
+    size, start, stop = _piece_bounds()
+    pieces = lines.select("key", "h", "longer", F.substring("line", start + 1, stop - start - F.col("longer")).alias("piece"))
+    less = pieces.filter("longer = 0").withColumn("at", F.explode(F.sequence(F.lit(1), F.length("piece")))).select(
+        "key", "h", F.expr("concat(substring(piece, 1, at - 1), substring(piece, at + 1, length(piece)))").alias("piece"))
+    return less.unionByName(pieces.filter("longer = 1").select("key", "h", "piece")).select(
+        F.xxhash64("key", "piece").alias("key"), "h").distinct()
+
+
+def _shared(keys: DataFrame, name: str) -> DataFrame:
+    """Rows of ``keys`` whose key more than one line has, with ``n``, how many those are."""
+    keys = stored(keys, name)
+    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key")
+    members = stored(keys.join(shared, "key", "left_semi").distinct(), name + "-shared")
+    return stored(members.join(members.groupBy("key").agg(F.count_distinct("h").alias("n")), "key"), name + "-sized")
+
+
+def _pairs(sized: DataFrame) -> DataFrame:
+    """(a, b): pairs of lines that share a key of at most HOT lines."""
+    few = sized.filter(F.col("n") <= HOT).groupBy("key").agg(F.sort_array(F.collect_set("h")).alias("hs"))     # at most HOT
+    return few.select(F.explode(F.expr(
+        f"flatten(transform(hs, (x, i) -> transform(slice(hs, i + 2, {HOT}), y -> named_struct('a', x, 'b', y))))")).alias("p")).select("p.*")
 
 
 def line_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(a, b): hashes of different lines at most one edit apart, as pairs or stars of such groups."""
-    keys = stored(segment_keys(line_table(docs).select("h", "line")), "segment-keys")
-    shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("key")
-    members = stored(keys.join(shared, "key", "left_semi").distinct(), "shared-keys")
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    sized = stored(members.join(sizes, "key"), "sized-keys")
-    few = sized.filter(F.col("n") <= HOT).groupBy("key").agg(F.sort_array(F.collect_list("h")).alias("hs"))     # at most HOT
-    pairs = stored(few.select(F.explode(F.expr(
-        f"flatten(transform(hs, (x, i) -> transform(slice(hs, i + 2, {HOT}), y -> named_struct('a', x, 'b', y))))")).alias("p"))
-        .select("p.*").distinct(), "pairs")
-    hot = sized.filter(F.col("n") > HOT).select("h").distinct()
-    needed = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).unionByName(hot).distinct()
-    places = firsts.join(needed, "h").select("h", "first.row_id", "first.line_no")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row_id"), "text").join(places, "row_id").select(
-        "h", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(["h"])
-    texts = stored(texts, "candidate-lines")
+    segments = _shared(segment_keys(line_table(docs).select("h", "line")), "segment-keys")
+    places = firsts.join(segments.select("h").distinct(), "h").select("h", "first.row_id", "first.line_no")
+    texts = stored(docs.select(F.xxhash64("doc_id", "text").alias("row_id"), "text").join(places, "row_id").select(
+        "h", F.get(F.split("text", "\n"), F.col("line_no")).alias("line")).dropDuplicates(["h"]), "candidate-lines")
+    crowded = segments.filter(F.col("n") > HOT).select("h").distinct()
+    pieces = _shared(piece_keys(texts.join(crowded, "h", "left_semi")), "piece-keys")
+    pairs = stored(_pairs(segments).unionByName(_pairs(pieces)).distinct(), "pairs")
     with_texts = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("s")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("t")), "b")
-    near = stored(piece_keys(texts.join(hot, "h", "left_semi")), "piece-keys")
+    near = stored(character_keys(pieces.filter(F.col("n") > HOT).join(texts, "h")), "character-keys")
     hubs = near.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key", "a")
     stars = near.join(hubs, "key").select("a", F.col("h").alias("b")).filter("a <> b").distinct()
     return verified(with_texts).unionByName(stars)
