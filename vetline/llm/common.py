@@ -21,7 +21,7 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: later steps start from files that
     outlive any executor, and columns stay prunable."""
     path = scratch_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
