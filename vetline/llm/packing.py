@@ -6,7 +6,7 @@
    exactly, as often as all of them are available; what finds no exact fill is placed best-fit
    decreasing, again by counts. A plan is a list of patterns with multiplicities.
 3. Pieces get their rank within their length (windows over slices of bounded size, so a length that
-   a third of all pieces has is split) and find pattern, sequence and offset from it.
+   a third of all pieces has is split) and find sequence and offset by an equi-join with the plan.
 
 Cases: a null or empty text is one piece that holds only the end id; repeated rows are packed once
 each; an empty table gives no rows; extra input columns are ignored. No text is cut but those
@@ -19,6 +19,7 @@ import bisect
 import functools
 import os
 import re
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,12 +34,17 @@ from vetline.llm.common import stored, texts_of
 SEQ_LEN = 4096
 END_ID = 1
 #: Words remembered by a worker; it forgets all of them beyond this number.
-CACHE_WORDS = 700_000
-#: Marks that close a part; they never merge with a letter before them.
-MARKS = ".,!?"
+CACHE_WORDS = 250_000
+#: Marks that close a part and never merge with a letter before them; < | > are left out because they
+#: spell special tokens.
+MARKS = "!\"#$%&'()*+,-./:;=?@[\\]^_`{}~"
 #: Python's split() also cuts at these, the tokenizer does not.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 BLANKS = re.compile(r"[ \n\r\t]+")
+#: Capitals whose small form depends on what is around them.
+ODD_CASE = re.compile("[Σİ]")
+#: How the tokenizer writes the bytes that are no visible character of their own.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Pieces of one length that one window ranks.
 SLICE_PIECES = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -50,49 +56,42 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Token ids of whole texts through a cache of words.
 
     The tokenizer never merges over white space, so a text's ids are those of its parts between
-    blanks; a part's closing marks are merged apart from its letters, so they are looked up apart.
-    Each distinct part goes through the tokenizer once.
+    blanks; a part's closing marks are merged apart from its letters, so they are looked up apart. A
+    part of letters alone is one word to the tokenizer and goes straight to its merges; any other
+    part goes through all of its steps.
     """
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
         self.cache_words = cache_words
 
-    def _learn(self, words: set[str]) -> None:
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-            self.cores.clear()
-        cache, cores = self.cache, self.cores
-        parts = {}
-        for w in words:
-            if w not in cache:
-                core = w.rstrip(MARKS)
-                core = core if core and core[-1].isalpha() else w
-                parts[w] = core.lower() if core.isascii() else core, w[len(core):]
-        new = [x for x in {y for pair in parts.values() for y in pair} if x not in cores]
-        for i in range(0, len(new), 20_000):
-            some = new[i:i + 20_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                cores[x] = array("I", e.ids).tobytes()
-        for w, (core, marks) in parts.items():
-            cache[w] = cores[core] + cores[marks]
+    def __missing__(self, word: str) -> bytes:
+        if len(self) > self.cache_words:
+            self.clear()
+        core = word.rstrip(MARKS)
+        if core != word and core and core[-1].isalnum():
+            ids = self[core] + self[word[len(core):]]
+        else:
+            low = word.lower()
+            if low.isalpha() and (low.isascii() or (unicodedata.is_normalized("NFC", word) and not ODD_CASE.search(word))):
+                spelt = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS)
+                ids = array("I", [t.id for t in self.merge(spelt)]).tobytes()
+            else:
+                ids = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        self[word] = ids
+        return ids
 
     def encode(self, text: str) -> bytes:
         """Unsigned 32-bit ids, in the machine's order (little-endian wherever Spark runs)."""
-        words = text.split() if not SEPARATORS.search(text) else BLANKS.split(text)
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            self._learn(set(words))
-            return b"".join(map(self.cache.__getitem__, words))
+        return b"".join(map(self.__getitem__, BLANKS.split(text) if SEPARATORS.search(text) else text.split()))
 
 
 @functools.lru_cache(maxsize=1)
@@ -233,42 +232,42 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, seq_len: int = SEQ_
     """Every piece with its sequence and its place there."""
     pieces = stored(token_pieces(docs, tokenizer_path, seq_len, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slots: dict[int, list[tuple[int, int, int]]] = {}    # length -> (first rank, first sequence, offset)
+    slots: list[tuple[int, int, int, int, int]] = []    # length, first and last rank, first sequence, offset
     used = dict.fromkeys(counts, 0)
     sequence = 0
     for pattern, times in packing_plan(counts, seq_len):
         offset = 0
         for length in pattern:
-            slots.setdefault(length, []).append((used[length], sequence, offset))
+            slots.append((length, used[length], used[length] + times - 1, sequence, offset))
             used[length] += times
             offset += length
         sequence += times
     if used != counts:
         raise AssertionError("the plan does not use every piece once")
-    slices = pieces.sparkSession.createDataFrame(
-        [(k, n // SLICE_PIECES + 1) for k, n in counts.items()], "length long, slices long")
-    sliced = pieces.join(F.broadcast(slices), "length").withColumn(    # at most seq_len rows
+    return _placed(pieces, counts, slots)
+
+
+def _placed(pieces: DataFrame, counts: dict[int, int], slots: list[tuple[int, int, int, int, int]]) -> DataFrame:
+    """Pieces with the sequence and offset that their rank within their length has in the plan."""
+    spark = pieces.sparkSession
+    per_length: dict[int, int] = {}
+    for length, *_ in slots:
+        per_length[length] = per_length.get(length, 0) + 1
+    # slots are looked up by stretches of ranks, about one slot each
+    lengths = spark.createDataFrame([(k, n // SLICE_PIECES + 1, -(-n // per_length[k])) for k, n in counts.items()],
+                                    "length long, slices long, stretch long")
+    sliced = pieces.join(F.broadcast(lengths), "length").withColumn(    # at most seq_len rows
         "slice", F.pmod(F.xxhash64("doc_id", "piece"), F.col("slices")))
     sizes = sliced.groupBy("length", "slice").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "slice", (F.coalesce(F.sum("n").over(
         W.partitionBy("length").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("before"))
     inside = W.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = sliced.withColumn("place", F.row_number().over(inside) - 1).join(before, ["length", "slice"]).select(
-        "doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("place")).cast("long").alias("rank"))
-    firsts = {k: np.array(v, np.int64).T for k, v in slots.items()}
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length = batch.column(3).to_numpy()
-            rank = batch.column(5).to_numpy()
-            sequence, offset = np.zeros(len(rank), np.int64), np.zeros(len(rank), np.int64)
-            for k in np.unique(length).tolist():
-                mine = np.flatnonzero(length == k)
-                first, seq, off = firsts[k]
-                at = np.searchsorted(first, rank[mine], "right") - 1
-                sequence[mine] = seq[at] + rank[mine] - first[at]
-                offset[mine] = off[at]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)],
-                                             [*batch.schema.names[:5], "sequence_id", "offset"])
-
-    return ranked.mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    rank = (F.col("before") + F.col("place")).cast("long")
+    ranked = sliced.withColumn("place", F.row_number().over(inside) - 1).join(before, ["length", "slice"]).withColumn(
+        "rank", rank).withColumn("stretch_no", F.floor(F.col("rank") / F.col("stretch")))
+    table = spark.createDataFrame(slots, "length long, first long, last long, sequence long, offset long").join(
+        F.broadcast(lengths.select("length", "stretch")), "length")
+    table = table.withColumn("stretch_no", F.explode(F.expr("sequence(first div stretch, last div stretch)"))).drop("stretch")
+    found = ranked.join(table, ["length", "stretch_no"]).filter((F.col("rank") >= F.col("first")) & (F.col("rank") <= F.col("last")))
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32",
+                        (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
