@@ -35,7 +35,7 @@ from vetline.llm.common import components, stored
 from vetline.llm.vectors import packed, stacked, usable
 
 THRESHOLD = 0.93
-SHARD = 1000
+SHARD = 256
 SAMPLE = 20_000
 MOST_PIVOTS = 4096
 DEGREE = 24
@@ -335,7 +335,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
 #: The rows of near_duplicates() without the recall, in DuckDB's SQL.
 ORACLE = f"""
 with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0 and len(list_filter(embedding, x -> x <> 0)) > 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.e) = len(b.e) and a.vec_id <> b.vec_id
     where list_cosine_similarity(a.e, b.e) >= {THRESHOLD}),
 reach(id, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from reach r join links l on l.a = r.id),

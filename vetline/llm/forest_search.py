@@ -7,7 +7,7 @@
 2. A query walks all trees through one shared priority queue, ordered by the squared margins crossed so
    far, until the leaves taken hold ``SHARE`` of the entries. On vectors without clusters, like random ones
    in 64 dimensions, a small recall loss needs a large share; lower it for data with structure.
-3. Runs of ``LEAVES`` leaves form blocks of bounded size. Blocks of queries meet blocks of entries by equi-join and
+3. The leaves of a tree form ``RUNS`` runs, cut into blocks of bounded size. Blocks of queries meet blocks of entries by equi-join and
    are reranked exactly in numpy, double precision; each meeting returns its best few per query.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components take no part, neither do
@@ -32,10 +32,10 @@ TREES = 4
 SAMPLE = 20_000
 LEAF = 64
 MOST_LEAVES = 1024
-LEAVES = 16
+RUNS = 16
 SHARE = 1.5
 #: Entries or queries of one block.
-BLOCK = 1024
+BLOCK = 4096
 SEED = 11
 
 
@@ -45,7 +45,7 @@ class Tree:
     def __init__(self, vectors: np.ndarray, leaf: int, rng: np.random.Generator):
         self.normal, self.at, self.left, self.right, self.leaves = [], [], [], [], 0
         self._grow(vectors, np.arange(len(vectors)), leaf, rng)
-        self.normal = np.array(self.normal).reshape(len(self.at), -1)
+        self.normal = np.array(self.normal).reshape(len(self.at), vectors.shape[1])
         self.at = np.array(self.at)
 
     def _grow(self, v: np.ndarray, rows: np.ndarray, leaf: int, rng) -> int:
@@ -138,8 +138,9 @@ def _search(rows: DataFrame, entries: DataFrame, total: int, every: int, k: int,
     counts = [np.zeros(t.leaves, np.int64) for t in forest]
     for r in filed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).collect():      # at most TREES * MOST_LEAVES rows
         counts[r["tree"]][r["leaf"]] = r["n"]
-    run = F.floor(F.col("leaf") / LEAVES).cast("int")
-    sizes = {(i, g): int(c[g * LEAVES:(g + 1) * LEAVES].sum()) for i, c in enumerate(counts) for g in range(-(-len(c) // LEAVES))}
+    per_run = max(-(-len(c) // RUNS) for c in counts)
+    run = F.floor(F.col("leaf") / per_run).cast("int")
+    sizes = {(i, g): int(c[g * per_run:(g + 1) * per_run].sum()) for i, c in enumerate(counts) for g in range(-(-len(c) // per_run))}
     blocks = rows.sparkSession.createDataFrame([(i, g, n // BLOCK + 1) for (i, g), n in sizes.items()], "tree int, run int, blocks int")
     filed = filed.withColumn("run", run).join(F.broadcast(blocks), ["tree", "run"]).withColumn("block", F.pmod(F.col("node"), F.col("blocks")).cast("int"))
     index = filed.groupBy("tree", "run", "block").agg(F.collect_list(F.struct("leaf", "ids", "vec")).alias("entries"))
@@ -153,7 +154,7 @@ def _search(rows: DataFrame, entries: DataFrame, total: int, every: int, k: int,
             for query, vec in zip(frame["query_id"], frame["vec"]):
                 runs: dict[tuple[int, int], list[int]] = {}
                 for i, x in leaves_for(np.frombuffer(vec, np.float64), forest, counts, wanted):
-                    runs.setdefault((i, x // LEAVES), []).append(x)
+                    runs.setdefault((i, x // per_run), []).append(x)
                 out += [(query, vec, i, g, x) for (i, g), x in runs.items()]
             yield pd.DataFrame(out, columns=["query_id", "vec", "tree", "run", "leaves"])
 
@@ -166,6 +167,7 @@ def _search(rows: DataFrame, entries: DataFrame, total: int, every: int, k: int,
 
     def rerank(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out: list[tuple[int, int, float]] = []
             for asked_rows, filed_rows in zip(frame["queries"], frame["entries"]):
                 q, v = stacked([x["vec"] for x in asked_rows]), stacked([x["vec"] for x in filed_rows])
                 leaf_no = np.array([x["leaf"] for x in filed_rows])
@@ -175,13 +177,13 @@ def _search(rows: DataFrame, entries: DataFrame, total: int, every: int, k: int,
                     inside = np.asarray(x["leaves"])
                     taken[r, inside[inside < taken.shape[1]]] = True
                 score[~taken[:, leaf_no]] = -np.inf
-                out = []
                 for r, x in enumerate(asked_rows):
                     line = score[r]
                     least = np.partition(line, -(k + 1))[-(k + 1)] if len(line) > k + 1 else -np.inf
                     for j in np.flatnonzero((line >= least) & (line > -np.inf)).tolist():
                         out += [(x["query_id"], int(i), line[j]) for i in filed_rows[j]["ids"] if i != x["query_id"]]
-                yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+            both = pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).drop_duplicates(["query_id", "vec_id"])
+            yield both.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
 
     met = asked.join(index, ["tree", "run", "block"]).select("queries", "entries").mapInPandas(rerank, "query_id long, vec_id long, score double")
     best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")

@@ -192,10 +192,10 @@ def judged_lines(docs: DataFrame) -> DataFrame:
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without the lines that repeat an earlier one; every document stays."""
-    gone = judged_lines(docs).filter("not kept").groupBy("row_id").agg(F.collect_set("line_no").alias("_gone"))
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(gone, F.col("_row") == F.col("row_id"), "left")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(
-        F.split("text", "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n"))
+    gone = judged_lines(docs).filter("not kept").groupBy(F.col("row_id").alias("_line_row")).agg(F.collect_set("line_no").alias("_line_gone"))
+    rows = docs.withColumn("_line_key", F.xxhash64("doc_id", "text")).join(gone, F.col("_line_key") == F.col("_line_row"), "left")
+    text = F.when(F.col("_line_gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(
+        F.split("text", "\n"), lambda x, i: ~F.array_contains("_line_gone", i)), "\n"))
     rows = rows.withColumn("text", text)
     rows = rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows
     return rows.select(*docs.columns)

@@ -136,14 +136,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE)
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest doc_id (then text hash)."""
     marked = near_duplicates(docs, radius, words)
-    best = (marked.groupBy("component_id", "fp").agg(F.min(F.struct(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"))).alias("k"),
-                                                   F.count(F.lit(1)).alias("n")))
-    best = best.groupBy("component_id").agg(F.min(F.struct("k.k_id", "k.k_hash", "n")).alias("w")).select("w.*")
-    keyed = docs.withColumn("_hash", F.xxhash64("text"))
-    kept = keyed.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("k_id")) & (F.col("_hash") == F.col("k_hash")), "inner")
-    once = kept.filter("n = 1").select(*docs.columns)
-    # only a winner of several copies can be a repeated row
-    more = kept.filter("n > 1").dropDuplicates(["k_id", "k_hash"]).select(*docs.columns)
+    rows = marked.groupBy("component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("w")).select(
+        F.col("w.doc_id").alias("_sim_id"), F.col("w.text_hash").alias("_sim_hash"), F.col("w.n").alias("_sim_n"))
+    keyed = docs.withColumn("_sim_text", F.xxhash64("text"))
+    kept = keyed.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("_sim_id")) & (F.col("_sim_text") == F.col("_sim_hash")), "inner")
+    once = kept.filter("_sim_n = 1").select(*docs.columns)
+    # only a winner that is a repeated row has to be made one
+    more = kept.filter("_sim_n > 1").dropDuplicates(["_sim_id", "_sim_hash"]).select(*docs.columns)
     return once.unionByName(more)
 
 

@@ -181,13 +181,16 @@ class _Adam:
 
 def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = SEED) -> Network | None:
     """Multiple-instance learning: a toxic text has a toxic window, a clean text has none."""
-    docs = [(t.lower().split(), y) for t, y in zip(texts, labels)]
-    docs = [(w, y) for w, y in docs if w]
+    vocabulary: dict[str, int] = {}
+    docs = []
+    for text, label in zip(texts, labels):
+        ids = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in text.lower().split()], np.int32)
+        if len(ids):
+            docs.append((windows(ids), label))
     if len({y for _, y in docs}) < 2:
         return None
-    vocabulary = {w: i for i, w in enumerate(sorted({x for w, _ in docs for x in w}))}
     features = Features(list(vocabulary))
-    all_windows = [windows(np.array([vocabulary[x] for x in w])) for w, _ in docs]
+    all_windows = [w for w, _ in docs]
     of_doc = np.repeat(np.arange(len(docs)), [len(x) for x in all_windows])
     stacked = np.concatenate(all_windows)
     begin = np.concatenate([[0], np.cumsum([len(x) for x in all_windows])])
@@ -217,7 +220,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     everything = np.arange(len(vocabulary))
     for r in range(rounds):
         table = net.projected(net.inputs(features, everything))
-        score = np.concatenate([_scores(net, table, stacked[i:i + 8192]) for i in range(0, len(stacked), 8192)])
+        score = np.concatenate([_scores(net, table, stacked[i:i + 2048]) for i in range(0, len(stacked), 2048)])
         order = np.lexsort((-score, of_doc))
         best = order[begin[:-1]]
         second = order[np.minimum(begin[:-1] + 1, begin[1:] - 1)]
@@ -231,7 +234,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             learn(chosen[shuffled[i:i + 256]], target[shuffled[i:i + 256]])
     # put the decision half way between the kinds' rims, where training left it near one of them
     table = net.projected(net.inputs(features, everything))
-    score = np.concatenate([_scores(net, table, stacked[i:i + 8192]) for i in range(0, len(stacked), 8192)])
+    score = np.concatenate([_scores(net, table, stacked[i:i + 2048]) for i in range(0, len(stacked), 2048)])
     top = np.maximum.reduceat(score, begin[:-1])
     net.p["c"] -= np.float32((np.quantile(top[y == 1], .01) + np.quantile(top[y == 0], .999)) / 2)
     return net
@@ -278,15 +281,23 @@ class Scorer:
         return out
 
 
-def fit(learning: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Network | None:
-    """A network of the rows (key, text, toxic); ``key`` only picks the sample."""
-    rows = learning.filter(F.col("toxic").isin(0, 1) & (F.length("text") <= LONGEST)).select("key", "text", "toxic")
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_rows: int = CLEAN_ROWS) -> Network | None:
+    """A network of labelled documents outside the held-out fifth.
+
+    Ids are sampled first, from narrow columns; only the texts of the bounded sample move.
+    """
+    docs = docs.select("doc_id", "text")
+    known = labels.filter(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("key"), "toxic")
+    rows = docs.filter(~held_out(F.col("doc_id")) & (F.length("text") <= LONGEST)).select("doc_id").join(
+        known, F.col("doc_id") == F.col("key")).select("key", "toxic").distinct()
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
     share = F.when(F.col("toxic") == 1, toxic_rows / sizes[1]).otherwise(clean_rows / sizes[0])
     sample = rows.filter(F.pmod(F.xxhash64("key", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20))
-    got = sorted((r["key"] or 0, r["text"], r["toxic"]) for r in sample.collect())
+    # about toxic_rows + clean_rows ids, whatever the input
+    texts = docs.filter(F.length("text") <= LONGEST).join(F.broadcast(sample), F.col("doc_id") == F.col("key")).select("key", "text", "toxic")
+    got = sorted(tuple(r) for r in texts.collect())
     return train([g[1] for g in got], [g[2] for g in got])
 
 
@@ -304,21 +315,15 @@ def score(docs: DataFrame, net: Network | None) -> DataFrame:
         run, "doc_id long, row_id long, score double")
 
 
-def learning_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled documents outside the held-out fifth."""
-    known = labels.select(F.col("doc_id").alias("l_id"), "toxic")
-    return docs.filter(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("l_id")).select(
-        F.col("doc_id").alias("key"), "text", "toxic")
-
-
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
-    net = fit(learning_rows(docs, labels))
+    net = fit(docs, labels)
     return score(docs, net).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                                    (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` less those judged toxic."""
-    bad = score(docs, fit(learning_rows(docs, labels))).filter("score >= 0.5").select(F.col("row_id").alias("_bad")).distinct()
-    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), "text")).join(bad, F.col("_row") == F.col("_bad"), "left_anti").select(*docs.columns)
+    bad = score(docs, fit(docs, labels)).filter("score >= 0.5").select(F.col("row_id").alias("_tox_bad")).distinct()
+    keyed = docs.withColumn("_tox_row", F.xxhash64("doc_id", "text"))
+    return keyed.join(bad, F.col("_tox_row") == F.col("_tox_bad"), "left_anti").select(*docs.columns)
