@@ -46,7 +46,7 @@ class Features:
 
     def __init__(self, words: list[str]):
         codes = np.frombuffer("".join([f"<{w}>" for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), [len(w) + 2 for w in words])
         grams, owners = [], []
         for k in (3, 4):
             whole = np.flatnonzero(owner[:len(owner) - k + 1] == owner[k - 1:])
@@ -57,7 +57,7 @@ class Features:
             grams.append(h % np.uint32(GRAM_ROWS))
             owners.append(owner[whole])
         owners = np.concatenate(owners)
-        self.grams = np.concatenate(grams)[np.argsort(owners, kind="stable")].astype(np.int64)
+        self.grams = np.concatenate(grams)[np.argsort(owners, kind="stable")]
         self.sizes = np.bincount(owners, minlength=len(words))
         self.firsts = np.cumsum(self.sizes) - self.sizes
         self.word = np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_ROWS for w in words], np.int64)
@@ -101,6 +101,11 @@ class Network:
         """(word, direction, 3 gates): a word's share of the gates."""
         return np.einsum("nd,kdg->nkg", x, self.p["wx"]) + self.p["b"]
 
+    def projected_words(self, features: Features, block: int = 16_384) -> np.ndarray:
+        """projected() of all words of ``features``, some at a time."""
+        n = len(features.word)
+        return np.concatenate([self.projected(self.inputs(features, np.arange(i, min(i + block, n)))) for i in range(0, n, block)])
+
     def forward(self, gates: np.ndarray, mask: np.ndarray, keep: bool = False):
         """Logits of windows whose words have the input shares ``gates`` (step, window, 2, 3h)."""
         steps, n, h = gates.shape[0], gates.shape[1], self.hidden
@@ -189,7 +194,9 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
             docs.append((windows(ids), label))
     if len({y for _, y in docs}) < 2:
         return None
+    del texts
     features = Features(list(vocabulary))
+    del vocabulary
     all_windows = [w for w, _ in docs]
     of_doc = np.repeat(np.arange(len(docs)), [len(x) for x in all_windows])
     stacked = np.concatenate(all_windows)
@@ -217,9 +224,8 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         np.add.at(g["gram"], grams, np.repeat(dx / sizes[:, None].astype(np.float32), sizes, axis=0))
         adam.step(net.p, g)
 
-    everything = np.arange(len(vocabulary))
     for r in range(rounds):
-        table = net.projected(net.inputs(features, everything))
+        table = net.projected_words(features)
         score = np.concatenate([_scores(net, table, stacked[i:i + 2048]) for i in range(0, len(stacked), 2048)])
         order = np.lexsort((-score, of_doc))
         best = order[begin[:-1]]
@@ -233,7 +239,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
         for i in range(0, len(shuffled), 256):
             learn(chosen[shuffled[i:i + 256]], target[shuffled[i:i + 256]])
     # put the decision half way between the kinds' rims, where training left it near one of them
-    table = net.projected(net.inputs(features, everything))
+    table = net.projected_words(features)
     score = np.concatenate([_scores(net, table, stacked[i:i + 2048]) for i in range(0, len(stacked), 2048)])
     top = np.maximum.reduceat(score, begin[:-1])
     net.p["c"] -= np.float32((np.quantile(top[y == 1], .01) + np.quantile(top[y == 0], .999)) / 2)
@@ -268,7 +274,7 @@ class Scorer:
             at = len(self.rows)
             if at + len(new) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(new)), *self.table.shape[1:]), np.float32)])
-            self.table[at:at + len(new)] = self.net.projected(self.net.inputs(Features(new), np.arange(len(new))))
+            self.table[at:at + len(new)] = self.net.projected_words(Features(new))
             self.rows.update(zip(new, range(at, at + len(new))))
         out = np.zeros(len(texts))
         get = self.rows.__getitem__
@@ -298,7 +304,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     # about toxic_rows + clean_rows ids, whatever the input
     texts = docs.filter(F.length("text") <= LONGEST).join(F.broadcast(sample), F.col("doc_id") == F.col("key")).select("key", "text", "toxic")
     got = sorted(tuple(r) for r in texts.collect())
-    return train([g[1] for g in got], [g[2] for g in got])
+    texts, marks = [g[1] for g in got], [g[2] for g in got]
+    del got
+    return train(texts, marks)
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
