@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def fixed_round(value: Column, digits: int) -> Column:
     """Round half away from zero on a decimal, so that every engine agrees."""
-    return F.round(value.cast("decimal(18,6)"), digits).cast("double")
+    return F.round(value.cast("decimal(38,6)"), digits).cast("double")
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:

@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +22,16 @@ from vetline.operators.ordered import with_segment
 from vetline.session import cut_lineage
 
 SEGMENT_ROWS = 4_000_000
+_NO_KEY = object()      # equals no key, null included
+
+
+def _with(batch: pa.RecordBatch, names: Sequence[str], more: dict[str, pa.Array]) -> pa.RecordBatch:
+    """Columns pass as they are, so no integer takes a detour over floats."""
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more.values()], [*names, *more])
 
 
 def _walk(df: DataFrame, key: str, position: str, walker: Callable, schema: str) -> DataFrame:
-    return df.repartition(key).sortWithinPartitions(key, position).mapInPandas(walker, schema)
+    return df.repartition(key).sortWithinPartitions(key, position).mapInArrow(walker, schema)
 
 
 def _fold(df: DataFrame, key: str, position: str, walker: Callable, schema: str, state: str,
@@ -43,7 +49,7 @@ def _fold(df: DataFrame, key: str, position: str, walker: Callable, schema: str,
         if heads is None:
             part = part.withColumn(state, F.lit(None).cast(state_type))
         else:
-            part = part.join(heads, key, "left")
+            part = part.join(heads.withColumnRenamed(key, "_k"), part[key].eqNullSafe(F.col("_k")), "left").drop("_k")
         out = cut_lineage(_walk(part.select(*df.columns, state), key, position, walker, schema))
         done.append(out)
         heads = next_state(out)
@@ -62,24 +68,24 @@ def build_chain(events: DataFrame, key: str = "chain_id", position: str = "id",
     """
     payload_hash = F.sha2("payload", 256)
     ready = events.withColumn("payload_hash", payload_hash).withColumns({
-        "_left": F.concat(F.col(key).cast("string"), F.lit("|")),
+        "_left": F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|")),
         "_right": F.concat_ws("|", F.lit(""), utc_seconds(F.col("ts")), "actor", "event_type", "payload_hash"),
     })
     kept = [f for f in ready.schema.fields if not f.name.startswith("_")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     names = [f.name for f in kept]
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, head = None, GENESIS
-        for pdf in batches:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, head = _NO_KEY, GENESIS
+        for batch in batches:
             previous, hashes = [], []
-            for k, left, right, start in zip(pdf[key], pdf["_left"], pdf["_right"], pdf["_head"]):
+            for k, left, right, start in zip(*[batch.column(c).to_pylist() for c in (key, "_left", "_right", "_head")]):
                 if k != current:
                     current, head = k, start or GENESIS
                 previous.append(head)
                 head = hashlib.sha256((left + head + right).encode()).hexdigest()
                 hashes.append(head)
-            yield pdf[names].assign(previous_hash=previous, event_hash=hashes)
+            yield _with(batch, names, {"previous_hash": pa.array(previous, pa.string()), "event_hash": pa.array(hashes, pa.string())})
 
     def heads(out: DataFrame) -> DataFrame:
         return out.groupBy(key).agg(F.max_by("event_hash", position).alias("_head"))
@@ -100,23 +106,23 @@ def throttle(events: DataFrame, key: str, position: str, ts: str, limit: int, se
     names = list(events.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, kept = None, []
-        for pdf in batches:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, kept = _NO_KEY, []
+        for batch in batches:
             flags = []
-            for k, t, start in zip(pdf[key], pdf["_t"], pdf["_kept"]):
+            for k, t, start in zip(*[batch.column(c).to_pylist() for c in (key, "_t", "_kept")]):
                 if k != current:
                     current, kept = k, ([] if start is None else sorted(start))
                 kept = [x for x in kept if x > t - window]
                 flags.append(len(kept) < limit)
                 if flags[-1]:
                     kept.append(t)
-            yield pdf[[*names, "_t"]].assign(accepted=flags)
+            yield _with(batch, [*names, "_t"], {"accepted": pa.array(flags, pa.bool_())})
 
     def kept_of(out: DataFrame) -> DataFrame:
         # at most ``limit`` accepted events of a key lie inside one window
-        last = out.groupBy(key).agg(F.max("_t").alias("_last"))
-        return (out.filter("accepted").join(last, key).filter(F.col("_t") > F.col("_last") - window)
+        last = out.groupBy(F.col(key).alias("_k")).agg(F.max("_t").alias("_last"))
+        return (out.filter("accepted").join(last, F.col(key).eqNullSafe(F.col("_k"))).drop("_k").filter(F.col("_t") > F.col("_last") - window)
                 .groupBy(key).agg(F.collect_list("_t").alias("_kept")))
 
     out = _fold(ready, key, position, walk, schema + ", _t bigint, accepted boolean", "_kept", kept_of, segment_rows)

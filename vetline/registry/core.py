@@ -31,7 +31,7 @@ def query(name: str, covers: str, sql: str | None = None):
 
 def rnd(expr: str, digits: int) -> str:
     """SQL for the fixed rounding used everywhere."""
-    return f"cast(round(cast({expr} as decimal(18,6)), {digits}) as double)"
+    return f"cast(round(cast({expr} as decimal(38,6)), {digits}) as double)"
 
 
 def check_digit_sql(text: str) -> str:

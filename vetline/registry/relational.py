@@ -70,8 +70,8 @@ def _(spark, sf_dir):
     return filters.search(wl, "R#0000000", ["document_id", "full_name"]).select("document_id", "full_name")
 
 
-_IDS = ("case when l_linenumber = 1 then 'a' when l_linenumber = 2 then concat('SAT 2026-', cast(l_orderkey as string)) "
-        "else concat(' SAT-2026_', cast(l_orderkey as string)) end")
+_IDS = ("case when l_linenumber = 1 then 'a' when l_linenumber = 2 then concat('CASE 2026-', cast(l_orderkey as string)) "
+        "else concat(' CASE-2026_', cast(l_orderkey as string)) end")
 
 
 @query("identifier_syntax", "FP-8", f"""

@@ -1,142 +1,78 @@
-"""Stateful stream operators: throttle, hash chain, at-most-once registration, watchlist check."""
+"""Stateful stream operators: throttle, hash chain, at-most-once registration, watchlist check.
+
+The state of throttle and chain is a log: each micro-batch is written under its number, and the keys it
+touches are folded again over all that is logged of them with the batch operators. A row that comes late or
+out of order is placed where it belongs, nothing is dropped, and the final table equals the batch operator's
+whatever files the rows came in. A batch that runs again after a failure overwrites its own folders.
+"""
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from vetline.functions.digest import GENESIS, utc_seconds
+from vetline.operators.folds import build_chain, throttle
 from vetline.operators.joins import append_once, watchlist_hits
-from vetline.session import STATE_STORE_CONF
 
 
-def use_state_store(spark: SparkSession) -> None:
-    for key, value in STATE_STORE_CONF.items():
-        spark.conf.set(key, value)
+def path_exists(spark: SparkSession, path: str) -> bool:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-class _Throttle(StatefulProcessor):
-    """State per key: the accepted times inside the window, at most ``limit`` of them.
+def _same(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Join on a key that may be null."""
+    renamed = right.withColumnRenamed(key, "_k")
+    return left.join(renamed, left[key].eqNullSafe(renamed["_k"]), how).drop("_k")
+
+
+def _refold(stream: DataFrame, key: str, fold: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
+    """Process what is there and return the folded table: of each key the rows of the last batch that touched it."""
+    spark, schema = stream.sparkSession, stream.schema
+
+    def step(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
+        log = session.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/log")
+        touched = session.read.schema(schema).parquet(f"{path}/log/batch={number}").select(key).distinct()
+        fold(_same(log, touched, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/folded/batch={number}")
+
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    empty = fold(spark.createDataFrame([], schema))
+    if not path_exists(spark, f"{path}/folded"):
+        return empty
+    folded = spark.read.schema(empty.schema.add("batch", "long")).parquet(f"{path}/folded")
+    last = folded.groupBy(key).agg(F.max("batch").alias("_last"))
+    return _same(folded, last, key, "inner").filter("batch = _last").select(*empty.columns)
 
-    Rows of one micro-batch are put in order before they are judged; a timer clears
-    the state of a key that has been quiet for a window.
-    """
 
-    def __init__(self, limit: int, seconds: int, names: list[str]):
-        self.limit, self.window, self.names = limit, seconds * 1_000_000, names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.kept = handle.getListState("kept", T.StructType([T.StructField("t", T.LongType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values(["t__", "position__"], kind="stable")
-        kept = sorted(r[0] for r in self.kept.get()) if self.kept.exists() else []
-        flags = []
-        for t in pdf["t__"]:
-            kept = [x for x in kept if x > t - self.window]
-            flags.append(len(kept) < self.limit)
-            if flags[-1]:
-                kept.append(t)
-        if kept:
-            self.kept.put([(int(x),) for x in kept])
-            self.handle.registerTimer((int(kept[-1]) + self.window) // 1000 + 1)
-        else:
-            self.kept.clear()
-        yield pdf[self.names].assign(accepted=flags)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        horizon = expiredTimerInfo.getExpiryTimeInMs() * 1000 - self.window
-        if self.kept.exists():
-            left = [r[0] for r in self.kept.get() if r[0] > horizon]
-            if left:
-                self.kept.put([(int(x),) for x in left])
-            else:
-                self.kept.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
-class _Chain(StatefulProcessor):
-    """State per key: the hash of its last event."""
-
-    def __init__(self, names: list[str]):
-        self.names = names
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.head = handle.getValueState("head", T.StructType([T.StructField("h", T.StringType())]))
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("position__", kind="stable")
-        head = self.head.get()[0] if self.head.exists() else GENESIS
-        previous, hashes = [], []
-        for left, right in zip(pdf["left__"], pdf["right__"]):
-            previous.append(head)
-            head = hashlib.sha256((left + head + right).encode()).hexdigest()
-            hashes.append(head)
-        self.head.update((head,))
-        yield pdf[self.names].assign(previous_hash=previous, event_hash=hashes)
-
-    def close(self) -> None:
-        pass
-
-
-def throttle_stream(stream: DataFrame, key: str, position: str, ts: str, limit: int, seconds: int,
-                    lateness: str = "1 hour") -> DataFrame:
-    """Mark events of a stream accepted or denied; rows later than the watermark are dropped."""
-    use_state_store(stream.sparkSession)
-    out = T.StructType([*stream.schema.fields, T.StructField("accepted", T.BooleanType())])
-    ready = stream.withColumns({"time__": F.col(ts).cast("timestamp"), "position__": F.col(position)}).withWatermark(
-        "time__", lateness).withColumn("t__", F.unix_micros("time__"))
-    return ready.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Throttle(limit, seconds, stream.columns), outputStructType=out, outputMode="Append",
-        timeMode="EventTime")
-
-
-def chain_stream(stream: DataFrame, key: str = "chain_id", position: str = "id") -> DataFrame:
-    """Append the events of a stream to their hash chains."""
-    use_state_store(stream.sparkSession)
-    ready = stream.withColumn("payload_hash", F.sha2("payload", 256))
-    out = T.StructType([*ready.schema.fields, T.StructField("previous_hash", T.StringType()),
-                        T.StructField("event_hash", T.StringType())])
-    names = ready.columns
-    ready = ready.withColumns({
-        "position__": F.col(position), "left__": F.concat(F.col(key).cast("string"), F.lit("|")),
-        "right__": F.concat_ws("|", F.lit(""), utc_seconds(F.col("ts")), "actor", "event_type", "payload_hash")})
-    return ready.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Chain(names), outputStructType=out, outputMode="Append", timeMode="None")
-
-
-def anchor_stream(stream: DataFrame, key: str, ts: str, registry: str, checkpoint: str, order: list[str],
-                  lateness: str = "1 day"):
-    """Register each key at most once in the parquet table at ``registry``.
-
-    Repeats inside the watermark are dropped in the stream; older ones, and a batch that is
-    run again after a failure, by the anti-join with what is stored.
+def throttle_stream(stream: DataFrame, key: str, position: str, ts: str, limit: int, seconds: int, path: str,
+                    checkpoint: str) -> DataFrame:
+    """Events of a stream marked accepted or denied."""
+    return _refold(stream, key, lambda rows: throttle(rows, key, position, ts, limit, seconds), path, checkpoint)
+
+
+def chain_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "chain_id", position: str = "id") -> DataFrame:
+    """The events of a stream in their hash chains."""
+    return _refold(stream, key, lambda rows: build_chain(rows, key, position), path, checkpoint)
+
+
+def anchor_stream(stream: DataFrame, key: str, registry: str, checkpoint: str, order: list[str]):
+    """Register each key at most once in the parquet table at ``registry``, however late it comes.
+
+    Of the rows of one batch the first in ``order`` is registered. A key that is stored, also by this
+    batch in a run that failed, is left alone.
     """
-    spark = stream.sparkSession
-    use_state_store(spark)
     schema = stream.schema
 
     def register(batch: DataFrame, _: int) -> None:
-        try:
-            stored = batch.sparkSession.read.schema(schema).parquet(registry)
-        except AnalysisException:
-            stored = batch.limit(0)
-        append_once(stored.select(key), batch.select(*schema.fieldNames()), key, order).write.mode("append").parquet(registry)
-
-    unique = (stream.withColumn("time__", F.col(ts).cast("timestamp")).withWatermark("time__", lateness)
-              .dropDuplicatesWithinWatermark([key]))
-    return unique.writeStream.foreachBatch(register).option("checkpointLocation", checkpoint).trigger(
+        session = batch.sparkSession
+        known = session.read.schema(schema).parquet(registry) if path_exists(session, registry) else batch.limit(0)
+        append_once(known.select(key), batch, key, order).write.mode("append").parquet(registry)
+
+    return stream.writeStream.foreachBatch(register).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
