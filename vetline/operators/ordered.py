@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
+from vetline.session import cut_lineage
+
 SLICE_ROWS = 1 << 20
 SLICE = "_slice"
 
@@ -23,6 +25,11 @@ def with_slice(df: DataFrame, position: str, slice_rows: int = SLICE_ROWS) -> Da
     return df.withColumn(SLICE, F.floor(F.col(position) / F.lit(slice_rows)).cast("bigint"))
 
 
+def _once(df: DataFrame) -> DataFrame:
+    """The input of an operator that reads it twice, for slices and for rows: computed once, kept reliably."""
+    return cut_lineage(df)
+
+
 def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     on = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, SLICE]]
     left = [F.col(f"l.{c}") for c in df.columns]
@@ -33,7 +40,7 @@ def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
 def with_lag(df: DataFrame, keys: Sequence[str], position: str, cols: Sequence[str],
              slice_rows: int = SLICE_ROWS, prefix: str = "prev_") -> DataFrame:
     """The previous row's ``cols`` within a key, in order of ``position``."""
-    sliced = with_slice(df, position, slice_rows)
+    sliced = _once(with_slice(df, position, slice_rows))
     row = F.struct(*[F.col(c) for c in cols])
     earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     tails = sliced.groupBy(*keys, SLICE).agg(F.max_by(row, F.col(position)).alias("_tail"))
@@ -48,7 +55,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], position: str, slice_rows: int
               name: str = "rank", ahead: Sequence[str] = ()) -> DataFrame:
     """1-based rank of a row within its key, in order of the ``ahead`` columns and then ``position``."""
     group = [*keys, *ahead]
-    sliced = with_slice(df, position, slice_rows)
+    sliced = _once(with_slice(df, position, slice_rows))
     earlier = W.partitionBy(*keys).orderBy(*ahead, SLICE).rowsBetween(W.unboundedPreceding, -1)
     tails = sliced.groupBy(*group, SLICE).agg(F.count(F.lit(1)).alias("_n"))
     carry = tails.select(*group, SLICE, F.sum("_n").over(earlier).alias("_before"))
@@ -60,7 +67,7 @@ def with_rank(df: DataFrame, keys: Sequence[str], position: str, slice_rows: int
 def with_earlier_max(df: DataFrame, keys: Sequence[str], position: str, exprs: dict[str, Column],
                      slice_rows: int = SLICE_ROWS) -> DataFrame:
     """For every row the maximum of each expression over the *earlier* rows of its key."""
-    sliced = with_slice(df, position, slice_rows).withColumns({f"_v_{n}": e for n, e in exprs.items()})
+    sliced = _once(with_slice(df, position, slice_rows).withColumns({f"_v_{n}": e for n, e in exprs.items()}))
     inside = W.partitionBy(*keys, SLICE).orderBy(position).rowsBetween(W.unboundedPreceding, -1)
     by_slice = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
     tails = sliced.groupBy(*keys, SLICE).agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in exprs])
@@ -97,8 +104,6 @@ def global_sequence(df: DataFrame, order: Sequence[str], name: str = "seq") -> D
     numbered inside their partition; only one count per partition reaches the
     driver.
     """
-    from vetline.session import cut_lineage
-
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = cut_lineage(
