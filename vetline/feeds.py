@@ -110,9 +110,10 @@ _SPECS["face_results"] = ("orders", [[
 ]], ["screening_id", "similarity_score", "verification_result", "appearance_level"])
 
 _SPECS["watchlist_raw"] = ("supplier", [[
-    ("case when s_suppkey % 3 = 0 then concat(' z', lpad(cast(s_suppkey as string),4,'0'),'.',"
-     "lpad(cast(s_suppkey as string),3,'0'),' ') else concat('Z', lpad(cast(s_suppkey as string),7,'0')) end",
-     "document_id"),
+    # every seventh entry repeats the identifier of the one before it
+    ("case when s_suppkey % 3 = 0 then concat(' z', lpad(cast(s_suppkey - (case when s_suppkey % 7 = 0 then 1 else 0 end) as string),4,'0'),"
+     "'.', lpad(cast(s_suppkey as string),3,'0'),' ') else concat('Z', lpad(cast(s_suppkey - (case when s_suppkey % 7 = 0 then 1 else 0 end) "
+     "as string),7,'0')) end", "document_id"),
     ("concat('  ', lower(s_name), ' ')", "full_name"),
     ("case when s_nationkey < 10 then 'ind' else ' usa ' end", "nationality"),
     ("concat(' reported ', s_name, ' ')", "reason"),

@@ -103,14 +103,16 @@ def quarantine(df: DataFrame, ok: Column) -> tuple[DataFrame, DataFrame]:
 
 def clean_watchlist(df: DataFrame) -> DataFrame:
     """Entries as stored: stripped identifier, trimmed, upper-cased and cut texts. Rows whose
-    identifier has no legal character are dropped, as their entry is refused."""
+    identifier has no legal character are dropped, as their entry is refused; of several entries of one
+    identifier the first in order of the other columns stays, as a known identifier is refused."""
     def upper_cut(c, n):
         return F.left(F.upper(F.trim(F.col(c))), F.lit(n))
     out = df.select(strip_identifier(F.col("document_id")).alias("document_id"),
                     upper_cut("full_name", 100).alias("full_name"), upper_cut("nationality", 10).alias("nationality"),
                     F.left(F.trim("reason"), F.lit(500)).alias("reason"),
                     upper_cut("risk_category", 30).alias("risk_category"), upper_cut("status", 20).alias("status"))
-    return out.filter(F.col("document_id") != "")
+    rest = [c for c in out.columns if c != "document_id"]
+    return out.filter(F.col("document_id") != "").groupBy("document_id").agg(F.min(F.struct(*rest)).alias("e")).select("document_id", "e.*")
 
 
 def sensitive_columns(df: DataFrame) -> list[str]:

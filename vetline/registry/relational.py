@@ -90,10 +90,11 @@ def _(spark, sf_dir):
 
 
 @query("watchlist_ingest", "FP-14 SF-13", ctes("watchlist_raw") + """
-select upper(regexp_replace(document_id, '[^A-Za-z0-9_-]', '', 'g')) document_id,
+select * from (select upper(regexp_replace(document_id, '[^A-Za-z0-9_-]', '', 'g')) document_id,
   substr(upper(trim(full_name)),1,100) full_name, substr(upper(trim(nationality)),1,10) nationality,
   substr(trim(reason),1,500) reason, substr(upper(trim(risk_category)),1,30) risk_category,
-  substr(upper(trim(status)),1,20) status from watchlist_raw""")
+  substr(upper(trim(status)),1,20) status from watchlist_raw)
+qualify row_number() over (partition by document_id order by full_name, nationality, reason, risk_category, status) = 1""")
 def _(spark, sf_dir):
     return filters.clean_watchlist(frame(spark, sf_dir, "watchlist_raw"))
 
