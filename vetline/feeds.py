@@ -362,8 +362,15 @@ _SPECS["risk_cases"] = ("orders", [[
     ("o_orderkey % 37 = 0", "duplicate"),
     ("case when o_orderkey % 10 = 3 then 'NEEDS_BETTER_IMAGE' when o_orderkey % 10 = 4 then 'REJECTED' else 'GOOD' end",
      "quality_verdict"),
+    ("o_orderkey % 23 > 0", "is_identity_page"),
+], [
+    ("case failed_checks when 0 then '' when 1 then '' when 2 then 'document_number,' else 'document_number,date_of_birth,' end",
+     "first_names"),
+], [
+    ("case when failed_checks = 0 then '' when composite_failed then concat(first_names, 'composite') else "
+     "concat(first_names, 'date_of_expiry') end", "failed_names"),
 ]], ["id", "document_type", "parsed", "failed_checks", "composite_failed", "tamper_score", "face_state",
-     "appearance_level", "duplicate", "quality_verdict"])
+     "appearance_level", "duplicate", "quality_verdict", "is_identity_page", "failed_names"])
 
 _SPECS["zone_findings_feed"] = ("findings", [[("rule_id like 'VIZ%'", "is_zone")]], None)
 

@@ -14,6 +14,17 @@ WEIGHTS = {"mrz": 0.22, "viz": 0.25, "tamper": 0.20, "face": 0.18, "rules": 0.10
 TAMPER_WEIGHTS = {"ela": 0.35, "noise": 0.25, "copy_move": 0.20, "edge": 0.15, "metadata": 0.05}
 EDITORS = ["adobe", "photoshop", "gimp", "canva", "procreate", "pixelmator", "affinity", "paint.net", "corel",
            "lightroom"]
+# Fixed values of the outcome.
+BAND_ADVICE = {
+    "LOW": "Routine Clearance Permitted. Document passes automated integrity checks.",
+    "MEDIUM": "Additional Verification Recommended. Minor inconsistencies require routine officer review.",
+    "HIGH": "Manual Secondary Verification Required. Significant discrepancies or tampering indicators observed.",
+    "CRITICAL": "Escalated Supervisor Intervention Required. Multiple critical integrity or biometric failures detected.",
+}
+COVER_ADVICE = ("Identity Page Not Detected — recapture required. Upload the passport biodata/identity page containing portrait and "
+                "machine-readable information.")
+QUALITY_ADVICE = "Unable to verify — image quality is insufficient. Please capture a clearer document."
+COVER_FLOOR = 75.0
 
 
 def reader_status(populated: Column, has_zone: Column) -> Column:
@@ -172,20 +183,22 @@ def _is_severe(c: Column) -> Column:
     return c.isin("CRITICAL", "HIGH")
 
 
-def risk(cases: DataFrame, viz: DataFrame, rules: DataFrame, tamper: DataFrame) -> DataFrame:
+def risk(cases: DataFrame, findings: DataFrame, tamper: DataFrame) -> DataFrame:
     """Fused risk per case.
 
     ``cases`` has id, document_type, parsed, failed_checks, composite_failed, tamper_score, face_state, duplicate,
-    quality_verdict; the finding tables have screening_id and severity.
+    quality_verdict; the finding tables have screening_id and severity, ``findings`` also is_zone, which tells
+    comparisons of the two zones from rules.
     """
-    def tagged(findings, kind):
-        return findings.select(F.col("screening_id").alias("id"), F.lit(kind).alias("_kind"), "severity")
+    def tagged(rows, kind):
+        return rows.select(F.col("screening_id").alias("id"), kind.alias("_kind"), "severity")
 
     def most(kind, value):
         return F.max(F.when(F.col("_kind") == kind, value))
     severity = F.col("severity")
     # all findings are cut to one row per case in one aggregate, so one narrow shuffle and one join
-    marks = tagged(viz, "viz").unionByName(tagged(rules, "rules")).unionByName(tagged(tamper, "tamper")).groupBy("id").agg(
+    marks = tagged(findings, F.when(F.col("is_zone"), "viz").otherwise("rules")).unionByName(
+        tagged(tamper, F.lit("tamper"))).groupBy("id").agg(
         most("viz", viz_points(severity)).alias("viz"), most("rules", rule_points(severity)).alias("rules"),
         *[most(k, _is_severe(severity)).alias(f"{k}_severe") for k in ("viz", "rules", "tamper")])
     df = cases.join(marks, "id", "left")
@@ -208,44 +221,76 @@ def risk(cases: DataFrame, viz: DataFrame, rules: DataFrame, tamper: DataFrame)
         "id", *WEIGHTS, "severe_categories", "risk_score", "risk_band")
 
 
-def risk_reasons(cases: DataFrame, viz: DataFrame, rules: DataFrame, tamper: DataFrame) -> DataFrame:
+def outcomes(scored: DataFrame) -> DataFrame:
+    """``scored`` (risk_score, risk_band, is_identity_page, quality_verdict) with status and recommendation;
+    a page that is not an identity page has at least the score of COVER_FLOOR and the band HIGH."""
+    identity, poor = F.col("is_identity_page"), F.col("quality_verdict").isin("REJECTED", "NEEDS_BETTER_IMAGE")
+    status = terminal_status(identity, F.col("quality_verdict"), F.col("risk_band"))
+    advice = F.when(~identity, COVER_ADVICE).when(poor, QUALITY_ADVICE).otherwise(recommendation(F.col("risk_band")))
+    return scored.withColumns({
+        "status": status, "recommendation": advice,
+        "risk_score": F.when(identity, F.col("risk_score")).otherwise(F.greatest("risk_score", F.lit(COVER_FLOOR))),
+        "risk_band": F.when(identity, F.col("risk_band")).otherwise("HIGH")})
+
+
+def recommendation(risk_band: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for name, advice in BAND_ADVICE.items():
+        out = F.when(risk_band == name, advice).otherwise(out)
+    return out
+
+
+def risk_reasons(cases: DataFrame, findings: DataFrame, tamper: DataFrame) -> DataFrame:
     """One row per contributing reason with its points and its place of insertion.
 
-    ``step`` is the place of the signal and ``seq`` the place of the finding inside it.
+    ``step`` is the place of the signal and ``seq`` the place of the finding inside it. ``cases`` has the columns
+    of ``risk`` and appearance_level, is_identity_page and failed_names, the names of the failed checks. Cases and
+    findings are each read once; the share of a forensic finding needs the number of findings of its case, which
+    comes, with the case's score, from one aggregate.
     """
-    def reason(df, step, category, severity, points, seq, summary, key="id"):
-        return df.select(F.col(key).alias("case_id"), F.lit(step).alias("step"), seq.cast("bigint").alias("seq"),
-                         F.lit(category).alias("category"), severity.alias("severity"),
-                         fixed_round(points, 1).alias("points"), summary.alias("summary"))
-    first = F.lit(0)
+    first, face, mrz = F.lit(0), F.col("f"), F.col("m")
     c = cases.withColumns({"m": mrz_points(F.col("parsed"), F.col("failed_checks"), F.col("document_type")),
-                           "f": face_points(F.col("face_state")), "t": F.coalesce("tamper_score", F.lit(0.0))})
-    out = reason(c.filter("m > 0"), 1, "MRZ_CHECKSUM",
-                 F.when(~F.col("parsed"), "MEDIUM").when(F.col("composite_failed"), "CRITICAL").otherwise("HIGH"),
-                 F.col("m") * WEIGHTS["mrz"], first,
-                 F.when(F.col("parsed"), "MRZ Checksum Failure").otherwise("MRZ Missing or Unreadable"))
+                           "f": face_points(F.col("face_state"))})
+
+    def reason(when, step, category, severity, points, summary, seq=first):
+        points = F.lit(None).cast("double") if points is None else fixed_round(points, 1)
+        row = F.struct(step.alias("step"), seq.cast("bigint").alias("seq"), category.alias("category"),
+                       severity.alias("severity"), points.alias("points"), summary.alias("summary"))
+        return F.when(when, row) if when is not None else row
+
+    def lit(step, category):
+        return F.lit(step), F.lit(category)
+    names = F.array_join(F.transform("failed_names", lambda x: F.initcap(F.replace(x, F.lit("_"), F.lit(" ")))), ", ")
+    varied = (face == 5) & (F.coalesce("appearance_level", F.lit("MINIMAL")) != "MINIMAL")
+    of_case = F.array_compact(F.array(
+        reason(~F.col("is_identity_page"), *lit(0, "DOCUMENT_PAGE"), F.lit("CRITICAL"), None, F.lit("Identity Page Not Detected")),
+        reason(mrz > 0, *lit(1, "MRZ_CHECKSUM"),
+               F.when(~F.col("parsed"), "MEDIUM").when(F.col("composite_failed"), "CRITICAL").otherwise("HIGH"), mrz * WEIGHTS["mrz"],
+               F.when(F.col("parsed"), F.concat(F.lit("MRZ Checksum Failure ("), names, F.lit(")"))).otherwise("MRZ Missing or Unreadable")),
+        reason(face >= 30, *lit(4, "BIOMETRIC"), F.when(face == 85, "CRITICAL").otherwise("MEDIUM"), face * WEIGHTS["face"],
+               F.when(face == 85, "Biometric Mismatch").when(face == 35, "Biometric Inconclusive").otherwise("Facial Capture Incomplete")),
+        reason(varied, *lit(4, "BIOMETRIC"), F.lit("INFO"), F.lit(0.0), F.concat(F.lit("Appearance Variation: "), "appearance_level")),
+        reason(F.col("duplicate"), *lit(5, "MULTI_IDENTITY"), F.lit("CRITICAL"), F.lit(25.0), F.lit("Multi-Identity Reuse Flagged")),
+        reason(F.col("quality_verdict") == "NEEDS_BETTER_IMAGE", *lit(7, "QUALITY"), F.lit("MEDIUM"), F.lit(60.0 * WEIGHTS["quality"]),
+               F.lit("Sub-Optimal Image Quality"))))
+    out = c.select(F.col("id").alias("case_id"), F.inline(of_case))
+
+    zone, severity = F.col("is_zone"), F.col("severity")
     label = F.concat(F.lit("Field Inconsistency: "), F.initcap(F.replace("field", F.lit("_"), F.lit(" "))))
-    out = out.unionByName(reason(viz, 2, "VIZ_MRZ_CROSS_CHECK", F.col("severity"),
-                                 viz_points(F.col("severity")) * WEIGHTS["viz"], F.col("seq"), label, "screening_id"))
-    n = tamper.groupBy("screening_id").agg(F.count(F.lit(1)).alias("_n"))
-    marked = tamper.join(n, "screening_id").join(
-        c.filter("t >= 35").select(F.col("id").alias("screening_id")), "screening_id", "left_semi")
-    out = out.unionByName(reason(marked, 3, "FORENSICS", F.col("severity"),
-                                 F.col("score") * (F.lit(WEIGHTS["tamper"]) / F.col("_n")), F.col("seq"),
-                                 F.col("technique"), "screening_id"))
-    out = out.unionByName(reason(c.filter("f >= 30"), 4, "BIOMETRIC",
-                                 F.when(F.col("f") == 85, "CRITICAL").otherwise("MEDIUM"), F.col("f") * WEIGHTS["face"],
-                                 first, F.when(F.col("f") == 85, "Biometric Mismatch").when(
-                                     F.col("f") == 35, "Biometric Inconclusive").otherwise("Facial Capture Incomplete")))
-    varied = c.filter((F.col("f") == 5) & (F.coalesce("appearance_level", F.lit("MINIMAL")) != "MINIMAL"))
-    out = out.unionByName(reason(varied, 4, "BIOMETRIC", F.lit("INFO"), F.lit(0.0), first,
-                                 F.concat(F.lit("Appearance Variation: "), "appearance_level")))
-    out = out.unionByName(reason(c.filter("duplicate"), 5, "MULTI_IDENTITY", F.lit("CRITICAL"), F.lit(25.0), first,
-                                 F.lit("Multi-Identity Reuse Flagged")))
-    out = out.unionByName(reason(rules, 6, "RULES", F.col("severity"), rule_points(F.col("severity")) * WEIGHTS["rules"],
-                                 F.col("seq"), F.col("rule_id"), "screening_id"))
-    return out.unionByName(reason(c.filter("quality_verdict = 'NEEDS_BETTER_IMAGE'"), 7, "QUALITY", F.lit("MEDIUM"),
-                                  F.lit(60.0 * WEIGHTS["quality"]), first, F.lit("Sub-Optimal Image Quality")))
+    found = reason(None, F.when(zone, 2).otherwise(6), F.when(zone, "VIZ_MRZ_CROSS_CHECK").otherwise("RULES"), severity,
+                   F.when(zone, viz_points(severity) * WEIGHTS["viz"]).otherwise(rule_points(severity) * WEIGHTS["rules"]),
+                   F.when(zone, label).otherwise(F.col("rule_id")), F.col("seq"))
+    out = out.unionByName(findings.select(F.col("screening_id").alias("case_id"), found.alias("r")).select("case_id", "r.*"))
+
+    # (case, findings, score over the limit) from the findings' and the cases' side in one aggregate
+    shares = (tamper.select("screening_id", F.lit(1).alias("_one"), F.lit(False).alias("_over"))
+              .unionByName(cases.select(F.col("id").alias("screening_id"), F.lit(0).alias("_one"),
+                                        (F.coalesce("tamper_score", F.lit(0.0)) >= 35).alias("_over")))
+              .groupBy("screening_id").agg(F.sum("_one").alias("_n"), F.max("_over").alias("_over")).filter("_over and _n > 0"))
+    marked = tamper.join(shares, "screening_id")
+    tampered = reason(None, *lit(3, "FORENSICS"), severity, F.col("score") * (F.lit(WEIGHTS["tamper"]) / F.col("_n")),
+                      F.col("technique"), F.col("seq"))
+    return out.unionByName(marked.select(F.col("screening_id").alias("case_id"), tampered.alias("r")).select("case_id", "r.*"))
 
 
 def order_reasons(reasons: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:

@@ -419,9 +419,8 @@ _RISK = ctes("risk_cases", "findings", "tamper_findings") + f"""
 
 
 def _risk_inputs(spark, sf_dir):
-    f = frame(spark, sf_dir, "findings")
-    zone = F.col("rule_id").startswith("VIZ")
-    return (frame(spark, sf_dir, "risk_cases"), f.filter(zone), f.filter(~zone), frame(spark, sf_dir, "tamper_findings"))
+    cases = frame(spark, sf_dir, "risk_cases").withColumn("failed_names", F.split("failed_names", ","))
+    return cases, frame(spark, sf_dir, "zone_findings_feed"), frame(spark, sf_dir, "tamper_findings")
 
 
 @query("risk_scores", "DC-1 DC-2 AG-12 AG-13 SM-1", _RISK + """
@@ -431,45 +430,53 @@ def _(spark, sf_dir):
 
 
 @query("case_outcomes", "DC-3 DC-4 DC-2", _RISK + """
-, b as (select sco.*, quality_verdict, case when risk_score < 30 then 'LOW' when risk_score < 60 then 'MEDIUM' when risk_score < 80 then 'HIGH' else 'CRITICAL' end risk_band
+, b as (select sco.*, quality_verdict, is_identity_page, case when risk_score < 30 then 'LOW' when risk_score < 60 then 'MEDIUM' when risk_score < 80 then 'HIGH' else 'CRITICAL' end risk_band
   from sco join risk_cases using (id))
 select id, case when id % 41 = 0 then 'FAILED' when quality_verdict <> 'GOOD' then 'QUALITY_REJECTED' when id % 29 = 0 then 'UNSUPPORTED_DOCUMENT'
-   when id % 23 = 0 then 'MANUAL_REVIEW_REQUIRED' when risk_band = 'LOW' then 'COMPLETED' else 'MANUAL_REVIEW_REQUIRED' end status,
- cast(case when id % 41 = 0 then 75 when quality_verdict <> 'GOOD' then 60 when id % 29 = 0 then 80 when id % 23 = 0 then greatest(risk_score, 75) else risk_score end as double) risk_score,
- case when id % 41 = 0 then 'HIGH' when quality_verdict <> 'GOOD' then 'MEDIUM' when id % 29 = 0 then 'HIGH' when id % 23 = 0 then 'HIGH' else risk_band end risk_band from b""")
+   when not is_identity_page then 'MANUAL_REVIEW_REQUIRED' when risk_band = 'LOW' then 'COMPLETED' else 'MANUAL_REVIEW_REQUIRED' end status,
+ cast(case when id % 41 = 0 then 75 when quality_verdict <> 'GOOD' then 60 when id % 29 = 0 then 80 when not is_identity_page then greatest(risk_score, 75) else risk_score end as double) risk_score,
+ case when id % 41 = 0 then 'HIGH' when quality_verdict <> 'GOOD' then 'MEDIUM' when id % 29 = 0 then 'HIGH' when not is_identity_page then 'HIGH' else risk_band end risk_band,
+ case when id % 41 = 0 or quality_verdict <> 'GOOD' or id % 29 = 0 then null
+  when not is_identity_page then 'Identity Page Not Detected — recapture required. Upload the passport biodata/identity page containing portrait and machine-readable information.'
+  when risk_band = 'LOW' then 'Routine Clearance Permitted. Document passes automated integrity checks.'
+  when risk_band = 'MEDIUM' then 'Additional Verification Recommended. Minor inconsistencies require routine officer review.'
+  when risk_band = 'HIGH' then 'Manual Secondary Verification Required. Significant discrepancies or tampering indicators observed.'
+  else 'Escalated Supervisor Intervention Required. Multiple critical integrity or biometric failures detected.' end recommendation from b""")
 def _(spark, sf_dir):
-    cases, viz, rules, tamper = _risk_inputs(spark, sf_dir)
-    scored = sc.risk(cases, viz, rules, tamper).join(cases.select("id", "quality_verdict"), "id")
+    cases, findings, tamper = _risk_inputs(spark, sf_dir)
+    scored = sc.risk(cases, findings, tamper).join(cases.select("id", "quality_verdict", "is_identity_page"), "id")
     k = F.col("id")
-    identity = k % 23 != 0
-    g = sc.gate(k % 41 == 0, F.col("quality_verdict"), k % 29 != 0)
-    out = scored.withColumns({"g": g, "s": sc.terminal_status(identity, F.col("quality_verdict"), F.col("risk_band"))})
-    score = F.when(identity, F.col("risk_score")).otherwise(F.greatest("risk_score", F.lit(75.0)))
-    level = F.when(identity, F.col("risk_band")).otherwise("HIGH")
-    return out.select("id", F.coalesce("g.status", "s").alias("status"), F.coalesce("g.risk_score", score).alias("risk_score"),
-                      F.coalesce("g.risk_band", level).alias("risk_band"))
+    out = sc.outcomes(scored).withColumn("g", sc.gate(k % 41 == 0, F.col("quality_verdict"), k % 29 != 0))
+    return out.select("id", *[F.coalesce(f"g.{c}", c).alias(c) for c in ("status", "risk_score", "risk_band")],
+                      F.when(F.col("g").isNull(), F.col("recommendation")).alias("recommendation"))
 
 
 _REASONS = _RISK + f"""
 , n as (select screening_id, count(*) n from tamper_findings group by 1)
-, rs as (select id case_id, 1 step, 0 seq, 'MRZ_CHECKSUM' category, case when not parsed then 'MEDIUM' when composite_failed then 'CRITICAL' else 'HIGH' end severity,
-    mrz * 0.22 points from j where mrz > 0
- union all select screening_id, 2, seq, 'VIZ_MRZ_CROSS_CHECK', severity, case severity when 'CRITICAL' then 75.0 when 'HIGH' then 45.0 else 20.0 end * 0.25
+, rs as (select id case_id, 0 step, 0 seq, 'DOCUMENT_PAGE' category, 'CRITICAL' severity, null::double points, 'Identity Page Not Detected' summary
+    from j where not is_identity_page
+ union all select id, 1, 0, 'MRZ_CHECKSUM', case when not parsed then 'MEDIUM' when composite_failed then 'CRITICAL' else 'HIGH' end,
+    mrz * 0.22, case when not parsed then 'MRZ Missing or Unreadable' else 'MRZ Checksum Failure (' || replace(replace(replace(replace(replace(failed_names,
+    'document_number', 'Document Number'), 'date_of_birth', 'Date Of Birth'), 'date_of_expiry', 'Date Of Expiry'), 'composite', 'Composite'), ',', ', ') || ')' end
+    from j where mrz > 0
+ union all select screening_id, 2, seq, 'VIZ_MRZ_CROSS_CHECK', severity, case severity when 'CRITICAL' then 75.0 when 'HIGH' then 45.0 else 20.0 end * 0.25,
+    'Field Inconsistency: ' || case field when 'document_number' then 'Document Number' else 'Date Of Expiry' end
     from findings where rule_id like 'VIZ%'
- union all select screening_id, 3, seq, 'FORENSICS', severity, score * (0.20 / n) from tamper_findings join n using (screening_id) join j on id = screening_id where tamper >= 35
- union all select id, 4, 0, 'BIOMETRIC', case when face = 85 then 'CRITICAL' else 'MEDIUM' end, face * 0.18 from j where face >= 30
- union all select id, 4, 0, 'BIOMETRIC', 'INFO', 0.0 from j where face = 5 and appearance_level <> 'MINIMAL'
- union all select id, 5, 0, 'MULTI_IDENTITY', 'CRITICAL', 25.0 from j where duplicate
- union all select screening_id, 6, seq, 'RULES', severity, case severity when 'CRITICAL' then 85.0 when 'HIGH' then 55.0 else 25.0 end * 0.10
+ union all select screening_id, 3, seq, 'FORENSICS', severity, score * (0.20 / n), technique from tamper_findings join n using (screening_id) join j on id = screening_id where tamper >= 35
+ union all select id, 4, 0, 'BIOMETRIC', case when face = 85 then 'CRITICAL' else 'MEDIUM' end, face * 0.18,
+    case face when 85 then 'Biometric Mismatch' when 35 then 'Biometric Inconclusive' else 'Facial Capture Incomplete' end from j where face >= 30
+ union all select id, 4, 0, 'BIOMETRIC', 'INFO', 0.0, 'Appearance Variation: ' || appearance_level from j where face = 5 and appearance_level <> 'MINIMAL'
+ union all select id, 5, 0, 'MULTI_IDENTITY', 'CRITICAL', 25.0, 'Multi-Identity Reuse Flagged' from j where duplicate
+ union all select screening_id, 6, seq, 'RULES', severity, case severity when 'CRITICAL' then 85.0 when 'HIGH' then 55.0 else 25.0 end * 0.10, rule_id
     from findings where rule_id not like 'VIZ%'
- union all select id, 7, 0, 'QUALITY', 'MEDIUM', 3.0 from j where quality > 0)
-, placed as (select case_id, cast(step as int) step, cast(seq as bigint) seq, category, severity, {rnd('points', 1)} points,
+ union all select id, 7, 0, 'QUALITY', 'MEDIUM', 3.0, 'Sub-Optimal Image Quality' from j where quality > 0)
+, placed as (select case_id, cast(step as int) step, cast(seq as bigint) seq, category, severity, {rnd('points', 1)} points, summary,
    row_number() over (partition by case_id order by list_position(['CRITICAL','HIGH','MEDIUM','LOW','INFO'], severity), step, seq) place from rs)"""
 
 
-@query("ordered_risk_reasons", "TK-5 DC-1", _REASONS + " select * from placed")
+@query("ordered_risk_reasons", "TK-5 DC-1 DC-3", _REASONS + " select * from placed")
 def _(spark, sf_dir):
-    return sc.order_reasons(sc.risk_reasons(*_risk_inputs(spark, sf_dir))).drop("summary")
+    return sc.order_reasons(sc.risk_reasons(*_risk_inputs(spark, sf_dir)))
 
 
 @query("top_risk_reasons", "TK-10", _REASONS + " select case_id, category, severity, cast(place as int) place from placed where place <= 4")
