@@ -242,6 +242,7 @@ def test_registration_is_at_most_once_across_runs(spark, event_files, tmp_path):
 # -- rows of any order, type and key ---------------------------------------------------------
 
 def test_streams_over_shuffled_part_files_equal_batch(spark, sf_dir, tmp_path):
+    import __spark_entry__  # noqa: F401  registers the queries
     from vetline.registry.core import QUERIES
     table = spark.read.parquet(f"{sf_dir}/events.parquet")
     table.repartition(4, F.xxhash64("event_id")).write.parquet(str(tmp_path / "events.parquet"))

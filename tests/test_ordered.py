@@ -126,3 +126,19 @@ def test_event_exactly_one_window_later_is_free(spark):
         "ts", F.timestamp_seconds("s"))
     got = {r["id"]: r["accepted"] for r in folds.throttle(df, "k", "id", "ts", 1, 60).collect()}
     assert got == {1: True, 2: True, 3: False}
+
+
+def test_updates_of_one_case_follow_each_other(spark):
+    from vetline.operators.filters import apply_status
+    cases = spark.createDataFrame([(1, "NEW"), (2, "NEW")], "id int, status string")
+    updates = spark.createDataFrame([(1, 7, "cleared"), (1, 3, " escalated "), (1, 5, "gone"), (9, 1, "CLEARED")],
+                                    "case_id int, seq bigint, status string")
+    got = sorted(tuple(r) for r in apply_status(cases, updates).na.fill(0).collect())
+    assert got == [(1, 3, "NEW", "ESCALATED", True), (1, 7, "ESCALATED", "CLEARED", True), (2, 0, "NEW", "NEW", False)]
+
+
+def test_numbering_is_the_order_of_ties_and_empty_tables(spark):
+    df = spark.createDataFrame([(i % 5, i) for i in range(400)], "a int, b int")
+    got = {(r["a"], r["b"]): r["seq"] for r in global_sequence(df, ["a", "b"]).collect()}
+    assert [k for k, _ in sorted(got.items(), key=lambda kv: kv[1])] == sorted(got)
+    assert global_sequence(df.filter("a > 9"), ["a"]).count() == 0

@@ -217,11 +217,34 @@ _SPECS["visas"] = ("travellers", [[
 _SPECS["requests"] = ("lineitem", [[("l_suppkey", "user_id"), ("l_orderkey", "screening_id")]],
                       ["user_id", "screening_id", "l_linenumber"])
 
-_SPECS["status_updates"] = ("customer", [[
-    ("c_custkey", "case_id"),
-    ("case c_mktsegment when 'BUILDING' then ' cleared' when 'AUTOMOBILE' then 'ESCALATED' when 'MACHINERY' then "
-     "'suspended ' when 'HOUSEHOLD' then 'MANUAL_REVIEW_REQUIRED' else 'DELETED' end", "status"),
-]], ["case_id", "status"])
+# several updates of one case
+_SPECS["status_updates"] = ("orders", [[
+    ("o_custkey", "case_id"), ("o_orderkey", "seq"),
+    ("case o_orderpriority when '1-URGENT' then ' cleared' when '2-HIGH' then 'ESCALATED' when '3-MEDIUM' then "
+     "'suspended ' when '5-LOW' then 'MANUAL_REVIEW_REQUIRED' else 'DELETED' end", "status"),
+]], ["case_id", "seq", "status"])
+
+_SPECS["extracted_fields"] = ("lineitem", [[
+    ("l_orderkey", "screening_id"),
+    ("cast(round(l_extendedprice * 100) as bigint) * 8 + l_linenumber", "seq"),
+    ("case l_linenumber when 1 then 'surname' when 2 then 'given_names' when 3 then 'document_number' else "
+     "'date_of_expiry' end", "field_name"),
+    ("cast(l_partkey as string)", "visual_value"), ("l_quantity / 50", "confidence"),
+]], ["screening_id", "seq", "field_name", "visual_value", "confidence"])
+
+_SPECS["identity_matches"] = ("customer", [[
+    ("c_custkey * 4", "screening_id"), ("concat('Z', lpad(cast(c_custkey as string),7,'0'))", "matched_document_id"),
+    ("c_name", "matched_name"), ("c_acctbal / 10000", "similarity"),
+]], ["screening_id", "matched_document_id", "matched_name", "similarity"])
+
+_SPECS["case_events"] = ("events", [[
+    ("event_id", "screening_id"), ("concat('SYSTEM_', upper(event_type))", "actor"),
+]], ["screening_id", "event_id", "ts", "actor", "event_type"])
+
+_SPECS["case_anchors"] = ("part", [[
+    ("p_partkey * 3", "screening_id"), ("concat('TX-', cast(p_partkey as string))", "transaction_id"),
+    ("case when p_size % 3 = 0 then 'PENDING' else 'COMMITTED' end", "status"),
+]], ["screening_id", "transaction_id", "status"])
 
 _SPECS["logins"] = ("events", [[
     ("event_id", "login_id"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetline.functions.text import strip_identifier, words
+from vetline.operators.ordered import with_lag
 
 # Fixed values.
 CASE_STATUSES = ["CLEARED", "MANUAL_REVIEW_REQUIRED", "ESCALATED", "SUSPENDED"]
@@ -148,10 +149,12 @@ def confident_tokens(df: DataFrame, minimum: float = 15.0) -> DataFrame:
     return df.filter((F.trim("text") != "") & (F.col("conf") > minimum))
 
 
-def apply_status(screenings: DataFrame, updates: DataFrame) -> DataFrame:
-    """Rows with the status before and after; updates outside the domain are ignored."""
+def apply_status(screenings: DataFrame, updates: DataFrame, position: str = "seq") -> DataFrame:
+    """One row per update with the status before and after, in the order of ``position``: an update starts from
+    where the one before it ended. A case without updates has one row; updates outside the domain are ignored."""
     new = F.upper(F.trim("status"))
-    clean = updates.filter(in_domain(new, CASE_STATUSES)).select("case_id", new.alias("new_status"))
-    return screenings.join(clean, screenings["id"] == clean["case_id"], "left").select(
-        screenings["id"], F.col("status").alias("old_status"),
+    clean = updates.filter(in_domain(new, CASE_STATUSES)).select("case_id", position, new.alias("new_status"))
+    chained = with_lag(clean, ["case_id"], position, ["new_status"])
+    return screenings.join(chained, screenings["id"] == chained["case_id"], "left").select(
+        screenings["id"], F.col(position), F.coalesce("prev_new_status", "status").alias("old_status"),
         F.coalesce("new_status", "status").alias("new_status"), F.col("case_id").isNotNull().alias("changed"))

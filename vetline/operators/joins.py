@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vetline.functions.text import fold_number
@@ -17,24 +20,24 @@ def watchlist_hits(docs: DataFrame, watchlist: DataFrame, number: str) -> DataFr
     return probe.join(wl, F.col("document_number") == F.col("_listed")).drop("_listed")
 
 
-def dossier(parents: DataFrame, children: dict[str, DataFrame], parent_key: str = "id",
-            child_key: str = "screening_id") -> DataFrame:
-    """All rows of a case in long form: section, position and one JSON text per row.
+SECTION = {"position": "bigint", "code": "string", "detail": "string", "score": "double", "at": "timestamp"}
+
+
+def section(name: str, df: DataFrame, key: str = "screening_id", **columns: Column) -> DataFrame:
+    """Rows of one kind in the dossier's typed columns; those not given are null, the position is 0."""
+    columns = {"position": F.lit(0), **columns}
+    return df.select(F.col(key).alias("case_id"), F.lit(name).alias("section"), *[
+        columns.get(c, F.lit(None)).cast(t).alias(c) for c, t in SECTION.items()])
+
+
+def dossier(parents: DataFrame, children: Sequence[DataFrame]) -> DataFrame:
+    """All rows of a case in long form: the ``section`` of the parents and those of the children that belong to one.
 
-    The parent row is the section 'screening'. Rows stay rows, so a case with many
-    children is never gathered into one value. For one case, filter the inputs first.
+    Rows stay rows, so a case with many children is never gathered into one value. The children meet the
+    parents in one join. For one case, filter the inputs first.
     """
-    def section(df, name, key, position):
-        body = [c for c in df.columns if c != key]
-        return df.select(F.col(key).alias("case_id"), F.lit(name).alias("section"), position.alias("position"),
-                         F.to_json(F.struct(*body)).alias("body"))
-
-    out = section(parents, "screening", parent_key, F.lit(0).cast("bigint"))
-    for name, df in children.items():
-        known = df.join(parents.select(F.col(parent_key).alias(child_key)), child_key, "left_semi")
-        position = F.col("seq").cast("bigint") if "seq" in df.columns else F.lit(0).cast("bigint")
-        out = out.unionByName(section(known, name, child_key, position))
-    return out
+    rows = reduce(DataFrame.unionByName, children)
+    return parents.unionByName(rows.join(parents.select("case_id"), "case_id", "left_semi"))
 
 
 def verify_digests(evidence: DataFrame, registry: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from vetline.functions.numeric import clone_anomaly, fixed_round, noise_anomaly
+from vetline.operators.ordered import global_sequence
 
 LINE_KEY = ["page", "block_num", "par_num", "line_num"]
 TEXT_SLICE = 4096
@@ -32,8 +33,9 @@ def lines_from_tokens(tokens: DataFrame, key: list[str] = LINE_KEY, slice_width:
 
 
 def reading_order(lines: DataFrame, page: str = "page") -> DataFrame:
-    """Pages in order, lines by top edge, then left edge."""
-    return lines.orderBy(page, "top", "left", *[c for c in LINE_KEY if c in lines.columns and c != page])
+    """Pages in order, lines by top edge, then left edge; ``place`` is the line's number over all pages."""
+    order = [page, "top", "left", *[c for c in LINE_KEY if c in lines.columns and c != page]]
+    return global_sequence(lines, order, "place").orderBy("place")
 
 
 def page_confidence(lines: DataFrame, page: str = "page") -> DataFrame:
@@ -41,13 +43,16 @@ def page_confidence(lines: DataFrame, page: str = "page") -> DataFrame:
                                    F.count(F.lit(1)).alias("total_lines"))
 
 
-def region_order(regions: DataFrame, filename: str, role: str) -> DataFrame:
-    """Regions sorted so that first copies and base pictures come before variants."""
+def region_order(regions: DataFrame, filename: str, role: str, key: str) -> DataFrame:
+    """Regions sorted so that first copies and base pictures come before variants; ``place`` is the number of a
+    region, ties by ``key``."""
     f = F.col(filename)
-    return regions.withColumns({
+    marked = regions.withColumns({
         "is_media": f.contains("media_").cast("int"), "base_name": F.regexp_replace(f, r"\s*\(\d+\)", ""),
         "has_copy_number": f.contains(" (").cast("int"), "is_variant": (F.col(role) == "VISA_VARIANT").cast("int"),
-    }).orderBy("is_media", "base_name", "has_copy_number", filename, "is_variant")
+    })
+    order = ["is_media", "base_name", "has_copy_number", filename, "is_variant", key]
+    return global_sequence(marked, order, "place").orderBy("place")
 
 
 def primary_region(regions: DataFrame, group: str, frame_width: int, tie: str, left_part: float = 0.55) -> DataFrame:

@@ -100,22 +100,16 @@ def with_segment(df: DataFrame, keys: Sequence[str], position: str, segment_rows
 def global_sequence(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:
     """Dense 1-based numbering of all rows in order, without a one-task window.
 
-    Rows are range partitioned, written once so that the split stays fixed, and
-    numbered inside their partition; only one count per partition reaches the
-    driver.
+    Rows are range partitioned, sorted there, and written once so that the split stays fixed; a row's number is
+    its place in its partition plus the rows of the partitions before, which come from a table of one row per
+    partition.
     """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = cut_lineage(
-        df.repartitionByRange(parts, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_in", F.row_number().over(W.partitionBy("_part").orderBy(*order))))
-    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()
-    before, total = {}, 0
-    for row in sorted(sizes, key=lambda r: r["_part"]):
-        before[row["_part"]] = total
-        total += row["n"]
-    if not before:
-        return placed.select(*df.columns, F.lit(0).cast("bigint").alias(name))
-    offsets = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    return placed.select(*df.columns, (offsets[F.col("_part")] + F.col("_in")).cast("bigint").alias(name))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut_lineage(df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+                         .withColumn("_id", F.monotonically_increasing_id()))
+    # the id holds the partition above bit 33 and the place in it below
+    placed = placed.withColumns({"_part": F.shiftright("_id", 33), "_in": F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    before = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select(
+        "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    return placed.join(before, "_part").select(*df.columns, (F.col("_before") + F.col("_in")).alias(name))

@@ -1,5 +1,8 @@
 """Files, stored tables and streams. Files are written from the given tables first and read back."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vetline import schemas
@@ -61,9 +64,12 @@ def _(spark, sf_dir):
         "rule_id", "category", "severity", "n")
 
 
-@query("file_inventory", "IO-4")
+@query("file_inventory", "IO-4", """
+select 'p' || page_id || '.html' filename, 'in/' || page_id % 7 || '/p' || page_id || '.html' "path", octet_length(encode(html)) length, sha256(html) sha256 from pages""")
 def _(spark, sf_dir):
-    return files.inventory(spark, [sf_dir], ["parquet"])
+    k = F.col("page_id")
+    path = F.concat(F.lit("in/"), (k % 7).cast("string"), F.lit("/p"), k.cast("string"), F.lit(".html"))
+    return files.digests(frame(spark, sf_dir, "pages").select(path.alias("path"), F.encode("html", "UTF-8").alias("content")))
 
 
 @query("file_admission", "IO-10 SF-12", """
@@ -89,6 +95,37 @@ def _(spark, sf_dir):
         "document_id", "full_name", "risk_category", "status", "nationality")
 
 
+def _older(schema):
+    """The columns that files of an older version hold: all but the last."""
+    return schema.fields[:-1]
+
+
+# one value per type, and the text it has after the round trip, in SQL of both engines
+_VALUES = {"integer": "c_custkey", "bigint": "c_custkey", "string": "'{n} ' || c_custkey", "double": "c_custkey * 0.5D",
+           "boolean": "c_custkey % 2 = 0", "timestamp": "null"}
+_TEXTS = {"integer": "cast(c_custkey as varchar)", "string": "'{n} ' || c_custkey", "double": "cast(c_custkey as varchar)",
+          "boolean": "cast(1 - c_custkey % 2 as varchar)"}
+
+
+def _texts(schema):
+    return ", ".join(_TEXTS[f.dataType.typeName()].format(n=f.name) for f in _older(schema) if f.dataType.typeName() in _TEXTS)
+
+
+@query("typed_table_round_trip", "IO-5", " union all ".join(
+    f"select '{name}' table_name, concat_ws('|', {_texts(schema)}) body from customer" for name, schema in schemas.TABLES.items()))
+def _(spark, sf_dir):
+    base = scratch_path(spark, "typed")
+    out = []
+    for name, schema in schemas.TABLES.items():
+        values = [f"cast({_VALUES[f.dataType.typeName()].format(n=f.name)} as {f.dataType.simpleString()}) as `{f.name}`" for f in _older(schema)]
+        frame(spark, sf_dir, "customer").selectExpr(*values).write.parquet(f"{base}/{name}")
+        kinds = {f.name: f.dataType.typeName() for f in schema.fields}
+        text = [(F.col(c) * 2).cast("bigint").cast("string") if k == "double" else F.col(c).cast("int").cast("string") if k == "boolean"
+                else F.col(c).cast("string") for c, k in kinds.items()]
+        out.append(tables.load(spark, base, name).select(F.lit(name).alias("table_name"), F.concat_ws("|", *text).alias("body")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("stored_case_tables", "IO-8", ctes("screenings", "forensic_scores") + """
 select id screening_id, 'screenings' section, cast(date_trunc('year', created_at) as date) period, status detail from screenings
 union all select id, 'tamper_findings', cast(date_trunc('year', created_at) as date), 'ELA' from forensic_scores join screenings using (id) where ela >= 40

@@ -110,9 +110,11 @@ def _(spark, sf_dir):
 
 
 @query("status_changes", "FP-17", ctes("screenings", "status_updates") + """
-select id, s.status old_status, coalesce(upper(trim(u.status)), s.status) new_status, u.case_id is not null changed
-from screenings s left join status_updates u on u.case_id = s.id
- and upper(trim(u.status)) in ('CLEARED','MANUAL_REVIEW_REQUIRED','ESCALATED','SUSPENDED')""")
+, u as (select case_id, seq, upper(trim(status)) new_status from status_updates
+  where upper(trim(status)) in ('CLEARED','MANUAL_REVIEW_REQUIRED','ESCALATED','SUSPENDED'))
+, l as (select *, lag(new_status) over (partition by case_id order by seq) before from u)
+select id, seq, coalesce(before, s.status) old_status, coalesce(new_status, s.status) new_status, l.case_id is not null changed
+from screenings s left join l on l.case_id = s.id""")
 def _(spark, sf_dir):
     return filters.apply_status(frame(spark, sf_dir, "screenings"), frame(spark, sf_dir, "status_updates"))
 
@@ -127,19 +129,35 @@ def _(spark, sf_dir):
                                 "passport_number").select("doc_id", "document_number", "listed_name", "risk_category")
 
 
-@query("case_dossier", "JN-2", ctes("screenings", "findings", "tamper_findings", "face_results") + """
-, d as (select id case_id, 'screening' section, 0 position, status detail from screenings
- union all select screening_id, 'findings', seq, rule_id from findings join screenings on id = screening_id
- union all select screening_id, 'tamper', seq, technique from tamper_findings join screenings on id = screening_id
- union all select screening_id, 'face', 0, verification_result from face_results join screenings on id = screening_id)
-select case_id, section, cast(position as bigint) position, detail from d""")
-def _(spark, sf_dir):
-    d = joins.dossier(frame(spark, sf_dir, "screenings"), {
-        "findings": frame(spark, sf_dir, "findings"), "tamper": frame(spark, sf_dir, "tamper_findings"),
-        "face": frame(spark, sf_dir, "face_results")})
-    body = F.from_json("body", "status string, rule_id string, technique string, verification_result string")
-    return d.withColumn("b", body).select("case_id", "section", "position", F.coalesce(
-        "b.status", "b.rule_id", "b.technique", "b.verification_result").alias("detail"))
+_CHILDREN = ["extracted_fields", "findings", "tamper_findings", "face_results", "identity_matches", "case_events", "case_anchors"]
+
+
+@query("case_dossier", "JN-2", ctes("screenings", *_CHILDREN) + """
+, c as (select screening_id case_id, 'extracted_fields' section, seq position, field_name code, visual_value detail, confidence score, null::timestamp "at" from extracted_fields
+ union all select screening_id, 'findings', seq, rule_id, severity, null, null from findings
+ union all select screening_id, 'tamper_findings', seq, technique, severity, score, null from tamper_findings
+ union all select screening_id, 'face_results', 0, verification_result, appearance_level, similarity_score, null from face_results
+ union all select screening_id, 'identity_matches', 0, matched_document_id, matched_name, similarity, null from identity_matches
+ union all select screening_id, 'audit_events', event_id, event_type, actor, null, ts from case_events
+ union all select screening_id, 'anchors', 0, status, transaction_id, null, null from case_anchors)
+, d as (select id case_id, 'screening' section, 0 position, status code, document_type detail, risk_score score, created_at::timestamp "at" from screenings
+ union all select * from c where case_id in (select id from screenings))
+select case_id, section, cast(position as bigint) position, code, detail, cast(score as double) score,
+ strftime("at", '%Y-%m-%d %H:%M:%S') "at" from d""")
+def _(spark, sf_dir):
+    fields, findings, tamper, faces, matches, events, anchors = (frame(spark, sf_dir, n) for n in _CHILDREN)
+    col, section = F.col, joins.section
+    return joins.dossier(
+        section("screening", frame(spark, sf_dir, "screenings"), "id", code=col("status"), detail=col("document_type"),
+                score=col("risk_score"), at=col("created_at")),
+        [section("extracted_fields", fields, position=col("seq"), code=col("field_name"), detail=col("visual_value"), score=col("confidence")),
+         section("findings", findings, position=col("seq"), code=col("rule_id"), detail=col("severity")),
+         section("tamper_findings", tamper, position=col("seq"), code=col("technique"), detail=col("severity"), score=col("score")),
+         section("face_results", faces, code=col("verification_result"), detail=col("appearance_level"), score=col("similarity_score")),
+         section("identity_matches", matches, code=col("matched_document_id"), detail=col("matched_name"), score=col("similarity")),
+         section("audit_events", events, position=col("event_id"), code=col("event_type"), detail=col("actor"), at=col("ts")),
+         section("anchors", anchors, code=col("status"), detail=col("transaction_id"))]
+    ).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss"))
 
 
 _EVIDENCE = """, registry as (select page_id screening_id,

@@ -103,9 +103,11 @@ def _(spark, sf_dir):
 
 
 @query("lines_in_reading_order", "TK-7", ctes("tokens") + """
-select page, line_num, min(y) top, min(x) "left" from tokens group by page, block_num, par_num, line_num""")
+select page, line_num, min(y) top, min(x) "left", row_number() over (order by page, min(y), min(x), block_num, par_num, line_num) place
+from tokens group by page, block_num, par_num, line_num""")
 def _(spark, sf_dir):
-    return layout.reading_order(layout.lines_from_tokens(frame(spark, sf_dir, "tokens"))).select("page", "line_num", "top", "left")
+    return layout.reading_order(layout.lines_from_tokens(frame(spark, sf_dir, "tokens"))).select(
+        "page", "line_num", "top", "left", "place")
 
 
 @query("page_line_confidence", "AG-16", ctes("tokens") + f"""
@@ -117,9 +119,11 @@ def _(spark, sf_dir):
 
 @query("region_order", "TK-6", ctes("regions") + """
 select id, contains(filename, 'media_')::int is_media, regexp_replace(filename, '\\s*\\([0-9]+\\)', '', 'g') base_name,
- contains(filename, ' (')::int has_copy_number, (role = 'VISA_VARIANT')::int is_variant from regions""")
+ contains(filename, ' (')::int has_copy_number, (role = 'VISA_VARIANT')::int is_variant,
+ row_number() over (order by contains(filename, 'media_'), regexp_replace(filename, '\\s*\\([0-9]+\\)', '', 'g'), contains(filename, ' ('),
+  filename, role = 'VISA_VARIANT', id) place from regions""")
 def _(spark, sf_dir):
-    return layout.region_order(frame(spark, sf_dir, "regions"), "filename", "role").drop("filename", "role")
+    return layout.region_order(frame(spark, sf_dir, "regions"), "filename", "role", "id").drop("filename", "role")
 
 
 @query("primary_regions", "TK-9", ctes("tokens") + """

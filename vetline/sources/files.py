@@ -33,9 +33,13 @@ def read_rules(spark: SparkSession, path: str, multi_line: bool = True) -> DataF
 def inventory(spark: SparkSession, paths: list[str], extensions: list[str] = EXTENSIONS) -> DataFrame:
     """All files below the paths with one of the extensions: name, size and digest."""
     glob = "*.{" + ",".join(e for x in extensions for e in (x, x.upper())) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths)
-    return files.select(F.substring_index("path", "/", -1).alias("filename"), "path", "length",
-                        F.sha2("content", 256).alias("sha256"))
+    return digests(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths))
+
+
+def digests(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Name, size and digest of the files of any table that holds their bytes."""
+    return files.select(F.substring_index(path, "/", -1).alias("filename"), F.col(path).alias("path"),
+                        F.length(content).cast("bigint").alias("length"), F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
 
 
 def _media_type(content: Column) -> Column:
