@@ -41,6 +41,26 @@ def test_topk_is_exact_for_any_block_size(vectors, block):
         assert [got[q][r] for r in (1, 2, 3)] == want
 
 
+def test_groups_of_vectors_meet_only_their_own_cells(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.standard_normal((6, 24)) * 10
+    rows = [(i, (centers[i % 6 if i % 3 else 0] + rng.standard_normal(24) * .2).tolist()) for i in range(600)]
+    df = spark.createDataFrame([*rows, (600, [0.0] * 24)], "id bigint, v array<double>")
+    pivots = similarity._pivots(df, "id", "v", 40)
+    _, cells = similarity._pack(df, "id", "v", "q", pivots, 40)
+    met = similarity.reachable(pivots, cells, cells, {c: 0.9 for c in cells})
+    assert len(cells) > 6 and len([p for p in met if min(p) >= 0]) < len(cells) ** 2 / 2
+    m = np.array([v for _, v in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    cos = np.round(m @ m.T, 9)
+    np.fill_diagonal(cos, -2)
+    got = {r["id"]: r for r in similarity.pair_summary(df, "id", "v", 0.9, 40).collect()}
+    assert all(got[i]["partners"] == (cos[i] >= 0.9).sum() and got[i]["best_id"] == cos[i].argmax() for i in range(600))
+    assert got[600]["partners"] == 0
+    top = {(r["query_id"], r["rank"]): r["similarity"] for r in similarity.similar_topk(df, df, "id", "v", 3, 40).collect()}
+    assert all(abs(top[i, 2] - cos[i].max()) < 1e-8 and abs(top[i, 3] - np.sort(cos[i])[-2]) < 1e-8 for i in range(600))
+
+
 def test_pair_summary(vectors):
     m, df = vectors
     s = np.round(unit(m) @ unit(m).T, 9)

@@ -1,11 +1,12 @@
-"""Exact vector similarity as a join of blocks.
-
-Vectors are packed into blocks of a bounded number of rows. A block of queries
-meets every block of the gallery through an equi-join on the gallery's block
-number, and each meeting is one matrix product in a task; only the best rows of
-a query or one summary row leave it. Nothing passes through the driver, no pair
-of rows is ever emitted as such, and the gallery is broadcast only if the
-optimizer finds it under its size limit.
+"""Exact vector similarity as a join of blocks that can hold a match.
+
+Vectors fall into the cell of their nearest pivot, at most ``MOST_PIVOTS`` in all, and into blocks of a bounded
+number of rows inside it. Blocks of one cell meet first. What a query found there bounds what it can
+still gain, and by the triangle inequality on angles a cell whose pivot is further away than that bound
+and both cells' radii cannot hold it: only the other pairs of cells meet, through an equi-join on the cell. Nothing
+is missed; vectors without any grouping meet all cells. Each meeting is one matrix product in a task; only
+the best rows of a query or one summary row per vector leave it. The driver sees the pivots and one row per
+cell.
 """
 
 from __future__ import annotations
@@ -19,49 +20,108 @@ from pyspark.sql import functions as F
 
 from vetline.functions.numeric import cosine, fixed_round
 from vetline.operators.topk import top_per_group
+from vetline.session import cut_lineage
 
 DUPLICATE_AT = 0.72
 BLOCK_ROWS = 4096
-
-
-def _pack(df: DataFrame, key: str, vector: str, prefix: str, block_rows: int) -> tuple[DataFrame, int]:
-    """Rows (block, ids, data): unit vectors of a block in order of their ids. Blocks come from a
-    hash of the unique id, so their sizes are even."""
-    blocks = max(1, -(-df.count() // block_rows))
+MOST_PIVOTS = 256
+
+
+def _pivots(vectors: DataFrame, key: str, vector: str, block_rows: int) -> np.ndarray:
+    """Different unit vectors chosen by a hash of their id: one per block, at most MOST_PIVOTS, so that cells fill blocks."""
+    some = vectors.filter(F.col(vector).isNotNull())
+    wanted = min(MOST_PIVOTS, max(1, some.count() // block_rows))
+    rows = some.orderBy(F.xxhash64(F.lit(23), key), key).limit(wanted).select(vector).collect()
+    m = np.unique(_unit(np.array([r[0] for r in rows], np.float64)), axis=0) if rows else np.zeros((0, 0))
+    return m[np.linalg.norm(m, axis=1) > 0.5] if len(m) else m
+
+
+def _unit(m: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(m, axis=1, keepdims=True)
+    return np.where(norm > 1e-6, m / np.where(norm > 1e-6, norm, 1.0), m)
+
+
+def _pack(df: DataFrame, key: str, vector: str, prefix: str, pivots: np.ndarray, block_rows: int) -> tuple[DataFrame, dict]:
+    """Rows (cell, block, ids, data): unit vectors of a block in order of their ids; and of each cell its number of
+    blocks and its radius. Blocks come from a hash of the unique id, so their sizes are even. Vectors without a
+    direction are in cell -1, which is in reach of all."""
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            m = _unit(np.array([np.asarray(v, dtype=np.float64) for v in pdf["v"]]))
+            cos = m @ pivots.T if len(pivots) else np.zeros((len(m), 1))
+            cell, angle = cos.argmax(1), np.arccos(np.clip(cos.max(1), -1.0, 1.0))
+            flat = (np.linalg.norm(m, axis=1) < 0.5) | (len(pivots) == 0)
+            yield pd.DataFrame({"cell": np.where(flat, -1, cell).astype(np.int32), "angle": np.where(flat, np.pi, angle),
+                                "id": pdf["id"].to_numpy(), "v": [x.tobytes() for x in m]})
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        m = np.array([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
-        norm = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.where(norm > 1e-6, m / np.where(norm > 1e-6, norm, 1.0), m)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["id"].to_numpy()], "data": [m.tobytes()]})
-    rows = df.filter(F.col(vector).isNotNull()).select(
-        F.pmod(F.xxhash64(F.lit(17), key), F.lit(blocks)).cast("int").alias("block"), F.col(key).cast("bigint").alias("id"),
-        F.col(vector).alias("v"))
-    packed = rows.groupBy("block").applyInPandas(pack, "block int, ids array<bigint>, data binary")
-    return packed.select(*[F.col(c).alias(f"{prefix}_{c}") for c in packed.columns]), blocks
-
-
-def _block_join(queries: DataFrame, gallery: DataFrame, key: str, vector: str, reduce_block: Callable,
-                schema: str, block_rows: int) -> DataFrame:
-    q, nq = _pack(queries, key, vector, "q", block_rows)
-    g, ng = _pack(gallery, key, vector, "g", block_rows)
+        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "block": [int(pdf["block"].iloc[0])],
+                             "ids": [pdf["id"].to_numpy()], "data": [b"".join(pdf["v"])]})
+    rows = df.filter(F.col(vector).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v")).mapInPandas(
+        place, "cell int, angle double, id bigint, v binary")
+    cells = {r["cell"]: (-(-r["n"] // block_rows), r["radius"]) for r in rows.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
+    sizes = df.sparkSession.createDataFrame([(c, n) for c, (n, _) in sorted(cells.items())], "cell int, blocks int")
+    packed = (rows.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64(F.lit(17), "id"), F.col("blocks")).cast("int"))
+              .groupBy("cell", "block").applyInPandas(pack, "cell int, block int, ids array<bigint>, data binary"))
+    return packed.select(*[F.col(c).alias(f"{prefix}_{c}") for c in packed.columns]), cells
+
+
+def reachable(pivots: np.ndarray, q_cells: dict, g_cells: dict, bound: dict[int, float]) -> list[tuple[int, int]]:
+    """Pairs of cells, other than a cell with itself, where a query may find a similarity of its bound or more."""
+    between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0)) if len(pivots) else np.zeros((0, 0))
+
+    def near(a: int, b: int) -> bool:
+        if a < 0 or b < 0:
+            return True
+        # rounding to nine digits and of the angles themselves stays inside the slack
+        return between[a, b] - q_cells[a][1] - g_cells[b][1] <= np.arccos(np.clip(bound.get(a, -1.0), -1.0, 1.0)) + 1e-4
+    return [(a, b) for a in sorted(q_cells) for b in sorted(g_cells) if a != b and near(a, b)]
+
+
+def _meet(q: DataFrame, g: DataFrame, q_cells: dict, g_cells: dict, pairs: list[tuple[int, int]], reduce_block: Callable,
+          schema: str) -> DataFrame:
+    """The reduced rows of all blocks of the paired cells, with the query's cell."""
+    spark = q.sparkSession
     # copies of the gallery blocks, so that few blocks still fill all tasks
-    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salts = max(1, min(nq, -(-tasks // ng)))
-    q = q.withColumn("salt", F.col("q_block") % salts).withColumn("meets", F.explode(F.sequence(F.lit(0), F.lit(ng - 1))))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, min(max((n for n, _ in q_cells.values()), default=1), -(-tasks // max(1, sum(n for n, _ in g_cells.values())))))
+    which = spark.createDataFrame([(a, b, g_cells[b][0]) for a, b in pairs], "q_cell int, meets int, g_blocks int")
+    q = q.join(which, "q_cell").withColumn("salt", F.col("q_block") % salts).withColumn(
+        "meets_block", F.explode(F.sequence(F.lit(0), F.col("g_blocks") - 1)))
     g = g.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = q.join(g, (q["meets"] == g["g_block"]) & (q["salt"] == g["salt"])).select("q_ids", "q_data", "g_ids", "g_data")
+    met = q.join(g, (q["meets"] == g["g_cell"]) & (q["meets_block"] == g["g_block"]) & (q["salt"] == g["salt"])).select(
+        "q_cell", "q_ids", "q_data", "g_ids", "g_data")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for qi, qd, gi, gd in zip(pdf["q_ids"], pdf["q_data"], pdf["g_ids"], pdf["g_data"]):
+            for cell, qi, qd, gi, gd in zip(*[pdf[c] for c in ("q_cell", "q_ids", "q_data", "g_ids", "g_data")]):
                 qi, gi = np.asarray(qi), np.asarray(gi)
                 a = np.frombuffer(qd, dtype=np.float64).reshape(len(qi), -1)
                 b = np.frombuffer(gd, dtype=np.float64).reshape(len(gi), -1)
                 # rounding makes equal vectors tie, whatever block they are in
-                yield reduce_block(qi, gi, np.round(np.clip(a @ b.T, -1.0, 1.0), 9))
-    return met.mapInPandas(run, schema)
+                yield reduce_block(qi, gi, np.round(np.clip(a @ b.T, -1.0, 1.0), 9)).assign(cell=cell)
+    return met.mapInPandas(run, schema + ", cell int")
+
+
+def _block_join(queries: DataFrame, gallery: DataFrame, key: str, vector: str, reduce_block: Callable, schema: str,
+                bounds: Callable[[DataFrame], DataFrame], block_rows: int) -> DataFrame:
+    """Reduced rows of all meetings that can matter. ``bounds`` turns the rows of the cells' own meetings into
+    (cell, bound): the least similarity that a query of the cell can still gain by."""
+    pivots = _pivots(gallery, key, vector, block_rows)
+    q, q_cells = _pack(queries, key, vector, "q", pivots, block_rows)
+    g, g_cells = _pack(gallery, key, vector, "g", pivots, block_rows)
+    own = [(c, c) for c in sorted(q_cells) if c in g_cells]
+    if len(set(q_cells) | set(g_cells)) > 1:      # otherwise all have met
+        q, g = cut_lineage(q), cut_lineage(g)
+        first = cut_lineage(_meet(q, g, q_cells, g_cells, own, reduce_block, schema))
+        bound = {r["cell"]: r["bound"] for r in bounds(first).collect()}
+        others = reachable(pivots, q_cells, g_cells, bound)
+        return first.unionByName(_meet(q, g, q_cells, g_cells, others, reduce_block, schema)).drop("cell")
+    return _meet(q, g, q_cells, g_cells, own, reduce_block, schema).drop("cell")
 
 
 def similar_topk(queries: DataFrame, gallery: DataFrame, key: str, vector: str, k: int = 3,
@@ -77,8 +137,12 @@ def similar_topk(queries: DataFrame, gallery: DataFrame, key: str, vector: str,
         place = np.arange(len(row)) - np.searchsorted(row, row)
         keep = place < n
         return pd.DataFrame({"query_id": qi[row[keep]], "match_id": gi[col[keep]], "similarity": sim[keep]})
+    def bounds(parts):
+        top = top_per_group(parts, ["cell", "query_id"], [F.desc("similarity"), F.col("match_id")], k)
+        kth = top.groupBy("cell", "query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("similarity")).otherwise(-1.0).alias("kth"))
+        return kth.groupBy("cell").agg(F.min("kth").alias("bound"))
     parts = _block_join(queries, gallery, key, vector, best, "query_id bigint, match_id bigint, similarity double",
-                        block_rows)
+                        bounds, block_rows)
     return top_per_group(parts, ["query_id"], [F.desc("similarity"), F.col("match_id")], k)
 
 
@@ -104,8 +168,11 @@ def pair_summary(vectors: DataFrame, key: str, vector: str, threshold: float, bl
         # ids are sorted, so the first maximum is the smallest id
         return pd.DataFrame({"id": qi, "partners": (s >= threshold).sum(axis=1), "best_similarity": best,
                              "best_id": gi[s.argmax(axis=1)]})
+    def bounds(parts):
+        highest = parts.groupBy("cell", "id").agg(F.max("best_similarity").alias("b"))
+        return highest.groupBy("cell").agg(F.least(F.min("b"), F.lit(float(threshold))).alias("bound"))
     parts = _block_join(vectors, vectors, key, vector, summarise,
-                        "id bigint, partners bigint, best_similarity double, best_id bigint", block_rows)
+                        "id bigint, partners bigint, best_similarity double, best_id bigint", bounds, block_rows)
     best = F.max(F.struct("best_similarity", (-F.col("best_id")).alias("neg"))).alias("b")
     out = parts.filter("best_similarity > -2").groupBy("id").agg(F.sum("partners").alias("partners"), best)
     return out.select("id", "partners", (-F.col("b.neg")).alias("best_id"),
