@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +80,3 @@ def texts_of(batch, key: int = 0, text: int = 1):
     for i in range(batch.num_rows):
         yield keys[i].as_py(), texts[i].as_py()
 
-
-def ceil_div(a: int, b: int) -> int:
-    return math.ceil(a / b) if b else 0
