@@ -64,12 +64,6 @@ def l2_norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
-def l2_normalise(v: Column) -> Column:
-    """Unit vector; vectors of length <= 1e-6 stay as they are."""
-    norm = l2_norm(v)
-    return F.when(norm > 1e-6, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(v.cast("array<double>"))
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Clipped cosine, four decimals; 0 when a side is missing or has no length."""
     na, nb = l2_norm(a), l2_norm(b)

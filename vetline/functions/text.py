@@ -85,10 +85,6 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.when(F.trim(c) != "", c)
-
-
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 

@@ -28,10 +28,6 @@ def average_or_zero(c: Column, digits: int = 1) -> Column:
     return F.coalesce(fixed_round(F.avg(c), digits), F.lit(0.0))
 
 
-def review_count(df: DataFrame) -> DataFrame:
-    return df.agg(F.count_if(F.col("status").isin(*REVIEW_STATUSES)).alias("manual_reviews_required"))
-
-
 def summary(screenings: DataFrame) -> DataFrame:
     """Total, reviews, review rate and mean latency in one pass."""
     reviews = F.count_if(F.col("status").isin(*REVIEW_STATUSES))

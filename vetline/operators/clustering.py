@@ -29,16 +29,17 @@ def person_links(docs: DataFrame, key: str) -> DataFrame:
             .unionByName(_star(d, key, "surname", lacks)).distinct())
 
 
-def components(nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
+def components(nodes: DataFrame, links: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
     """(key, component): the smallest id reachable over the links.
 
     Each round takes the smallest label among a node and its neighbours and then the
     label of that label; rounds end when nothing changes. Every round is written to
-    the checkpoint folder, so a lost executor does not restart the loop.
+    the checkpoint folder, so a lost executor does not restart the loop. More than ``max_rounds`` rounds is
+    an error, never a partial result.
     """
     both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = cut_lineage(nodes.select(F.col(key).alias("id"), F.col(key).alias("comp")))
-    while True:
+    for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("id", "a"), "a").groupBy("b").agg(F.min("comp").alias("near"))
         hooked = labels.join(near, labels["id"] == near["b"], "left").select(
             "id", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
@@ -49,6 +50,7 @@ def components(nodes: DataFrame, links: DataFrame, key: str) -> DataFrame:
         labels = step.select("id", "comp")
         if step.filter("comp <> old").isEmpty():
             return labels.select(F.col("id").alias(key), F.col("comp").alias("component"))
+    raise RuntimeError(f"components still change after {max_rounds} rounds")
 
 
 def cluster_ids(clusters: DataFrame, component: str = "component") -> DataFrame:

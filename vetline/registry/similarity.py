@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from vetline.feeds import ctes, frame
+from vetline.functions.numeric import fixed_round
 from vetline.operators import aggregates, clustering, layout, similarity as sim, topk
 from vetline.registry.core import query, rnd
 
@@ -14,7 +15,6 @@ _SIMS = """with s as (select a.vec_id query_id, b.vec_id match_id,
 @query("similar_vectors_topk", "JN-7 TK-4 SM-3", _SIMS + f"""
 select query_id, match_id, {rnd('similarity', 4)} similarity, cast(rank as int) rank from k where rank <= 3""")
 def _(spark, sf_dir):
-    from vetline.functions.numeric import fixed_round
     v = frame(spark, sf_dir, "embeddings")
     return sim.similar_topk(v, v, "vec_id", "embedding").withColumn("similarity", fixed_round(F.col("similarity"), 4))
 
@@ -29,6 +29,14 @@ def _(spark, sf_dir):
     return sim.duplicate_alerts(sim.similar_topk(v, v, "vec_id", "embedding"), 0.40)
 
 
+@query("stored_identity_matches", "JN-7", _SIMS + f"""
+select query_id, match_id, {rnd('similarity', 4)} similarity, cast(rank as int) rank from k where rank <= 3 and similarity >= 0.70""")
+def _(spark, sf_dir):
+    v = frame(spark, sf_dir, "embeddings")
+    return sim.stored_matches(sim.similar_topk(v, v, "vec_id", "embedding")).withColumn(
+        "similarity", fixed_round(F.col("similarity"), 4)).select("query_id", "match_id", "similarity", "rank")
+
+
 @query("pairwise_similarity_summary", "JN-8", _SIMS + f"""
 select query_id id, count(*) filter (similarity >= 0.40) partners, arg_max(match_id, (similarity, -match_id)) best_id,
  {rnd('max(similarity)', 4)} best_similarity from s where query_id <> match_id group by 1""")

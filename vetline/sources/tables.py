@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetline import schemas
+from vetline.session import cut_lineage
 
 
 def load(spark: SparkSession, base: str, name: str) -> DataFrame:
@@ -27,10 +28,9 @@ def write_screenings(results: DataFrame, base: str, mode: str = "append", period
 
     Children are arrays of structs named after their table, so one case is one row until
     it is written. Rows are rebalanced by period: small periods share a task and a file,
-    a large one is split over several. The results are read once per table; persist them
-    if they are costly.
+    a large one is split over several. The results are computed once and kept for all tables.
     """
-    dated = results.withColumn("period", F.date_trunc(period, "created_at").cast("date"))
+    dated = cut_lineage(results.withColumn("period", F.date_trunc(period, "created_at").cast("date")))
     children = [c for c in results.columns if c in schemas.TABLES]
 
     def write(df: DataFrame, name: str) -> None:
