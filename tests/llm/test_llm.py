@@ -270,6 +270,21 @@ def test_line_dedup_equals_brute_force(spark, hot, monkeypatch):
     assert all(r["text"] == texts[r["doc_id"]] for r in out.collect())
 
 
+def test_crowded_lines_within_one_piece(spark):
+    random.seed(8)
+    pieces = ["12", "21", "31", "13"] + ["".join(p) for p in ("1234", "2345", "3456", "4567", "1243", "2143", "1324", "9345")]
+    pieces += ["".join(random.sample("123456789", 4)) for _ in range(60)] + ["".join(random.sample("123456789", 3)) for _ in range(12)]
+    head, tail = "abcdefghijklmnopqrst", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmn"       # 64 characters: pieces of four
+    full = sorted({head + p + tail for p in pieces})
+    group = joined(full, [(a, b) for i, a in enumerate(full) for b in full[:i] if abs(len(a) - len(b)) < 2 and edits(a, b) < 2])
+    first = {}
+    for i, x in enumerate(full):
+        first.setdefault(group[x], i)
+    assert len(full) > 4 * line_dedup.HOT and len(first) > 10
+    got = {r["doc_id"]: r["class_doc"] for r in line_dedup.judged_lines(documents(spark, list(enumerate(full)))).collect()}
+    assert got == {i: first[group[x]] for i, x in enumerate(full)}
+
+
 def test_band_distance(spark):
     random.seed(2)
     rows = []

@@ -14,9 +14,10 @@ then by place. Lines of blanks alone take no part and stay.
 3. Keys of up to ``HOT`` lines give candidate pairs, verified by the banded bit-parallel edit distance
    below. A key of more lines gives no pairs: its lines are keyed anew by all but one of ``PIECES`` pieces
    (prefix and suffix), for their own length and as the shorter line for length n + 1. What is crowded
-   even then is keyed by that and the piece less one character. Lines share such a key exactly when they
-   are one edit apart, so each key's lines are linked to its smallest one: nothing is lost, and no
-   pairs within a group are made.
+   even then is keyed by that and the piece less one character: with the character's place, lines of one
+   length share such a key exactly when one substitution parts them, so each key's lines are linked to
+   its smallest one; without it, lines are linked to the shorter line that their deletion gives, if there
+   is one. Nothing is lost, and no pairs within a group are made.
 4. Links join to components.
 
 Lines are told apart by a 64-bit hash; two different lines with the same hash would count as equal.
@@ -123,14 +124,27 @@ def _piece_bounds():
 
 
 def character_keys(lines: DataFrame) -> DataFrame:
-    """(key, h) of rows (key, h, i, longer, line): the piece key with the piece less one character, or whole
-    where the line is the shorter one. Equal keys mean one edit at most."""
+    """(key, h, hub) of rows (key, h, i, longer, line), two families apart: the piece key with the piece less one
+    character and that character's place, for lines of one length (substitutions, hub = 0); and the piece
+    key with the piece less one character, or whole where the line is the shorter one (deletions, hub = 1
+    for that line). Equal keys of the first family mean one edit, as do those of the second between its hub and any other."""
     size, start, stop = _piece_bounds()
     pieces = lines.select("key", "h", "longer", F.substring("line", start + 1, stop - start - F.col("longer")).alias("piece"))
     less = pieces.filter("longer = 0").withColumn("at", F.explode(F.sequence(F.lit(1), F.length("piece")))).select(
-        "key", "h", F.expr("concat(substring(piece, 1, at - 1), substring(piece, at + 1, length(piece)))").alias("piece"))
-    return less.unionByName(pieces.filter("longer = 1").select("key", "h", "piece")).select(
-        F.xxhash64("key", "piece").alias("key"), "h").distinct()
+        "key", "h", "at", F.expr("concat(substring(piece, 1, at - 1), substring(piece, at + 1, length(piece)))").alias("piece"))
+    # place 0 stands for deletions
+    less = less.withColumn("at", F.explode(F.array(F.lit(0), F.col("at")))).withColumn("hub", F.lit(0))
+    whole = pieces.filter("longer = 1").select("key", "h", F.lit(0).alias("at"), "piece", F.lit(1).alias("hub"))
+    keyed = less.unionByName(whole)
+    return keyed.select(F.xxhash64("key", "at", "piece").alias("key"), "h", "hub", (F.col("at") == 0).alias("deleted")).distinct()
+
+
+def _stars(near: DataFrame) -> DataFrame:
+    """(a, b): lines of one substitution key to its smallest, lines of one deletion key to its shorter line."""
+    hubs = near.groupBy("key").agg(F.min(F.when(~F.col("deleted") | (F.col("hub") == 1), F.col("h"))).alias("a"),
+                                   F.min("h").alias("low"), F.max("h").alias("high"))
+    hubs = hubs.filter("a is not null and low <> high").select("key", "a")
+    return near.join(hubs, "key").select("a", F.col("h").alias("b")).filter("a <> b").distinct()
 
 
 def _shared(keys: DataFrame, name: str) -> DataFrame:
@@ -160,9 +174,7 @@ def line_links(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     with_texts = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("s")), "a").join(
         texts.select(F.col("h").alias("b"), F.col("line").alias("t")), "b")
     near = stored(character_keys(pieces.filter(F.col("n") > HOT).join(texts, "h")), "character-keys")
-    hubs = near.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("key", "a")
-    stars = near.join(hubs, "key").select("a", F.col("h").alias("b")).filter("a <> b").distinct()
-    return verified(with_texts).unionByName(stars)
+    return verified(with_texts).unionByName(_stars(near))
 
 
 def line_classes(docs: DataFrame) -> DataFrame:
