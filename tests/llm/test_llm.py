@@ -408,6 +408,13 @@ def test_simhash_equals_brute_force(spark, odd):
     assert spread.distinct().count() == sum((a ^ b).bit_count() <= 2 for i, a in enumerate(kinds) for b in kinds[:i])
 
 
+def test_simhash_keeps_different_texts_without_id(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "green", "blue")]
+    docs = documents(spark, [(None, t) for t in texts] + [(None, texts[0]), (7, " ".join(f"w{i}" for i in range(40)))])
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(r["text"] for r in kept) == sorted([*texts, " ".join(f"w{i}" for i in range(40))])
+
+
 def test_pipeline_stages(spark, sf_dir):
     import corpus_pipeline
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

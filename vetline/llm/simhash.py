@@ -123,21 +123,22 @@ def close_pairs(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id): the smallest doc_id of the linked group."""
+    """(doc_id, text_hash, fp, component, component_id): the linked group's smallest fingerprint, which tells groups
+    apart, and its smallest doc_id, null where none of the group has one."""
     marked = stored(fingerprints(docs, words), "fingerprints")
     classes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     groups = components(classes.select(F.col("fp").alias("id")), close_pairs(classes.select("fp"), radius))
     named = classes.join(groups, classes["fp"] == groups["id"]).select("fp", "component", "first")
     firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_fp = named.join(firsts, "component").select("fp", "component_id")
-    return marked.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component_id")
+    of_fp = named.join(firsts, "component").select("fp", "component", "component_id")
+    return marked.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
     """``docs`` with one row of each group: that of the smallest doc_id (then text hash)."""
     marked = near_duplicates(docs, radius, words)
-    rows = marked.groupBy("component_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
-    best = rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("w")).select(
+    rows = marked.groupBy("component", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "n")).alias("w")).select(
         F.col("w.doc_id").alias("_sim_id"), F.col("w.text_hash").alias("_sim_hash"), F.col("w.n").alias("_sim_n"))
     keyed = docs.withColumn("_sim_text", F.xxhash64("text"))
     kept = keyed.join(best, F.col("doc_id").cast("long").eqNullSafe(F.col("_sim_id")) & (F.col("_sim_text") == F.col("_sim_hash")), "inner")
