@@ -105,6 +105,27 @@ def test_embedding_links_are_complete(spark):
     assert got == {i: (n[i], group[i], group[i] == i) for i in group} and len(pairs) > 100
 
 
+def test_embedding_search_ends_or_fails(spark):
+    nodes = embedding_dedup.nodes_of(vectors(spark)[1])
+    pivots = embedding_dedup.pivots_of(nodes, 40)
+    with pytest.raises(RuntimeError, match="further shards"):
+        embedding_dedup.searched_links(nodes, pivots, 2, 2, .93, rounds=1)
+
+
+def test_embedding_audit_sees_lost_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    group = np.eye(64)[0] + .01 * rng.standard_normal((280, 64))
+    ends = rng.standard_normal((20, 64))
+    v = np.concatenate([group, ends, ends + .01 * rng.standard_normal((20, 64))])
+    df = spark.createDataFrame([(i, [float(x) for x in e], 1) for i, e in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    lost = [r["node"] for r in embedding_dedup.nodes_of(df).filter("first >= 280").select("node").collect()]
+    known = embedding_dedup.searched_links
+    assert {r["recall"] for r in embedding_dedup.near_duplicates(df).select("recall").collect()} == {1.0}
+    monkeypatch.setattr(embedding_dedup, "searched_links", lambda *a: known(*a).filter(~F.col("node").isin(lost)))
+    with pytest.raises(RuntimeError, match="audit"):
+        embedding_dedup.near_duplicates(df)
+
+
 def test_forest_recall(spark):
     rows, df = vectors(spark, 1000)
     v = units(rows)

@@ -13,9 +13,13 @@ Only vectors of one label and one length are compared. Equal vectors are one nod
    within the radius plus a margin is expanded until nothing new comes. Neighbours that live in shards not
    yet probed are searched there in further rounds. A pair met in several shards counts in one.
    Cosines are in double precision.
-5. Audit. ``AUDIT`` nodes are compared with all; the share of their links that was found is the recall. If it
-   is below ``RECALL``, overlap and probes are doubled and the search is done again; if the last round
-   still misses it, that is an error.
+   The rounds end when none is left to search; more than ``ROUNDS`` are an error.
+5. Audit. Nodes fall into strata by the links that were found for them (none, 1-3, 4-15 and so on), and about
+   ``AUDIT`` of each stratum are compared with all. The recall is the mean share of links found over the
+   nodes that have links, so a large group counts no more than as many pairs: the least of that of each
+   stratum with links and that of all, where a stratum counts by its size and a node that was found
+   no link counts as missed. If it is below ``RECALL``, overlap and probes are doubled and the search is done
+   again; if the last round still misses it, that is an error. It is null where no audited node has a link.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows without
 label, link with nothing; repeated rows are vectors of their own and link; an empty table gives no rows;
@@ -44,7 +48,9 @@ ALPHA = 1.2
 BEAM = 16
 MEDOIDS = 16
 MARGIN = 0.1
+ROUNDS = 64
 AUDIT = 200
+STRATA = 5
 RECALL = 0.999
 
 
@@ -247,8 +253,8 @@ def _seen(homes: list[int], before: set[int]) -> bool:
     return any(h in before for h in homes)
 
 
-def searched_links(nodes: DataFrame, pivots: dict, overlap: int, probes: int, threshold: float, rounds: int = 4) -> DataFrame:
-    """Rows (node, links, other) of all search rounds."""
+def searched_links(nodes: DataFrame, pivots: dict, overlap: int, probes: int, threshold: float, rounds: int = ROUNDS) -> DataFrame:
+    """Rows (node, links, other) of all search rounds; more than ``rounds`` are an error, never a part of the links."""
     rows = stored(placed(nodes, pivots, overlap, probes, threshold), "placed")
     members = rows.filter("member")
     lists = members.groupBy("shard").applyInPandas(_build, "node long, near array<long>, homes array<int>")
@@ -277,13 +283,11 @@ def searched_links(nodes: DataFrame, pivots: dict, overlap: int, probes: int, th
             return found.select("node", "links", "other")
         where = further.join(nodes.select("node", "n", "vec"), "node").withColumn("shard", F.explode("searched"))
         asked = stored(where.select("shard", "node", "n", "vec", F.lit(False).alias("member"), none.alias("members"), "searched", "before"), "asked")
-    return found.select("node", "links", "other")
+    raise RuntimeError(f"nodes are still to be searched in further shards after {rounds} rounds")
 
 
-def true_links(nodes: DataFrame, threshold: float, audit: int = AUDIT) -> tuple[dict[int, int], list]:
-    """Links of a bounded set of nodes, by comparison with all."""
-    total = nodes.count()
-    few = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(min(1.0, audit / max(1, total)) * (1 << 20))).select("node", "key", "vec").collect()
+def true_links(nodes: DataFrame, threshold: float, few: list) -> dict[int, int]:
+    """Links of the nodes ``few`` (node, key, vec), by comparison with all; pairs at the threshold to within rounding are left out."""
     by_key: dict[str, tuple[list, list]] = {}
     for r in few:
         by_key.setdefault(r["key"], ([], []))[0].append(r["node"])
@@ -295,11 +299,35 @@ def true_links(nodes: DataFrame, threshold: float, audit: int = AUDIT) -> tuple[
             for key, part in frame.groupby("key"):
                 if key in by_key:
                     ids, q = by_key[key]
-                    close = (q @ stacked(part["vec"]).T >= threshold) & (ids[:, None] != part["node"].to_numpy()[None, :])
+                    close = (q @ stacked(part["vec"]).T >= threshold + 1e-12) & (ids[:, None] != part["node"].to_numpy()[None, :])
                     yield pd.DataFrame({"node": ids, "links": close @ part["n"].to_numpy()})
 
     sums = nodes.select("key", "node", "n", "vec").mapInPandas(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
-    return {r["node"]: r["links"] for r in sums.collect()}, [r["node"] for r in few]
+    return {r["node"]: r["links"] for r in sums.collect()}
+
+
+def audited_recall(nodes: DataFrame, links: DataFrame, threshold: float, audit: int = AUDIT) -> float | None:
+    """The recall of ``links`` (node, links) as the module's text has it."""
+    got = F.coalesce("links", F.lit(0))
+    stratum = F.when(got > 0, F.least(F.lit(STRATA - 1), 1 + F.floor(F.log(4.0, got)))).otherwise(0).cast("int")
+    judged = stored(nodes.select("node", "key", "vec").join(links, "node", "left").select(
+        "node", "key", "vec", got.alias("got"), stratum.alias("stratum")), "audit")
+    sizes = {r["stratum"]: r["m"] for r in judged.groupBy("stratum").agg(F.count(F.lit(1)).alias("m")).collect()}
+    drawn = F.lit(False)
+    for k, m in sizes.items():
+        drawn = drawn | ((F.col("stratum") == k) & (F.pmod(F.xxhash64("node"), F.lit(1 << 20)) < int(min(1.0, audit / m) * (1 << 20))))
+    few = judged.filter(drawn).collect()
+    truth = true_links(nodes, threshold, few)
+    means, found, linked = [], 0.0, 0.0
+    for k, m in sizes.items():
+        mine = [r for r in few if r["stratum"] == k]
+        shares = [min(1.0, r["got"] / truth[r["node"]]) for r in mine if truth.get(r["node"])]
+        if shares:
+            found += m / len(mine) * sum(shares)
+            linked += m / len(mine) * len(shares)
+            if k:
+                means.append(sum(shares) / len(shares))
+    return min([*means, found / linked]) if linked else None
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int = SHARD, overlap: int = 2, probes: int = 3) -> DataFrame:
@@ -307,14 +335,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     nodes = nodes_of(rows)
     pivots = pivots_of(nodes, shard)
-    truth, audited = true_links(nodes, threshold)
-    wanted = sum(truth.values())
     for _ in range(4):
         found = stored(searched_links(nodes, pivots, overlap, probes, threshold), "links")
         links = found.filter("links is not null").groupBy("node").agg(F.sum("links").alias("links"))
-        got = links.filter(F.col("node").isin(audited)).agg(F.sum("links")).first()[0] or 0 if audited else 0
-        recall = got / wanted if wanted else 1.0
-        if recall >= RECALL:
+        recall = audited_recall(nodes, links, threshold)
+        if recall is None or recall >= RECALL:
             break
         overlap, probes = 2 * overlap, 2 * probes
     else:
@@ -329,7 +354,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, shard: int
     out = rows.select("vec_id", key.alias("_node")).join(named, F.col("_node") == F.col("node"), "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-                      (F.col("vec_id") == component).alias("kept"), F.lit(float(recall)).alias("recall"))
+                      (F.col("vec_id") == component).alias("kept"), F.lit(recall).cast("double").alias("recall"))
 
 
 #: The rows of near_duplicates() without the recall, in DuckDB's SQL.
