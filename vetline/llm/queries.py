@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vetline.llm import (embedding_dedup, forest_search, language_id, line_dedup, mixing, packing, simhash, suffix_dedup, token_counts,
-                         toxicity)
+from vetline.llm import (embedding_dedup, filter_audit, forest_search, language_id, line_dedup, mixing, packing, simhash, spelling, suffix_dedup,
+                         token_counts, toxicity)
 from vetline.llm.common import table
 from vetline.session import configure
 
@@ -79,6 +79,19 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op12_filter_audit(spark, sf_dir):
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLES["op12_filter_audit"] = filter_audit.ORACLE
+
+
+@query
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
