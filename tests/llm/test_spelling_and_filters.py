@@ -97,6 +97,7 @@ def plain_audit(rows, labels):
         if d is not None:
             first[text] = min(d, first.get(text, d))
         texts.append((d, text, lang or ""))
+    labels = [x for x in labels if x[0] is not None]
     good, toxic = {d for d, q, t in labels if q == 1}, {d for d, q, t in labels if t == 1}
     out = collections.Counter()
     for d, text, part in texts:
