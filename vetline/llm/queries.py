@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from vetline.llm import (embedding_dedup, filter_audit, forest_search, language_id, line_dedup, mixing, packing, simhash, spelling, suffix_dedup,
+from vetline.llm import (embedding_dedup, filter_audit, forest_search, language_id, line_dedup, main_text, mixing, packing, simhash, spelling, suffix_dedup,
                          token_counts, toxicity)
 from vetline.llm.common import table
 from vetline.session import configure
@@ -79,6 +79,11 @@ def op3_toxicity(spark, sf_dir):
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op11_main_text(spark, sf_dir):
+    return main_text.extract(table(spark, sf_dir, "pages"))
+
+
 @query
 def op12_filter_audit(spark, sf_dir):
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
