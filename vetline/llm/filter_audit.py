@@ -52,8 +52,9 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = stored(docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("part"), F.sha2(text, 256).alias("digest"),
                               failures(text).alias("mask")), "failures")
-    first = (rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-             .select(F.col("digest").alias("_d"), "first"))
+    # stored: a join of two plain exchanges, of which Spark splits a digest that many rows share
+    first = stored(rows.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+                   .select(F.col("digest").alias("_d"), "first"), "first")
     label = labels.groupBy(F.col("doc_id").cast("long").alias("_l")).agg(
         F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     copies = rows.join(first, F.col("digest") == F.col("_d"), "left").select(
