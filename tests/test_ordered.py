@@ -121,6 +121,37 @@ def test_throttle_counts_only_accepted(spark):
     assert naive != want  # a rolling count is a different rule
 
 
+def test_quiet_gaps_cut_a_hot_key_without_rounds(spark):
+    """A key of many rows that rests now and then is one round of sessions; times before a gap do not count behind it."""
+    busy = spark.range(4000).select(
+        F.when(F.col("id") % 4 == 3, F.col("id") % 30).otherwise(0).alias("chain_id"), F.col("id"),
+        F.timestamp_seconds(F.col("id") * 7 + F.floor(F.col("id") / 100) * 3600 + F.pmod(F.xxhash64("id"), F.lit(40))).alias("ts"))
+    at = busy.withColumn("_at", F.unix_micros("ts"))
+    cut, rounds = with_segment(at, ["chain_id"], "id", 200, 50, ("_at", 600_000_000))
+    sessions = cut.filter("chain_id = 0").groupBy("_session").agg(F.count("*").alias("n")).collect()
+    assert rounds == 1 and len(sessions) > 15 and max(r["n"] for r in sessions) <= 200
+    assert cut.filter("chain_id <> 0").agg(F.max("_session")).first()[0] == 0
+    _, without = with_segment(at, ["chain_id"], "id", 200, 50)
+    assert without > 10
+    want = plain_throttle(busy, 5, 600)
+    for segment in (folds.SEGMENT_ROWS, 200, 20):
+        got = {r["id"]: r["accepted"] for r in folds.throttle(busy, "chain_id", "id", "ts", 5, 600, segment).collect()}
+        assert got == want
+
+
+def test_state_crosses_more_than_one_segment(spark):
+    """Accepted events of a segment before the last still count when the window reaches back to them."""
+    df = spark.createDataFrame([(1, i, i) for i in range(40)], "chain_id int, id int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    want = plain_throttle(df, 3, 25)
+    assert {r["id"]: r["accepted"] for r in folds.throttle(df, "chain_id", "id", "ts", 3, 25, 4).collect()} == want
+
+
+def test_event_without_a_time_is_denied(spark):
+    df = spark.createDataFrame([(1, 1, 5), (1, 2, None), (1, 3, 6), (None, 4, 1), (None, 5, None)], "k int, id int, s int").withColumn("ts", F.timestamp_seconds("s"))
+    got = {r["id"]: r["accepted"] for r in folds.throttle(df, "k", "id", "ts", 2, 60).collect()}
+    assert got == {1: True, 2: False, 3: True, 4: True, 5: False}
+
+
 def test_event_exactly_one_window_later_is_free(spark):
     df = spark.createDataFrame([(1, 1, 0), (1, 2, 60), (1, 3, 61)], "k int, id int, s int").withColumn(
         "ts", F.timestamp_seconds("s"))

@@ -1,62 +1,129 @@
 """Sequential folds per key: hash chains and accepted-only quotas.
 
 Both depend on the outcome of the row before, so a key's history has to be
-walked in order. Rows are hashed to tasks by (key) and sorted there; the walk
+walked in order. Rows are hashed to tasks by key and sorted there; the walk
 keeps one small state and streams Arrow batches, it never holds a group. A key
-with more than ``segment_rows`` rows is walked in segments: one Spark stage per
-segment, with the state of the key handed over through a checkpoint, so no task
-gets more than a segment of one key.
+with more than ``segment_rows`` rows is cut where its state is empty anyway, at gaps
+as long as the quota's window, and the parts are walked side by side. Only what has no such gap, a
+hash chain or a key that never rests, is walked in segments one after the other, with the
+state of the key handed on, so no task gets more than a segment of one key.
+
+A ``Fold`` can also start from given states; the streams use that.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vetline.functions.digest import GENESIS, sha256_hex, utc_seconds
 from vetline.operators.ordered import with_segment
-from vetline.session import cut_lineage
+from vetline.session import scratch_path
 
 SEGMENT_ROWS = 4_000_000
 _NO_KEY = object()      # equals no key, null included
 
 
-def _with(batch: pa.RecordBatch, names: Sequence[str], more: dict[str, pa.Array]) -> pa.RecordBatch:
-    """Columns pass as they are, so no integer takes a detour over floats."""
-    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *more.values()], [*names, *more])
+@dataclass(frozen=True)
+class Fold:
+    """A walk over the rows of a key in order of position, from a state to a state."""
+    key: str
+    position: str
+    columns: list[str]          # of the rows
+    schema: str                 # of the walked rows, without the state behind each
+    state_type: str
+    prepare: Callable[[DataFrame], DataFrame]
+    walker: Callable[[list[str], bool], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]]
+
+    def run(self, rows: DataFrame, with_state: bool = False, also: Sequence[str] = ()) -> DataFrame:
+        """Walk ``rows``, which carry the state that their key starts from in ``_state`` (null: none) and the part of
+        their key that they are walked with in ``_session``. With ``with_state`` each row also gets the state behind it."""
+        ready = self.prepare(rows)
+        extra = "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in also)
+        schema = self.schema + extra + (f", _state {self.state_type}" if with_state else "")
+        return ready.repartition(self.key, "_session").sortWithinPartitions(self.key, "_session", self.position).mapInArrow(
+            self.walker([*self.columns, *also], with_state), schema)
+
+    def ends(self, walked: DataFrame, *by: str) -> DataFrame:
+        """The state behind the last row of each key."""
+        return walked.groupBy(self.key, *by).agg(F.max_by("_state", self.position).alias("_state"))
 
+    def start(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_state", F.lit(None).cast(self.state_type))
 
-def _walk(df: DataFrame, key: str, position: str, walker: Callable, schema: str) -> DataFrame:
-    return df.repartition(key).sortWithinPartitions(key, position).mapInArrow(walker, schema)
+
+def same_key(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
+    """Join on a key that may be null."""
+    renamed = right.withColumnRenamed(key, "_k")
+    return left.join(renamed, left[key].eqNullSafe(renamed["_k"]), how).drop("_k")
+
+
+def _batch(batch: pa.RecordBatch, names: Sequence[str], more: dict[str, pa.Array], order: Sequence[str]) -> pa.RecordBatch:
+    """Columns pass as they are, so no integer takes a detour over floats."""
+    at = {**{c: batch.column(c) for c in names}, **more}
+    return pa.RecordBatch.from_arrays([at[c] for c in order], list(order))
 
 
-def _fold(df: DataFrame, key: str, position: str, walker: Callable, schema: str, state: str,
-          next_state: Callable[[DataFrame], DataFrame], segment_rows: int) -> DataFrame:
-    """Run ``walker`` over every key in order; ``state`` is the column it starts from."""
-    segmented, rounds = with_segment(df, [key], position, segment_rows)
-    state_type = "array<bigint>" if state == "_kept" else "string"
+def _fold(df: DataFrame, fold: Fold, segment_rows: int, quiet: tuple[str, int] | None = None) -> DataFrame:
+    rows, rounds = with_segment(df, [fold.key], fold.position, segment_rows, quiet=quiet)
+    rows = rows.drop(*([quiet[0]] if quiet else []))
     if rounds == 1:
-        start = segmented.drop("_seg").withColumn(state, F.lit(None).cast(state_type))
-        return _walk(start, key, position, walker, schema)
-    segmented = cut_lineage(segmented)
-    done, heads = [], None
+        return fold.run(fold.start(rows))
+    spark = df.sparkSession
+    cut, done = scratch_path(spark, "segments"), scratch_path(spark, "walked")
+    rows.write.partitionBy("_seg").parquet(cut)
+    part_of = spark.read.schema(rows.drop("_seg").schema).parquet
+    starts = None
     for r in range(rounds):
-        part = segmented.filter(F.col("_seg") == r).drop("_seg")
-        if heads is None:
-            part = part.withColumn(state, F.lit(None).cast(state_type))
+        part = part_of(f"{cut}/_seg={r}")
+        if starts is None:
+            part = fold.start(part)
         else:
-            part = part.join(heads.withColumnRenamed(key, "_k"), part[key].eqNullSafe(F.col("_k")), "left").drop("_k")
-        out = cut_lineage(_walk(part.select(*df.columns, state), key, position, walker, schema))
-        done.append(out)
-        heads = next_state(out)
-    result = done[0]
-    for out in done[1:]:
-        result = result.unionByName(out)
-    return result
+            on = [part[c].eqNullSafe(starts[c]) for c in (fold.key, "_session")]
+            part = part.join(starts, on, "left").select(*[part[c] for c in part.columns], starts["_state"])
+        fold.run(part, True, ["_session"]).write.parquet(f"{done}/_seg={r}")
+        starts = fold.ends(spark.read.parquet(f"{done}/_seg={r}"), "_session")
+    return spark.read.parquet(done).drop("_seg", "_state", "_session")
+
+
+def _types(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def chain_fold(schema: StructType, key: str = "chain_id", position: str = "id") -> Fold:
+    """Link each event to the hash of the one before it in its chain; the state is the last hash."""
+    def prepare(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("payload_hash", F.sha2("payload", 256)).withColumns({
+            "_left": F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|")),
+            "_right": F.concat_ws("|", F.lit(""), utc_seconds(F.col("ts")), "actor", "event_type", "payload_hash"),
+        })
+
+    def walker(names: list[str], with_state: bool):
+        own = [c for c in names if c in schema.names]
+        order = [*own, "payload_hash", "previous_hash", "event_hash", *[c for c in names if c not in own], *["_state"] * with_state]
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, head = _NO_KEY, GENESIS
+            for batch in batches:
+                previous, hashes = [], []
+                for *k, left, right, start in zip(*[batch.column(c).to_pylist() for c in (key, "_session", "_left", "_right", "_state")]):
+                    if k != current:
+                        current, head = k, start or GENESIS
+                    previous.append(head)
+                    head = hashlib.sha256((left + head + right).encode()).hexdigest()
+                    hashes.append(head)
+                after = pa.array(hashes, pa.string())
+                yield _batch(batch, [*names, "payload_hash"], {"previous_hash": pa.array(previous, pa.string()), "event_hash": after, "_state": after}, order)
+        return walk
+
+    return Fold(key, position, schema.names, _types(schema) + ", payload_hash string, previous_hash string, event_hash string", "string",
+                prepare, walker)
 
 
 def build_chain(events: DataFrame, key: str = "chain_id", position: str = "id",
@@ -66,32 +133,45 @@ def build_chain(events: DataFrame, key: str = "chain_id", position: str = "id",
     ``events`` needs key, position, ts, actor, event_type and payload (canonical
     text). Adds payload_hash, previous_hash and event_hash.
     """
-    payload_hash = F.sha2("payload", 256)
-    ready = events.withColumn("payload_hash", payload_hash).withColumns({
-        "_left": F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|")),
-        "_right": F.concat_ws("|", F.lit(""), utc_seconds(F.col("ts")), "actor", "event_type", "payload_hash"),
-    })
-    kept = [f for f in ready.schema.fields if not f.name.startswith("_")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    names = [f.name for f in kept]
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, head = _NO_KEY, GENESIS
-        for batch in batches:
-            previous, hashes = [], []
-            for k, left, right, start in zip(*[batch.column(c).to_pylist() for c in (key, "_left", "_right", "_head")]):
-                if k != current:
-                    current, head = k, start or GENESIS
-                previous.append(head)
-                head = hashlib.sha256((left + head + right).encode()).hexdigest()
-                hashes.append(head)
-            yield _with(batch, names, {"previous_hash": pa.array(previous, pa.string()), "event_hash": pa.array(hashes, pa.string())})
-
-    def heads(out: DataFrame) -> DataFrame:
-        return out.groupBy(key).agg(F.max_by("event_hash", position).alias("_head"))
-
-    return _fold(ready, key, position, walk, schema + ", previous_hash string, event_hash string", "_head", heads,
-                 segment_rows)
+    return _fold(events, chain_fold(events.schema, key, position), segment_rows)
+
+
+def _micros(ts: str) -> Column:
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def throttle_fold(schema: StructType, key: str, position: str, ts: str, limit: int, seconds: int) -> Fold:
+    """Mark events under a sliding quota; the state is the times of the accepted events in the window."""
+    window = seconds * 1_000_000
+
+    def walker(names: list[str], with_state: bool):
+        own = [c for c in names if c in schema.names]
+        order = [*own, "accepted", *[c for c in names if c not in own], *["_state"] * with_state]
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            current, kept = _NO_KEY, []
+            for batch in batches:
+                flags, states = [], []
+                for *k, t, start in zip(*[batch.column(c).to_pylist() for c in (key, "_session", "_t", "_state")]):
+                    if k != current:
+                        current, kept = k, list(start or ())
+                    if t is None:
+                        flags.append(False)
+                    else:
+                        kept = [x for x in kept if x > t - window]
+                        flags.append(len(kept) < limit)
+                        if flags[-1]:
+                            kept.append(t)
+                    if with_state:
+                        states.append(list(kept))
+                more = {"accepted": pa.array(flags, pa.bool_())}
+                if with_state:
+                    more["_state"] = pa.array(states, pa.list_(pa.int64()))
+                yield _batch(batch, names, more, order)
+        return walk
+
+    return Fold(key, position, schema.names, _types(schema) + ", accepted boolean", "array<bigint>",
+                lambda rows: rows.withColumn("_t", _micros(ts)), walker)
 
 
 def throttle(events: DataFrame, key: str, position: str, ts: str, limit: int, seconds: int,
@@ -99,34 +179,10 @@ def throttle(events: DataFrame, key: str, position: str, ts: str, limit: int, se
     """Mark each event accepted or denied under a sliding quota.
 
     An event is denied when ``limit`` accepted events lie strictly inside the last
-    ``seconds``; denied events use no quota. Adds column ``accepted``.
+    ``seconds``; denied events use no quota. An event without a time is denied. Adds column ``accepted``.
     """
-    window = seconds * 1_000_000
-    ready = events.withColumn("_t", F.unix_micros(F.col(ts).cast("timestamp")))
-    names = list(events.columns)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, kept = _NO_KEY, []
-        for batch in batches:
-            flags = []
-            for k, t, start in zip(*[batch.column(c).to_pylist() for c in (key, "_t", "_kept")]):
-                if k != current:
-                    current, kept = k, ([] if start is None else sorted(start))
-                kept = [x for x in kept if x > t - window]
-                flags.append(len(kept) < limit)
-                if flags[-1]:
-                    kept.append(t)
-            yield _with(batch, [*names, "_t"], {"accepted": pa.array(flags, pa.bool_())})
-
-    def kept_of(out: DataFrame) -> DataFrame:
-        # at most ``limit`` accepted events of a key lie inside one window
-        last = out.groupBy(F.col(key).alias("_k")).agg(F.max("_t").alias("_last"))
-        return (out.filter("accepted").join(last, F.col(key).eqNullSafe(F.col("_k"))).drop("_k").filter(F.col("_t") > F.col("_last") - window)
-                .groupBy(key).agg(F.collect_list("_t").alias("_kept")))
-
-    out = _fold(ready, key, position, walk, schema + ", _t bigint, accepted boolean", "_kept", kept_of, segment_rows)
-    return out.drop("_t")
+    fold = throttle_fold(events.schema, key, position, ts, limit, seconds)
+    return _fold(events.withColumn("_at", _micros(ts)), fold, segment_rows, ("_at", seconds * 1_000_000))
 
 
 def event_hash(key: Column) -> Column:
@@ -135,4 +191,4 @@ def event_hash(key: Column) -> Column:
                                   "event_type", "payload_hash"))
 
 
-__all__: Sequence[str] = ["build_chain", "throttle", "event_hash"]
+__all__: Sequence[str] = ["Fold", "build_chain", "chain_fold", "throttle", "throttle_fold", "event_hash"]

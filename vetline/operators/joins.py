@@ -115,5 +115,7 @@ def mutation_report(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def append_once(existing: DataFrame, incoming: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Rows of ``incoming`` to append so that every key is stored once; the first in order wins."""
-    return distinct_by(incoming.join(existing.select(key), key, "left_anti"), key, order)
+    """Rows of ``incoming`` to append so that every key is stored once; the first in order wins.
+    A null key is one key: it is stored once as well."""
+    known = existing.select(F.col(key).alias("_known"))
+    return distinct_by(incoming.join(known, F.col(key).eqNullSafe(F.col("_known")), "left_anti"), key, order)

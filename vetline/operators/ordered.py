@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W
 from pyspark.sql import functions as F
 
-from vetline.session import cut_lineage
+from vetline.session import cut_lineage, stored
 
 SLICE_ROWS = 1 << 20
 SLICE = "_slice"
@@ -78,23 +78,29 @@ def with_earlier_max(df: DataFrame, keys: Sequence[str], position: str, exprs: d
 
 
 def with_segment(df: DataFrame, keys: Sequence[str], position: str, segment_rows: int,
-                 slice_rows: int | None = None) -> tuple[DataFrame, int]:
-    """Cut each key's history into consecutive segments of about ``segment_rows`` rows.
-
-    Returns the frame with column ``_seg`` and the number of segments of the
-    longest key. A segment never holds more than segment_rows + slice_rows rows.
+                 slice_rows: int | None = None, quiet: tuple[str, int] | None = None) -> tuple[DataFrame, int]:
+    """Cut keys of more than ``segment_rows`` rows into sessions and these into segments.
+
+    ``quiet`` (column, gap) tells where a key may be cut for good: at a slice whose first row lies the gap or
+    more behind all rows before it. The parts, sessions, do not depend on one another. A session longer than ``segment_rows`` has
+    consecutive segments of about so many rows, never more than segment_rows + slice_rows.
+    Adds ``_session`` and ``_seg``, both 0 for shorter keys, and returns the number of segments of the longest session.
+    What decides is one row per key and slice; rows meet only the slices of long keys.
     """
     slice_rows = slice_rows or max(1, segment_rows // 4)
     sliced = with_slice(df, position, slice_rows)
-    counts = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    by_slice = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    segments = counts.select(
-        *keys, SLICE,
-        F.floor(F.coalesce(F.sum("_n").over(by_slice), F.lit(0)) / F.lit(segment_rows)).cast("int").alias("_seg"))
-    longest = segments.agg(F.max("_seg")).first()[0]
-    if not longest:
-        return df.withColumn("_seg", F.lit(0)), 1
-    return _attach(sliced, segments, keys).drop(SLICE), longest + 1
+    ends = [] if quiet is None else [F.max(quiet[0]).alias("_hi"), F.min_by(quiet[0], position).alias("_lo")]
+    counts = sliced.groupBy(*keys, SLICE).agg(F.count(F.lit(1)).alias("_n"), *ends)
+    whole = W.partitionBy(*keys)
+    before = whole.orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    cut = F.lit(False) if quiet is None else F.coalesce(F.col("_lo") - F.max("_hi").over(before) >= quiet[1], F.lit(False))
+    sessions = counts.withColumns({"_all": F.sum("_n").over(whole), "_cut": cut.cast("int")}).filter(F.col("_all") > segment_rows).withColumn(
+        "_session", F.sum("_cut").over(whole.orderBy(SLICE)))
+    inside = W.partitionBy(*keys, "_session").orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
+    segments = stored(sessions.select(*keys, SLICE, F.col("_session").cast("bigint").alias("_session"), F.floor(
+        F.coalesce(F.sum("_n").over(inside), F.lit(0)) / F.lit(segment_rows)).cast("int").alias("_seg")), "segments")
+    longest = segments.agg(F.max("_seg")).first()[0] or 0
+    return _attach(sliced, segments, keys).drop(SLICE).na.fill(0, ["_session", "_seg"]), longest + 1
 
 
 def global_sequence(df: DataFrame, order: Sequence[str], name: str = "seq") -> DataFrame:

@@ -72,6 +72,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what follows reads only the columns it needs,
+    from files that outlive any executor."""
+    path = scratch_path(df.sparkSession, purpose)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Widen a scan of fewer splits than cores before per-row work that costs far more than
     a shuffle of the rows. Streams, plans that shuffle anyway and tables of many splits pass

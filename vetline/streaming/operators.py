@@ -1,79 +1,54 @@
 """Stateful stream operators: throttle, hash chain, at-most-once registration, watchlist check.
 
-The state of throttle and chain is a log: each micro-batch is written under its number, and the keys it
-touches are folded again over all that is logged of them with the batch operators. A row that comes late or
-out of order is placed where it belongs, nothing is dropped, and the final table equals the batch operator's
-whatever files the rows came in. A batch that runs again after a failure overwrites its own folders.
+Throttle and chain keep their result as a table of cells (``folded``): a batch folds the keys it touches from
+the state in front of its earliest row. A row that comes late or out of order is placed where it belongs, nothing
+is dropped, and the table equals the batch operator's whatever files the rows came in. What a batch costs does not grow
+with the history. A batch that runs again after a failure counts once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from vetline.operators.folds import build_chain, throttle
-from vetline.operators.joins import append_once, watchlist_hits
+from vetline.operators.folds import Fold, chain_fold, throttle_fold
+from vetline.operators.joins import watchlist_hits
+from vetline.streaming.folded import BUCKETS, WIDTH, FoldedTable
+from vetline.streaming.registered import Registry
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
-
-
-def _same(left: DataFrame, right: DataFrame, key: str, how: str) -> DataFrame:
-    """Join on a key that may be null."""
-    renamed = right.withColumnRenamed(key, "_k")
-    return left.join(renamed, left[key].eqNullSafe(renamed["_k"]), how).drop("_k")
-
-
-def _refold(stream: DataFrame, key: str, fold: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> DataFrame:
-    """Process what is there and return the folded table: of each key the rows of the last batch that touched it."""
-    spark, schema = stream.sparkSession, stream.schema
+def _drain(stream: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Process what is there."""
+    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
-    def step(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{path}/log/batch={number}")
-        log = session.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/log")
-        touched = session.read.schema(schema).parquet(f"{path}/log/batch={number}").select(key).distinct()
-        fold(_same(log, touched, key, "left_semi")).write.mode("overwrite").parquet(f"{path}/folded/batch={number}")
 
-    stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    empty = fold(spark.createDataFrame([], schema))
-    if not path_exists(spark, f"{path}/folded"):
-        return empty
-    folded = spark.read.schema(empty.schema.add("batch", "long")).parquet(f"{path}/folded")
-    last = folded.groupBy(key).agg(F.max("batch").alias("_last"))
-    return _same(folded, last, key, "inner").filter("batch = _last").select(*empty.columns)
+def _folded(stream: DataFrame, fold: Fold, path: str, checkpoint: str, width: int, buckets: int) -> DataFrame:
+    table = FoldedTable(stream.sparkSession, path, fold, stream.schema, width, buckets)
+    _drain(stream, table.apply, checkpoint)
+    return table.read()
 
 
 def throttle_stream(stream: DataFrame, key: str, position: str, ts: str, limit: int, seconds: int, path: str,
-                    checkpoint: str) -> DataFrame:
+                    checkpoint: str, width: int = WIDTH, buckets: int = BUCKETS) -> DataFrame:
     """Events of a stream marked accepted or denied."""
-    return _refold(stream, key, lambda rows: throttle(rows, key, position, ts, limit, seconds), path, checkpoint)
+    return _folded(stream, throttle_fold(stream.schema, key, position, ts, limit, seconds), path, checkpoint, width, buckets)
 
 
-def chain_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "chain_id", position: str = "id") -> DataFrame:
+def chain_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "chain_id", position: str = "id",
+                 width: int = WIDTH, buckets: int = BUCKETS) -> DataFrame:
     """The events of a stream in their hash chains."""
-    return _refold(stream, key, lambda rows: build_chain(rows, key, position), path, checkpoint)
+    return _folded(stream, chain_fold(stream.schema, key, position), path, checkpoint, width, buckets)
 
 
-def anchor_stream(stream: DataFrame, key: str, registry: str, checkpoint: str, order: list[str]):
-    """Register each key at most once in the parquet table at ``registry``, however late it comes.
+def anchor_stream(stream: DataFrame, key: str, path: str, checkpoint: str, order: list[str]) -> DataFrame:
+    """Register each key at most once in the table at ``path``, however late it comes, and return the table.
 
-    Of the rows of one batch the first in ``order`` is registered. A key that is stored, also by this
-    batch in a run that failed, is left alone.
+    Of the rows of one batch the first in ``order`` is registered. A key that is stored, null included, is left alone.
     """
-    schema = stream.schema
-
-    def register(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        known = session.read.schema(schema).parquet(registry) if path_exists(session, registry) else batch.limit(0)
-        append_once(known.select(key), batch, key, order).write.mode("append").parquet(registry)
-
-    return stream.writeStream.foreachBatch(register).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start()
+    registry = Registry(stream.sparkSession, path, key, stream.schema)
+    _drain(stream, lambda batch, number: registry.register(batch, number, order), checkpoint)
+    return registry.read()
 
 
 def watch_stream(stream: DataFrame, watchlist: DataFrame, number: str) -> DataFrame:
