@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vetline.operators import folds
 from vetline.operators.audit import chain_summary, first_break
 from vetline.operators.layout import exact_median
-from vetline.operators.ordered import global_sequence, with_earlier_max, with_lag, with_rank, with_segment
+from vetline.operators.ordered import global_sequence, with_cut, with_earlier_max, with_lag, with_rank, with_segment
 
 
 def hot(spark, n=3000):
@@ -32,6 +32,31 @@ def test_lag_rank_and_running_max(spark):
         df.withColumn("m", F.max("v").over(earlier)))
 
 
+def test_only_long_keys_are_cut(spark):
+    df = hot(spark)
+    cut = with_cut(df, ["k"], "pos", 200)
+    sizes = cut.groupBy("k", "_cut").agg(F.count("*").alias("n")).collect()
+    assert {r["k"] for r in sizes if r["_cut"] is not None} == {0}
+    assert max(r["n"] for r in sizes if r["k"] == 0) <= 210 and sum(r["k"] == 0 for r in sizes) <= 6
+    sparse = spark.range(300).select(F.lit(None).cast("string").alias("k"), (F.col("id") * 10 ** 12).alias("pos"), F.col("id").alias("v"))
+    assert with_cut(sparse, ["k"], "pos", 100).select("_cut").distinct().count() == 3
+    assert rows(with_lag(sparse, ["k"], "pos", ["v"], 100).select("v", "prev_v")) == sorted([(i, i - 1 if i else None) for i in range(300)], key=str)
+
+
+def test_no_checkpoint_and_one_shuffle_of_the_rows(spark):
+    df = hot(spark)
+    for out in (with_lag(df, ["k"], "pos", ["v"]), with_rank(df, ["k"], "pos"), with_earlier_max(df, ["k"], "pos", {"m": F.col("v")})):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "ExistingRDD" not in plan and plan.count("Window") >= 1
+
+
+def test_rank_behind_other_columns(spark):
+    df = hot(spark).withColumn("g", F.col("v") % 4)
+    w = W.partitionBy("k").orderBy("g", "pos")
+    for slice_rows in (64, 1 << 20):
+        assert rows(with_rank(df, ["k"], "pos", slice_rows, ahead=["g"])) == rows(df.withColumn("rank", F.row_number().over(w).cast("bigint")))
+
+
 def test_segments_are_bounded_and_in_order(spark):
     df = hot(spark)
     seg, rounds = with_segment(df, ["k"], "pos", 100)

@@ -1,10 +1,10 @@
 """Ordered operators per key that hold when one key owns a third of the table.
 
-A plain window over a key puts all rows of that key into one task. Here the key
-is cut into slices of a unique, increasing position column; every window runs
-inside (key, slice), so its width is at most ``slice_rows``. What has to cross a
-slice border is one small row per (key, slice), found with a partial aggregate
-and carried by a window over the slices of a key.
+A plain window over a key puts all rows of that key into one task. Keys of up to ``slice_rows`` rows are left to such
+a window. Longer keys are cut into slices of their unique, increasing position, about ``slice_rows`` rows each, and the same window runs
+inside a slice; what has to cross a border is one small row per slice, found with a partial
+aggregate over the rows of long keys only and carried over the slices of a key. So rows are shuffled once, nothing is checkpointed,
+and the tables met on the way hold one row per ``slice_rows`` rows of the input: that bounds what is broadcast.
 """
 
 from __future__ import annotations
@@ -25,9 +25,25 @@ def with_slice(df: DataFrame, position: str, slice_rows: int = SLICE_ROWS) -> Da
     return df.withColumn(SLICE, F.floor(F.col(position) / F.lit(slice_rows)).cast("bigint"))
 
 
-def _once(df: DataFrame) -> DataFrame:
-    """The input of an operator that reads it twice, for slices and for rows: computed once, kept reliably."""
-    return cut_lineage(df)
+def with_cut(df: DataFrame, keys: Sequence[str], position: str, slice_rows: int, ahead: Sequence[str] = ()) -> DataFrame:
+    """Add ``_cut``: the slice of a row (behind the ``ahead`` columns) where its key is long, else null.
+
+    A long key gets as many slices of equal width as it has ``slice_rows`` rows, so there are at most
+    two slices for each ``slice_rows`` rows of the table.
+    """
+    lo, n = F.min(position), F.count(F.lit(1))
+    width = F.greatest(F.lit(1), F.ceil((F.max(position) - lo + 1) / F.ceil(n / slice_rows)))
+    long = (df.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys]).agg(n.alias("_n"), lo.alias("_lo"), width.alias("_width"))
+            .filter(F.col("_n") > slice_rows).drop("_n"))
+    at = F.floor((F.col(position) - F.col("_lo")) / F.col("_width")).cast("bigint")
+    met = df.join(F.broadcast(long), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys], "left")
+    return met.withColumn("_cut", F.when(F.col("_lo").isNotNull(), F.struct(*ahead, at.alias(SLICE)))).select(*df.columns, "_cut")
+
+
+def _carried(out: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows with what their slice is handed from the slices before; one carry row a slice of a long key."""
+    right = carry.select(*[F.col(c).alias(f"_k_{c}") for c in (*keys, "_cut")], *[c for c in carry.columns if c not in (*keys, "_cut")])
+    return out.join(F.broadcast(right), [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (*keys, "_cut")], "left")
 
 
 def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -40,41 +56,39 @@ def _attach(df: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
 def with_lag(df: DataFrame, keys: Sequence[str], position: str, cols: Sequence[str],
              slice_rows: int = SLICE_ROWS, prefix: str = "prev_") -> DataFrame:
     """The previous row's ``cols`` within a key, in order of ``position``."""
-    sliced = _once(with_slice(df, position, slice_rows))
+    cut = with_cut(df, keys, position, slice_rows)
     row = F.struct(*[F.col(c) for c in cols])
-    earlier = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    tails = sliced.groupBy(*keys, SLICE).agg(F.max_by(row, F.col(position)).alias("_tail"))
-    carry = tails.select(*keys, SLICE, F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
-    inside = W.partitionBy(*keys, SLICE).orderBy(position)
-    out = _attach(sliced.withColumn("_lag", F.lag(row).over(inside)), carry, keys)
-    out = out.withColumn("_prev", F.coalesce("_lag", "_carry"))
+    earlier = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    tails = cut.filter("_cut is not null").groupBy(*keys, "_cut").agg(F.max_by(row, F.col(position)).alias("_tail"))
+    carry = tails.select(*keys, "_cut", F.last("_tail", ignorenulls=True).over(earlier).alias("_carry"))
+    inside = W.partitionBy(*keys, "_cut").orderBy(position)
+    out = _carried(cut.withColumn("_lag", F.lag(row).over(inside)), carry, keys).withColumn("_prev", F.coalesce("_lag", "_carry"))
     return out.select(*df.columns, *[F.col(f"_prev.{c}").alias(prefix + c) for c in cols])
 
 
 def with_rank(df: DataFrame, keys: Sequence[str], position: str, slice_rows: int = SLICE_ROWS,
               name: str = "rank", ahead: Sequence[str] = ()) -> DataFrame:
     """1-based rank of a row within its key, in order of the ``ahead`` columns and then ``position``."""
-    group = [*keys, *ahead]
-    sliced = _once(with_slice(df, position, slice_rows))
-    earlier = W.partitionBy(*keys).orderBy(*ahead, SLICE).rowsBetween(W.unboundedPreceding, -1)
-    tails = sliced.groupBy(*group, SLICE).agg(F.count(F.lit(1)).alias("_n"))
-    carry = tails.select(*group, SLICE, F.sum("_n").over(earlier).alias("_before"))
-    inside = W.partitionBy(*group, SLICE).orderBy(position)
-    out = _attach(sliced.withColumn("_in", F.row_number().over(inside)), carry, group)
+    cut = with_cut(df, keys, position, slice_rows, ahead)
+    earlier = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    sizes = cut.filter("_cut is not null").groupBy(*keys, "_cut").agg(F.count(F.lit(1)).alias("_n"))
+    carry = sizes.select(*keys, "_cut", F.sum("_n").over(earlier).alias("_before"))
+    inside = W.partitionBy(*keys, "_cut").orderBy(*ahead, position)
+    out = _carried(cut.withColumn("_in", F.row_number().over(inside)), carry, keys)
     return out.select(*df.columns, (F.coalesce("_before", F.lit(0)) + F.col("_in")).cast("bigint").alias(name))
 
 
 def with_earlier_max(df: DataFrame, keys: Sequence[str], position: str, exprs: dict[str, Column],
                      slice_rows: int = SLICE_ROWS) -> DataFrame:
     """For every row the maximum of each expression over the *earlier* rows of its key."""
-    sliced = _once(with_slice(df, position, slice_rows).withColumns({f"_v_{n}": e for n, e in exprs.items()}))
-    inside = W.partitionBy(*keys, SLICE).orderBy(position).rowsBetween(W.unboundedPreceding, -1)
-    by_slice = W.partitionBy(*keys).orderBy(SLICE).rowsBetween(W.unboundedPreceding, -1)
-    tails = sliced.groupBy(*keys, SLICE).agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in exprs])
-    carry = tails.select(*keys, SLICE, *[F.max(f"_t_{n}").over(by_slice).alias(f"_c_{n}") for n in exprs])
-    within = sliced.withColumns({f"_w_{n}": F.max(f"_v_{n}").over(inside) for n in exprs})
-    out = _attach(within, carry, keys)
-    return out.select(*df.columns, *[F.greatest(f"_w_{n}", f"_c_{n}").alias(n) for n in exprs])
+    cut = with_cut(df, keys, position, slice_rows)
+    valued = cut.withColumns({f"_v_{n}": e for n, e in exprs.items()})
+    earlier = W.partitionBy(*keys).orderBy("_cut").rowsBetween(W.unboundedPreceding, -1)
+    tails = valued.filter("_cut is not null").groupBy(*keys, "_cut").agg(*[F.max(f"_v_{n}").alias(f"_t_{n}") for n in exprs])
+    carry = tails.select(*keys, "_cut", *[F.max(f"_t_{n}").over(earlier).alias(f"_c_{n}") for n in exprs])
+    inside = W.partitionBy(*keys, "_cut").orderBy(position).rowsBetween(W.unboundedPreceding, -1)
+    within = valued.withColumns({f"_w_{n}": F.max(f"_v_{n}").over(inside) for n in exprs})
+    return _carried(within, carry, keys).select(*df.columns, *[F.greatest(f"_w_{n}", f"_c_{n}").alias(n) for n in exprs])
 
 
 def with_segment(df: DataFrame, keys: Sequence[str], position: str, segment_rows: int,

@@ -16,7 +16,7 @@ from vetline.functions import mrz
 from vetline.functions.dates import extract_visa_date
 from vetline.functions.text import clean_name_tokens, full_name, is_label_noise, let
 from vetline.operators.ordered import SLICE_ROWS, with_earlier_max
-from vetline.session import spread
+from vetline.session import spread, stored
 
 AHEAD = ("next1", "next2", "next3")
 
@@ -327,6 +327,7 @@ def best_earlier_partner(cands: DataFrame, key: str, slice_rows: int = SLICE_ROW
     def state(valid):
         return F.struct(valid.alias("valid"), F.col("score"), (-F.col("line_no")).alias("neg"))
     no = F.lit(False)
+    cands = stored(cands, "candidates")            # few of the lines, and costly to decode
     marked = with_earlier_max(cands, [key], "line_no", {
         "first_any": F.when(F.col("header_ok"), state(no)),
         "first_head": F.when(F.col("header_ok") & F.col("is_header"), state(no)),

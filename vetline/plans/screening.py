@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vetline.functions.numeric import clamp, fixed_round, quality_points, weighted_score
 from vetline.operators.ordered import SLICE_ROWS, with_rank
 from vetline.operators.topk import severity_rank, top_per_group
+from vetline.session import stored
 
 # Fixed values of the scoring.
 WEIGHTS = {"mrz": 0.22, "viz": 0.25, "tamper": 0.20, "face": 0.18, "rules": 0.10, "quality": 0.05, "reuse": 0.20}
@@ -296,10 +297,10 @@ def risk_reasons(cases: DataFrame, findings: DataFrame, tamper: DataFrame) -> Da
 def order_reasons(reasons: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Place of each reason in its case: by severity, then in order of insertion.
 
-    Counts per severity, signal and slice give what comes before, so no window has to hold
-    a whole case.
+    Counts per severity, signal and slice give what comes before in a long case, so no window has to hold
+    it whole. The reasons come from many tables, so they are stored once; sizes are counted on their keys alone.
     """
-    graded = reasons.withColumn("_sev", severity_rank(F.col("severity")))
+    graded = stored(reasons.withColumn("_sev", severity_rank(F.col("severity"))), "reasons")
     return with_rank(graded, ["case_id"], "seq", slice_rows, "place", ahead=["_sev", "step"]).drop("_sev")
 
 

@@ -7,6 +7,7 @@ from vetline.functions import digest
 from vetline.operators import audit, folds
 from vetline.operators.topk import best_row
 from vetline.registry.core import query
+from vetline.session import stored
 
 GENESIS = digest.GENESIS
 
@@ -35,8 +36,9 @@ def _source(spark, sf_dir):
 
 
 def _log(spark, sf_dir):
-    """A chained log with planted faults: some payload hashes and some links altered."""
-    chain = folds.build_chain(_source(spark, sf_dir))
+    """A stored, chained log with planted faults: some payload hashes and some links altered. What verifies it reads
+    the table, as of any log."""
+    chain = stored(folds.build_chain(_source(spark, sf_dir)), "log")
     return chain.withColumns({
         "payload_hash": F.when(F.col("id") % 101 == 7, F.sha2("payload_hash", 256)).otherwise(F.col("payload_hash")),
         "previous_hash": F.when(F.col("id") % 103 == 5, F.sha2("previous_hash", 256)).otherwise(

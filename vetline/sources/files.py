@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vetline import schemas
 from vetline.functions.text import sanitize_filename
+from vetline.sources.digests import FileDigests
 
 # Fixed values of the admission check.
 MAX_BYTES = 10 * 1024 * 1024
@@ -36,6 +37,12 @@ def inventory(spark: SparkSession, paths: list[str], extensions: list[str] = EXT
     return digests(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths))
 
 
+def chunked_inventory(spark: SparkSession, paths: list[str], extensions: list[str] = EXTENSIONS, chunk: int = 8 << 20) -> DataFrame:
+    """``inventory`` for files of any size: each is hashed ``chunk`` bytes at a time where it is read, none is a value."""
+    spark.dataSource.register(FileDigests)
+    return spark.read.format("file_digests").option("paths", "\n".join(paths)).option("extensions", "\n".join(extensions)).option("chunk", str(chunk)).load()
+
+
 def digests(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
     """Name, size and digest of the files of any table that holds their bytes."""
     return files.select(F.substring_index(path, "/", -1).alias("filename"), F.col(path).alias("path"),

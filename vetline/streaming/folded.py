@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from vetline.operators.folds import Fold, same_key
-from vetline.streaming.tables import CellTable, Commits, Folder, bucket_of, stream_of
+from vetline.sources.folders import Folder
+from vetline.streaming.tables import CellTable, Commits, bucket_of, stream_of
 
 WIDTH = 1 << 20
 BUCKETS = 8

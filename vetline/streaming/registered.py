@@ -13,7 +13,8 @@ from pyspark.sql.types import StructType
 
 from vetline.operators.joins import append_once
 from vetline.session import stored
-from vetline.streaming.tables import Commits, Folder, bucket_of, no_rows, stream_of, with_columns
+from vetline.sources.folders import Folder
+from vetline.streaming.tables import Commits, bucket_of, no_rows, stream_of, with_columns
 
 BUCKETS = 64
 
