@@ -77,7 +77,8 @@ class WordEncoder(dict):
         if len(self) > self.cache_words:
             self.clear()
         core = word.rstrip(MARKS)
-        if core != word and core and core[-1].isalnum():
+        # a letter whose small form ends in a mark, as the dotted capital I, would merge with the marks
+        if core != word and core and core[-1].isalnum() and unicodedata.normalize("NFC", core.lower())[-1].isalnum():
             ids = self[core] + self[word[len(core):]]
         else:
             low = word.lower()
