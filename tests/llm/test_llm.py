@@ -345,6 +345,18 @@ def test_packing_is_exact_and_tight(spark, odd):
     assert len(sequences) <= -(-sum(len(x) for _, x in ids) // 4096) + 1
 
 
+def test_word_ids_equal_the_tokenizer():
+    """Capitals whose small form has a mark, combining marks, special tokens and closing marks in all orders."""
+    from tokenizers import Tokenizer
+    path = packing.default_tokenizer()
+    plain, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    letters = list("aBzİıIſßẞΣσςéÉñ1²½'.,!?;:()-\"") + ["e\u0301", "\u0307", "i\u0307", "\u0130", "ǅ", "ﬁ", "日", "<|endoftext|>", "'s", "...", "x", "Å", "\u212b", "ᾳ"]
+    rng = random.Random(11)
+    words = {"".join(rng.choices(letters, k=rng.randint(1, 6))) for _ in range(60000)} | {"KİŞİ.", "DİKKATLİ!"}
+    bad = [w for w in words if np.frombuffer(encoder[w], np.uint32).tolist() != plain.encode(w, add_special_tokens=False).ids]
+    assert not bad, bad[:20]
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_packing_plan(seed):
     rng = random.Random(seed)

@@ -7,7 +7,7 @@ linear unit gives a logit. A text is scored by all its windows, which overlap by
 highest: whole texts are read, and toxic words are found wherever they stand.
 
 Training: ``TOXIC_ROWS`` toxic and ``CLEAN_ROWS`` other labelled rows at most, none above ``LONGEST``
-characters, are the bounded sample; each round scores all windows of the sample, then learns from each
+characters, are the bounded sample; one task learns from it, the driver only gets the weights. Each round scores all windows of the sample, then learns from each
 text's highest window and from a random one of clean texts. Scoring is one pass over the documents without
 a shuffle; what a worker keeps is a cache of words' inputs.
 
@@ -17,6 +17,7 @@ repeated rows are scored each; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -303,10 +304,20 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
     sample = rows.filter(F.pmod(F.xxhash64("key", F.lit("toxicity")), F.lit(1 << 20)) < share * (1 << 20))
     # about toxic_rows + clean_rows ids, whatever the input
     texts = docs.filter(F.length("text") <= LONGEST).join(F.broadcast(sample), F.col("doc_id") == F.col("key")).select("key", "text", "toxic")
-    got = sorted(tuple(r) for r in texts.collect())
-    texts, marks = [g[1] for g in got], [g[2] for g in got]
-    del got
-    return train(texts, marks)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for batch in batches for row in zip(*[batch.column(i).to_pylist() for i in range(3)]))
+        texts, marks = [g[1] for g in got], [g[2] for g in got]
+        del got
+        net = train(texts, marks)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net.p) if net else None], pa.binary())], ["weights"])
+
+    weights = texts.repartition(1).mapInArrow(learn, "weights binary").first()["weights"]
+    if weights is None:
+        return None
+    net = Network(SEED)
+    net.p = pickle.loads(weights)
+    return net
 
 
 def score(docs: DataFrame, net: Network | None) -> DataFrame:
