@@ -215,6 +215,27 @@ def test_suffix_dedup_equals_brute_force(spark, group, monkeypatch):
     assert collections.Counter(map(tuple, suffix_dedup.without_repeats(documents(spark, rows)).collect())) == want
 
 
+@pytest.mark.parametrize("group", [8, 3])
+def test_suffix_dedup_of_one_crowded_passage(spark, group, monkeypatch):
+    """One passage in every document, with neighbours of its own or of few kinds: crowded anchors are split, nothing is lost."""
+    random.seed(9)
+    passage = "".join(random.choices("abcdefghij ", k=260))
+    sides = ["".join(random.choices("xyz", k=150)) for _ in range(6)]
+    rows = [(d, random.choice([*sides, f"{d:04d}" * 40]) + passage[random.choice([0, 0, 30]):] + random.choice([*sides, f"{d:05d}" * 30])) for d in range(70)]
+    rows += [rows[0]] * 3
+    monkeypatch.setattr(suffix_dedup.repeated_ranges, "__defaults__", (200, group))
+    count = collections.Counter(t[i:i + 200] for _, t in rows for i in range(len(t) - 199))
+    want = collections.Counter()
+    for d, t in rows:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - 199):
+            if count[t[i:i + 200]] > 1:
+                gone[i:i + 200] = True
+        want[d, int(gone.sum())] += 1
+    got = suffix_dedup.without_repeats(documents(spark, rows)).collect()
+    assert collections.Counter((r["doc_id"], r["n_removed"]) for r in got) == want
+
+
 def test_token_counts_equal_a_plain_unigram(spark, odd):
     from tokenizers import Tokenizer, models
     scores = token_counts.read_pieces(token_counts.default_vocabulary())

@@ -13,9 +13,11 @@ matter are sorted; the result is exact all the same.
    rims of repeated passages, a few for each.
 3. Suffix sort. Those blocks are fetched and range-partitioned by the leading bytes of their suffixes at
    the anchor (Spark samples the splitters); each bucket sorts all its windows by multikey quicksort
-   over 8-byte characters, and equal neighbours are repeats. Anchors with more than ``GROUP`` blocks
-   are spread over buckets; what such a bucket has not matched itself is compared across buckets by a
-   128-bit hash, counted with partial aggregates.
+   over 8-byte characters, and equal neighbours are repeats. An anchor with more than ``GROUP`` blocks is
+   split by more characters: a window reaches at least ``REACH`` bytes to the left or to the right of its anchor, so its blocks
+   are dealt once by the bytes on the left, for the windows that hold them, and once by those on the right. Where even such
+   a string has more than ``GROUP`` blocks, they are spread over buckets, and what such a bucket has not matched itself is
+   compared across buckets by a 128-bit hash, counted with partial aggregates.
 4. Each document gets the ranges found in it, merges them and drops their bytes.
 
 Cases: null is an empty text; texts under ``WINDOW`` bytes keep all; texts of any length are read whole;
@@ -38,6 +40,8 @@ WINDOW = 200
 GRAM = 64
 #: Blocks of one anchor string that one bucket sorts together.
 GROUP = 2048
+#: Bytes that every window holds on one side of its anchor at least.
+REACH = (WINDOW - GRAM) // 2
 #: Window starts hashed together, and windows sorted together.
 CHUNK = 1 << 18
 SORT_WINDOWS = 400_000
@@ -126,8 +130,10 @@ def _ranges(window: int):
 
 
 def _fetch(joined: DataFrame, window: int) -> DataFrame:
-    """The wanted blocks of each document: rows (.., text, wanted array of (h, salt, at, spread))."""
+    """The wanted blocks of each document: rows (.., text, wanted array of (h, at, crowded)). Of a crowded anchor
+    the windows that reach left and those that do not, each with the bytes there in ``h``."""
     names = joined.columns
+    reach = (window - GRAM) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,13 +146,26 @@ def _fetch(joined: DataFrame, window: int) -> DataFrame:
                     start, more, off = x["at"] >> 16, (x["at"] >> 8) & 255, x["at"] & 255
                     anchor = start + off
                     lead = int.from_bytes(data[anchor:anchor + 8], "big") - (1 << 63)
-                    out.append((lead, x["h"], x["salt"], x["spread"], row, start, data[start:start + more + window]))
-            cols = list(zip(*out)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
+                    if not x["crowded"]:
+                        out.append((lead, x["h"], False, row, start, data[start:start + more + window]))
+                        continue
+                    # starts up to ``left`` reach left far enough
+                    left, last = anchor - reach, start + more
+                    if start <= left:
+                        out.append((lead, _narrowed(x["h"], b"l" + data[left:anchor]), True, row, start, data[start:min(last, left) + window]))
+                    if last > left:
+                        first = max(start, left + 1)
+                        out.append((lead, _narrowed(x["h"], b"r" + data[anchor + GRAM:anchor + GRAM + reach]), True, row, first, data[first:last + window]))
+            cols = list(zip(*out)) or [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)],
-                                             ["lead", "h", "salt", "spread", "row_id", "start", "bytes"])
+                                             ["lead", "h", "crowded", "row_id", "start", "bytes"])
 
-    return joined.mapInArrow(run, "lead long, h long, salt int, spread boolean, row_id long, start long, bytes binary")
+    return joined.mapInArrow(run, "lead long, h long, crowded boolean, row_id long, start long, bytes binary")
+
+
+def _narrowed(h: int, context: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(h.to_bytes(8, "little", signed=True) + context, digest_size=8).digest(), "little", signed=True)
 
 
 def repeated_windows(blocks: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,11 +255,14 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, group: int = GROUP) -
                        .select("h", "block", "n", "kinds", "one.row_id", "one.at"), "contested-blocks")
     whole = anchors.join(contested.filter("n > 1").select("h", "block"), ["h", "block"]).select("row_id", *_ranges(window))
     whole = stored(whole, "whole-blocks")
-    salts = F.ceil(F.col("kinds") / group)
-    wanted = contested.filter("kinds > 1").groupBy("row_id").agg(F.collect_list(F.struct(
-        "h", "at", F.pmod(F.xxhash64("block"), salts).cast("int").alias("salt"), (salts > 1).alias("spread"))).alias("wanted"))
-    fetched = _fetch(rows.join(wanted, "row_id"), window)
-    buckets = fetched.repartitionByRange("lead", "h", "salt").sortWithinPartitions("lead", "h", "salt")
+    wanted = contested.filter("kinds > 1").groupBy("row_id").agg(F.collect_set(F.struct(
+        "h", "at", (F.col("kinds") > group).alias("crowded"))).alias("wanted"))
+    fetched = stored(_fetch(rows.join(wanted, "row_id"), window), "blocks")
+    full = fetched.filter("crowded").groupBy(F.col("h").alias("_h")).agg(F.ceil(F.count(F.lit(1)) / group).alias("salts")).filter("salts > 1")
+    salted = fetched.join(full, F.col("h") == F.col("_h"), "left").select(
+        "lead", "h", F.coalesce(F.pmod(F.xxhash64("bytes"), F.col("salts")), F.lit(0)).cast("int").alias("salt"),
+        F.col("salts").isNotNull().alias("spread"), "row_id", "start", "bytes")
+    buckets = salted.repartitionByRange("lead", "h", "salt").sortWithinPartitions("lead", "h", "salt")
     found = stored(_sort_buckets(buckets, window), "sorted-windows")
     open_ = found.filter("open")
     across = open_.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2")
@@ -261,7 +283,7 @@ def _merged(ranges: list[tuple[int, int]]) -> list[list[int]]:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every document."""
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = repeated_ranges(rows, window).groupBy("row_id").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
+    ranges = repeated_ranges(rows, window).groupBy("row_id").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     joined = rows.join(ranges, "row_id", "left")
     names = joined.columns
 
