@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vetline.functions.dates import display_date, normalize_date, strict_date
 from vetline.functions.text import (
-    DEMONYMS, SEX_CODES, full_name, is_display_noise, is_label_noise, denull_display, let, lookup, normalize_text,
-    same_tokens, token_overlap)
+    DEMONYMS, SEX_CODES, full_name, is_label_noise, let, let_sql, lookup, normalize_text, same_tokens, shown_text,
+    token_overlap)
 
 # Names a field goes by, in the order they are tried.
 ALIASES = {
@@ -106,14 +106,14 @@ def display_equal(field: str, visual: Column, zone: Column) -> Column:
         same = same | ((F.size(wv) > 0) & (F.size(wz) > 0) & (hits / F.greatest(larger, F.lit(1)) >= 0.7))
     if "date" in field or field in ("dob", "expiry"):
         plain = same
-        same = let(F.array(display_date(visual), display_date(zone)), lambda d: F.when(
+        same = let(F.transform(F.array(visual, zone), display_date), lambda d: F.when(
             d[0].isNotNull() & d[1].isNotNull(), d[0] == d[1]).otherwise(plain))
     return F.coalesce(same, F.lit(False))
 
 
 def usable(c: Column, field: str) -> Column:
     """The value a display would show, null for placeholders and labels."""
-    return let(denull_display(c), lambda t: F.when(~is_display_noise(t, field), t))
+    return let_sql(c, shown_text(field))
 
 
 def resolve(field: str, sources: list[Column]) -> Column:

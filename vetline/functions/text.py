@@ -70,9 +70,13 @@ def _quoted(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _list(values) -> str:
+    return ", ".join(map(_quoted, values))
+
+
 def words(values) -> Column:
     """A constant array, parsed in one go instead of built literal by literal."""
-    return F.expr("array(" + ", ".join(map(_quoted, values)) + ")")
+    return F.expr(f"array({_list(values)})")
 
 
 def lookup(mapping: dict[str, str], key: Column) -> Column:
@@ -85,6 +89,21 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def each(values: list[Column], body: str) -> Column:
+    """Array of ``body``, a lambda in SQL text, applied to every value. A long body costs one parse
+    here, where built call by call it costs many trips to the JVM before the job starts."""
+    return F.call_function("transform", F.array(*values), F.expr(body))
+
+
+def let_sql(value: Column, body: str) -> Column:
+    """``let`` with a lambda in SQL text."""
+    return F.element_at(each([value], body), 1)
+
+
+def _let_text(value: str, name: str, body: str) -> str:
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -110,54 +129,61 @@ def alpha_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.upper(c), F.lit("[A-Z]+"), F.lit(0))
 
 
-def _all_in(tokens: Column, vocabulary) -> Column:
-    return F.size(F.array_except(tokens, words(vocabulary))) == 0
+#: SQL for the upper-case words of the text ``t``.
+_TOKENS = "regexp_extract_all(upper(t), '[A-Z]+', 0)"
 
 
-def _display_noise(t: Column) -> Column:
-    pattern_hit = t.rlike("(?i)" + "|".join(p.removeprefix("(?i)") for p in LABEL_PATTERNS_DISPLAY))
-    folded = F.upper(F.regexp_replace(t, "[^A-Za-z]", ""))
-
-    def only_labels(tokens):
-        return (F.size(tokens) > 0) & _all_in(F.filter(tokens, lambda x: F.length(x) > 1), LABEL_WORDS_DISPLAY)
-    return (F.when(F.length(t) < 2, True).when(pattern_hit, True).when(t.rlike(r"\d{3,}"), False)
-            .when(F.array_contains(words(LABEL_WORDS_DISPLAY), folded), True).otherwise(let(alpha_tokens(t), only_labels)))
+def noise_text(c: str, variant: str = "visa") -> str:
+    """SQL for whether the SQL value ``c`` is only printed labels. Variants: visa, reader, display."""
+    if variant == "display":
+        labels = _list(LABEL_WORDS_DISPLAY)
+        patterns = "(?i)" + "|".join(p.removeprefix("(?i)") for p in LABEL_PATTERNS_DISPLAY)
+        first = f"when t rlike r'{patterns}' then true "
+        then = f"when upper(regexp_replace(t, '[^A-Za-z]', '')) in ({labels}) then true "
+        judge = f"size(w) > 0 and size(array_except(filter(w, x -> length(x) > 1), array({labels}))) = 0"
+    else:
+        labels = LABEL_WORDS_VISA if variant == "visa" else LABEL_WORDS_READER
+        first = then = ""
+        judge = f"size(w) = 0 or size(array_except(w, array({_list(labels)}))) = 0"
+        if variant == "reader":
+            judge += f" or size(w) > 3 or arrays_overlap(w, array({_list(BOILERPLATE_WORDS)}))"
+    return _let_text(f"trim(coalesce({c}, ''))", "t", f"case when length(t) < 2 then true {first}"
+                     rf"when t rlike r'\d{{3,}}' then false {then}else {_let_text(_TOKENS, 'w', judge)} end")
 
 
 def is_label_noise(c: Column, variant: str = "visa") -> Column:
     """Whether a candidate value is only printed labels. Variants: visa, reader, display."""
-    def judge(tokens):
-        if variant == "visa":
-            return (F.size(tokens) == 0) | _all_in(tokens, LABEL_WORDS_VISA)
-        return ((F.size(tokens) == 0) | (F.size(tokens) > 3) | F.arrays_overlap(tokens, words(BOILERPLATE_WORDS))
-                | _all_in(tokens, LABEL_WORDS_READER))
-
-    def noise(t):
-        if variant == "display":
-            return _display_noise(t)
-        return F.when(F.length(t) < 2, True).when(t.rlike(r"\d{3,}"), False).otherwise(let(alpha_tokens(t), judge))
-    return let(F.trim(F.coalesce(c, F.lit(""))), noise)
-
-
-def is_display_noise(c: Column, field: str) -> Column:
-    """The display variant with its exceptions for document type and sex values."""
-    folded = F.upper(F.regexp_replace(F.coalesce(c, F.lit("")), "[^A-Za-z]", ""))
+    return let_sql(c, f"c -> {noise_text('c', variant)}")
+
+
+def display_noise_text(c: str, field: str) -> str:
+    """The display variant with its exceptions for document type and sex values, as SQL."""
     keep = {"document_type": ["PASSPORT", "VISA", "ID", "P", "V", "TRAVELDOCUMENT"],
             "sex": ["M", "F", "MALE", "FEMALE"]}
     alias = {"doc_type": "document_type", "type": "document_type", "gender": "sex"}
     allowed = keep.get(alias.get(field, field))
-    noise = is_label_noise(c, "display")
-    return F.when(folded.isin(*allowed), False).otherwise(noise) if allowed else noise
+    noise = noise_text(c, "display")
+    folded = f"upper(regexp_replace(coalesce({c}, ''), '[^A-Za-z]', ''))"
+    return f"case when {folded} in ({_list(allowed)}) then false else {noise} end" if allowed else noise
+
+
+def shown_text(field: str) -> str:
+    """SQL lambda: the value a display would show, null for placeholders and labels."""
+    return "c -> " + _let_text("trim(c)", "s", f"case when s not in ({_list(MISSING_DISPLAY)}) and not ({display_noise_text('s', field)}) then s end")
 
 
 def clean_name_tokens(c: Column, variant: str = "visa") -> Column:
     """Name words of a candidate line, '' when nothing but labels is left."""
-    vocabulary = LABEL_WORDS_VISA if variant == "visa" else LABEL_WORDS_READER
-    bare = F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), NAME_LABEL_PREFIX, "")
-    tokens = F.split(F.upper(squeeze(F.regexp_replace(bare, "[^A-Za-z]", " "))), " ")
-    good = F.filter(tokens, lambda t: (F.length(t) >= 2) & ~F.array_contains(words(vocabulary), t)
-                    & ((F.length(t) > 2) | t.rlike("[AEIOUY]")))
-    return let(F.array_join(good, " "), lambda name: F.when(is_label_noise(name, variant), F.lit("")).otherwise(name))
+    return let_sql(c, clean_names_text(variant))
+
+
+def clean_names_text(variant: str = "visa") -> str:
+    """SQL lambda of ``clean_name_tokens``."""
+    labels = _list(LABEL_WORDS_VISA if variant == "visa" else LABEL_WORDS_READER)
+    bare = f"regexp_replace(trim(coalesce(c, '')), r'{NAME_LABEL_PREFIX}', '')"
+    tokens = rf"split(upper(trim(regexp_replace(regexp_replace({bare}, '[^A-Za-z]', ' '), r'\s+', ' '))), ' ')"
+    good = f"filter({tokens}, x -> length(x) >= 2 and x not in ({labels}) and (length(x) > 2 or x rlike '[AEIOUY]'))"
+    return "c -> " + _let_text(f"array_join({good}, ' ')", "n", f"case when {noise_text('n', variant)} then '' else n end")
 
 
 def full_name(given: Column, surname: Column) -> Column:

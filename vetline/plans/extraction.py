@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vetline.functions import mrz
 from vetline.functions.dates import extract_visa_date
-from vetline.functions.text import clean_name_tokens, full_name, is_label_noise, let
+from vetline.functions.text import clean_name_tokens, clean_names_text, each, full_name, let, let_sql, noise_text
 from vetline.operators.ordered import SLICE_ROWS, with_earlier_max
 from vetline.session import spread, stored
 
@@ -27,7 +27,7 @@ def with_lines(df: DataFrame, text: str, lines: str = "lines", variant: str | No
     df = df.withColumn(lines, F.split(F.col(text), "\n"))
     sources = {"next": lines}
     if variant:
-        df = df.withColumn("_names", F.transform(lines, lambda x: clean_name_tokens(x, variant)))
+        df = df.withColumn("_names", F.call_function("transform", F.col(lines), F.expr(clean_names_text(variant))))
         sources["name"] = "_names"
     n = F.size(lines)
     ahead = [F.slice(src, F.lit(k + 1), F.greatest(n - k, F.lit(0))).alias(f"{name}{k}")
@@ -99,8 +99,11 @@ PASSPORT_LABELS = ["PASSPORT", "DOC NO", "PPT NO", "PASSEPORT"]
 PASSPORT_WORDS = ["PASSPORT", "PASSEPORT", "REPUBLIC", "CATEGORY", "OFFICIAL"]
 
 
+_NOT_NOISE = f"c -> case when not {noise_text('c', 'visa')} then c end"
+
+
 def _unless_noise(c: Column) -> Column:
-    return F.when(~is_label_noise(c, "visa"), c)
+    return let_sql(c, _NOT_NOISE)
 
 
 def _name_after(at, label: str, stop: list[str], variant: str) -> Column:
@@ -211,7 +214,9 @@ def visa_fields(pages: DataFrame, key: str, text: str) -> DataFrame:
     df = df.select(key, *[F.coalesce(*([first_of(f"z_{n}")] if n in ZONE_VALUES else []), first_of(n)).alias(n)
                           for n in VISA_VALUES])
     df = df.withColumn("holder_name", full_name(F.col("given_names"), F.col("surname")))
-    return df.select(key, *[_unless_noise(F.col(n)).alias(n) for n in [*VISA_VALUES, "holder_name"]])
+    names = [*VISA_VALUES, "holder_name"]
+    df = df.select(key, each([F.col(n) for n in names], _NOT_NOISE).alias("v"))
+    return df.select(key, *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
 
 
 # -- passport ----------------------------------------------------------------------
