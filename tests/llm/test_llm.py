@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import zlib
 
@@ -268,6 +269,28 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > .97
 
 
+def test_language_learns_nothing_without_id(spark):
+    docs = documents(spark, [(None, "le chat mange la souris", "fr"), (None, "the cat eats the mouse", "en"), (1, "the dog", None)])
+    got = language_id.identify(docs).collect()
+    assert len(got) == 3 and {r["lang_pred"] for r in got} == {"und"} and not any(r["held_out"] for r in got)
+
+
+def test_language_is_that_of_the_nearest_centroid(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("text is not null")
+    model = language_id.fit(docs.select(F.col("doc_id").alias("key"), "text", "lang"))
+    few = docs.limit(60)
+    got = {r["doc_id"]: r for r in language_id.predict(few, model).collect()}
+    for row in few.collect():
+        if not language_id.LETTER.search(row["text"]):
+            continue
+        v = [math.log1p(n) * w for n, w in zip(language_id.gram_counts(row["text"]).tolist(), model.idf.tolist())]
+        size = math.sqrt(sum(x * x for x in v))
+        near = [sum(x * y for x, y in zip(v, c)) / size for c in model.centroids.tolist()]
+        of = got[row["doc_id"]]
+        best = max(x for x, lang in zip(near, model.langs) if lang == of["lang_pred"])
+        assert best >= max(near) - 1e-5 and abs(of["score"] - best) < 1e-4
+
+
 def test_language_odd_texts(spark, odd):
     got = language_id.identify(documents(spark, odd)).collect()
     assert len(got) == len(odd)

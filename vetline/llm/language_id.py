@@ -8,7 +8,8 @@ nearly all learning texts of the language are is marked ``rejected``. Scoring is
 texts without a shuffle.
 
 Cases: null text or no letter gives ``und`` and score 0; empty learning data gives ``und`` everywhere;
-repeated rows are judged each; other columns are ignored.
+repeated rows are judged each; rows without id are judged as not held out, but nothing is learnt from them;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, reject: bool = False)
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Learn from four fifths of the documents, judge all."""
-    model = fit(docs.filter(~F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select(F.col("doc_id").alias("key"), "text", "lang"))
+    """Learn from four fifths of the documents, judge all. Rows without id are judged, not learnt from."""
+    model = fit(docs.filter(~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("key"), "text", "lang"))
     return predict(docs, model).withColumn("held_out", F.coalesce(held_out(F.col("doc_id")), F.lit(False))).select(
         "doc_id", "held_out", "lang_pred", "score", "rejected")
