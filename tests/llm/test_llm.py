@@ -145,6 +145,17 @@ def test_forest_recall(spark):
     assert sorted(r["vec_id"] for r in forest_search.nearest(few).collect()) == [1, 2, 3]
 
 
+def test_forest_ties_repeats_and_clashing_names(spark):
+    clash = ["node", "dims", "vec", "tree", "run", "leaf", "block", "query_id", "score", "rank"]
+    rows = [(i, [1.0, 0.0] if i % 2 else [0.0, 1.0], *["x"] * len(clash)) for i in range(20)]
+    rows += [rows[3], rows[3], rows[10], (None, [1.0, 0.0], *["x"] * len(clash))]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<double>, {', '.join(f'{c} string' for c in clash)}")
+    got = collections.defaultdict(list)
+    for r in forest_search.nearest(df, every=10).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert got == {0: [(i, 1.0) for i in (2, 4, 6, 8, 10)], 10: [(i, 1.0) for i in (0, 2, 4, 6, 8)]}
+
+
 def test_toxicity_finds_marked_words(spark):
     random.seed(1)
     clean = ["".join(random.choices(["th", "er", "on", "an", "re"], k=random.randint(1, 4))) for _ in range(300)]

@@ -158,8 +158,10 @@ def _search(rows: DataFrame, entries: DataFrame, total: int, every: int, k: int,
                 out += [(query, vec, i, g, x) for (i, g), x in runs.items()]
             yield pd.DataFrame(out, columns=["query_id", "vec", "tree", "run", "leaves"])
 
-    queries = stored(queries, "queries").repartition("query_id")
+    queries = stored(queries, "queries")
     n_queries = queries.count()
+    # a number of its own, as few bytes mean a long walk here: all cores work, and no task walks more than a block
+    queries = queries.repartition(max(1, -(-n_queries // BLOCK), min(n_queries, rows.sparkSession.sparkContext.defaultParallelism)), "query_id")
     walked = queries.mapInPandas(walk, "query_id long, vec binary, tree int, run int, leaves array<int>")
     asked = walked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(n_queries // BLOCK + 1))).groupBy("tree", "run", "part").agg(
         F.collect_list(F.struct("query_id", "vec", "leaves")).alias("queries"))
