@@ -107,14 +107,14 @@ def close_pairs(classes: DataFrame, radius: int = RADIUS, tile: int = TILE) -> D
         for batch in batches:
             found: list[np.ndarray] = []
             for i in range(batch.num_rows):
-                a, b = (batch.column(k)[i].values.to_numpy() for k in (0, 1))
+                a, b = (batch.column(k)[i].values.to_numpy().view(np.uint64) for k in (0, 1))     # of signed numbers numpy counts the absolute value's bits
                 own = batch.column(2)[i].as_py()
                 step = max(1, 1_000_000 // len(b))
                 for s in range(0, len(a), step):
                     near = np.bitwise_count(a[s:s + step, None] ^ b[None, :]) <= radius
                     at, to = np.nonzero(near)
                     if len(at):
-                        links = np.stack([a[s + at], b[to]])
+                        links = np.stack([a[s + at], b[to]]).view(np.int64)
                         found.append(links[:, links[0] < links[1]] if own else links)
             both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
