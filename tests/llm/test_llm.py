@@ -490,12 +490,80 @@ def test_simhash_equals_brute_force(spark, odd):
             first[group[f]] = min(d, first.get(group[f], d))
     got = simhash.near_duplicates(docs).select("doc_id", simhash.as_hex(F.col("fp")).alias("f"), "component_id").collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter((d, f"{f:016x}", first[group[f]]) for d, f in fps)
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and kept.count() == len(first)
     spread = simhash.close_pairs(spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in kinds], "fp long"), tile=3)
     assert spread.distinct().count() == sum((a ^ b).bit_count() <= 2 for i, a in enumerate(kinds) for b in kinds[:i])
 
 
+def test_simhash_links_across_the_sign_bit(spark):
+    fps = [0, -(1 << 63), -(1 << 63) + 1, 3, -1, (1 << 63) - 1, (1 << 63) - 2, -2]
+    got = simhash.close_pairs(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()
+    want = {frozenset((a, b)) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+    assert {frozenset(r) for r in got} == want and len(got) == len(want)
+
+
+def test_alike_equals_brute_force(spark, odd):
+    import xxhash
+
+    def fp(text):
+        words = (text or "").encode().lower().split()
+        grams = [b" ".join(words[i:i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+        wide = []
+        for g in grams:
+            half = [int.from_bytes(xxhash.xxh3_128_digest(g, 42)[k:k + 8], "little") for k in (0, 8)]
+            for x in list(half):
+                x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+                half.append(x ^ x >> 31)
+            wide.append(sum(x << 64 * k for k, x in enumerate(half)))
+        return len(grams), sum(1 << b for b in range(256) if 2 * sum(w >> b & 1 for w in wide) > len(grams))
+    random.seed(11)
+    base = [f"w{random.randrange(900)}" for _ in range(300)]
+    rows = odd + [(200 + i, " ".join(w if random.random() > i / 900 else "new" for w in base[:300 - i])) for i in range(50)]
+    docs = documents(spark, rows)
+    of = [fp(r[1]) for r in rows]
+    kinds = sorted(set(of))
+    near = [(a, b) for i, a in enumerate(kinds) for b in kinds[:i] if (a[1] ^ b[1]).bit_count() <= 44 and 5 * min(a[0], b[0]) >= 4 * max(a[0], b[0])
+            and a[0] and b[0]]
+    group = joined(kinds, near)
+    assert 20 < len(near)
+    for tile in (4096, 3):
+        got = simhash.alike(docs, tile=tile).select("doc_id", "component").collect()
+        assert len(got) == len(rows)
+        # equal partitions: the multiset of (ids of a group)
+        mine, want = collections.defaultdict(list), collections.defaultdict(list)
+        for r in got:
+            mine[r["component"]].append(str(r["doc_id"]))
+        for r, f in zip(rows, of):
+            want[group[f]].append(str(r[0]))
+        assert sorted(map(sorted, mine.values())) == sorted(map(sorted, want.values()))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(group.values()))
+
+
+def test_alike_finds_near_copies_and_leaves_others(spark):
+    """At a similarity of 0.85 and more nearly all pairs link; texts that share half of their shingles never do."""
+    random.seed(12)
+    rows, pairs, apart = [], [], []
+    for k in range(200):
+        words = [f"x{random.randrange(5000)}" for _ in range(400)]
+        rows += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(words[:200] + ["other"] + words[201:390])), (3 * k + 2, " ".join(words[:270] + words[:130][::-1]))]
+        pairs.append((3 * k, 3 * k + 1))
+        apart.append((3 * k, 3 * k + 2))
+    of = {r["doc_id"]: r["component"] for r in simhash.alike(documents(spark, rows)).collect()}
+    assert all(of[a] == of[b] for a, b in pairs)
+    assert all(of[a] != of[b] for a, b in apart)
+
+
+def test_simhash_counts_long_texts_in_slices(monkeypatch):
+    random.seed(13)
+    texts = [" ".join(random.choices("abcdefgh", k=n)).encode() for n in (3000, 2, 700, 1)] + [b""]
+    whole = simhash.wide_fingerprints_of(texts)
+    monkeypatch.setattr(simhash, "SLICE", 100)
+    cut = simhash.wide_fingerprints_of(texts)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert whole[0].tolist() == [2996, 1, 696, 1, 0] and not whole[1][4].any()
+
+
 def test_simhash_keeps_different_texts_without_id(spark):
     texts = [" ".join(f"{w}{i}" for i in range(40)) for w in ("red", "green", "blue")]
     docs = documents(spark, [(None, t) for t in texts] + [(None, texts[0]), (7, " ".join(f"w{i}" for i in range(40)))])
