@@ -33,6 +33,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEAT = 2
 SHARDS = 16
+#: Documents of a shard that one task shuffles.
+ROWS_A_TASK = 50_000
 SEED = "mix-1"
 OWN = "_mix_"      # prefix of columns added to carried rows
 
@@ -172,10 +174,13 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = RE
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeat: int = REPEAT, shards: int = SHARDS) -> DataFrame:
     """The mix itself: a row per pass over a document, with the columns of ``docs``.
 
-    Rows come partitioned by shard and shuffled inside it. The one document of a source whose last pass
+    Rows come partitioned by shard and shuffled inside it, in as many slices of a shard as its documents need. The one document of a source whose last pass
     is only partly needed ends after the words taken.
     """
-    keyed = measured(docs, _block_count(docs))
+    blocks = _block_count(docs)
+    # the number of documents is about the square of that of blocks
+    slices = max(16, math.ceil(blocks * blocks / (shards * ROWS_A_TASK)))
+    keyed = measured(docs, blocks)
     sizes = stored(keyed.select("source", F.col(OWN + "block").alias("block"), F.col(OWN + "size").alias("size")), "sizes")
     rows = _take(keyed, taken_blocks(sizes, weights, share, repeat, shards))
     size, last, passes = (F.col(OWN + c) for c in ("size", "last", "passes"))
@@ -188,7 +193,7 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repe
     shard = F.coalesce(F.get(OWN + "shards", F.col(OWN + "pass") - 1), F.lit(0))
     order = F.xxhash64(OWN + "key", OWN + "pass")
     return (rows.withColumn(OWN + "shard", shard).withColumn(OWN + "order", order)
-            .repartition(OWN + "shard", F.pmod(F.col(OWN + "order"), F.lit(16)))
+            .repartition(OWN + "shard", F.pmod(F.col(OWN + "order"), F.lit(slices)))
             .sortWithinPartitions(OWN + "shard", OWN + "order").select(*docs.columns))
 
 
